@@ -12,11 +12,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
-from .common import table
+from .common import in_slices, table
 
 #: The box types that hold other boxes.
 CONTAINERS = (b"moov", b"trak", b"mdia", b"minf", b"stbl", b"edts", b"dinf", b"udta", b"mvex", b"moof", b"traf")
@@ -200,44 +201,55 @@ def read_back(media: bytes, ranges: list[dict]) -> bytes:
     return b"".join(media[r["first_byte"] : r["end_byte"]] for r in ranges)
 
 
-@F.arrow_udf(T.BinaryType())
-def stored_media(data: Iterator[pa.Array]) -> Iterator[pa.Array]:
-    for part in data:
-        yield pa.array((None if x is None else store(padded(x)) for x in part.to_pylist()), pa.binary())
+def store_column(df: DataFrame, data: str, out: str) -> DataFrame:
+    """Adds a container that holds each row's bytes, padded to a multiple of 64; null stays null."""
+    return with_media(df, data, out)
 
 
-@F.arrow_udf(T.ArrayType(TRACK))
-def tracks_of(media: Iterator[pa.Array]) -> Iterator[pa.Array]:
-    kind = None
-    for part in media:
-        from pyspark.sql.pandas.types import to_arrow_type
+def probe_column(df: DataFrame, media: str, out: str) -> DataFrame:
+    """Adds an array with a struct per track; broken containers get one with an error, null gets none."""
+    return with_tracks(df, media, out)
 
-        kind = kind or to_arrow_type(T.ArrayType(TRACK))
-        yield pa.array([probe(x) for x in part.to_pylist()], kind)
 
+def added(df: DataFrame, by: str, fields: list[T.StructField], make) -> DataFrame:
+    """Adds columns that make(bytes or None) gives as a tuple; columns of the same names are replaced."""
+    names = {f.name for f in fields}
+    held = T.StructType([f for f in df.schema.fields if f.name not in names] + fields)
+    kinds = [to_arrow_type(f.dataType) for f in fields]
 
-@F.arrow_udf(T.BinaryType())
-def payload_of(media: Iterator[pa.Array]) -> Iterator[pa.Array]:
-    """The bytes of the first track's sync samples, as stored."""
-    for part in media:
-        yield pa.array((read_back(x, found[0].get("keyframe_ranges") or []) if (found := probe(x)) else None for x in part.to_pylist()), pa.binary())
+    def work(batch: pa.RecordBatch) -> pa.RecordBatch:
+        rows = [make(x) for x in batch.column(batch.schema.get_field_index(by)).to_pylist()]
+        keep = [n for n in batch.schema.names if n not in names]
+        new = [pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)]
+        return pa.RecordBatch.from_arrays([batch.column(batch.schema.get_field_index(n)) for n in keep] + new, keep + [f.name for f in fields])
 
+    return in_slices(df, by, work, held, 2 << 20)
 
-def store_column(df: DataFrame, data: str | Column, out: str) -> DataFrame:
-    """Adds a container that holds each row's bytes, padded to a multiple of 64; null stays null."""
-    return df.withColumn(out, stored_media(F.col(data) if isinstance(data, str) else data))
 
+def with_media(df: DataFrame, data: str, out: str) -> DataFrame:
+    return added(df, data, [T.StructField(out, T.BinaryType())], lambda x: (None if x is None else store(padded(x)),))
 
-def probe_column(df: DataFrame, media: str, out: str) -> DataFrame:
-    """Adds an array with a struct per track; broken containers get one with an error, null gets none."""
-    return df.withColumn(out, tracks_of(F.col(media)))
+
+def with_tracks(df: DataFrame, media: str, out: str) -> DataFrame:
+    return added(df, media, [T.StructField(out, T.ArrayType(TRACK))], lambda x: (probe(x),))
+
+
+def with_round_trip(df: DataFrame, data: str) -> DataFrame:
+    """Adds media, its tracks, and the payload copied out of it at the ranges that its boxes give."""
+
+    def make(x: bytes | None) -> tuple:
+        if x is None:
+            return None, [], None
+        tracks = probe(media := store(padded(x)))
+        return media, tracks, read_back(media, tracks[0]["keyframe_ranges"])
+
+    return added(df, data, [T.StructField("media", T.BinaryType()), T.StructField("tracks", T.ArrayType(TRACK)), T.StructField("payload", T.BinaryType())], make)
 
 
 def op8_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each document's bytes through a container and back; the feature is what the boxes say."""
     docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce(F.encode("text", "UTF-8"), F.lit(b"")).alias("bytes"))
-    kept = store_column(docs.select("doc_id", F.octet_length("bytes").cast("long").alias("n_bytes"), "bytes"), "bytes", "media").drop("bytes")
-    read = probe_column(kept, "media", "tracks").withColumn("payload", payload_of("media"))
+    read = with_round_trip(docs.select("doc_id", F.octet_length("bytes").cast("long").alias("n_bytes"), "bytes"), "bytes")
     t = F.col("tracks")[0]
     ranges = F.array_join(F.transform(t["keyframe_ranges"], lambda r: F.concat_ws("-", r["first_byte"], r["end_byte"])), ",")
     return read.select(
