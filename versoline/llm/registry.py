@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import media
+from . import media, mixing
 
 QUERIES = {
+    "op1_mixing": mixing.op1_mixing,
     "op8_media_columns": media.op8_media_columns,
 }
 ORACLES: dict[str, str] = {}
