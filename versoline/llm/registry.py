@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import media, mixing
+from . import media, mixing, toxicity
 
 QUERIES = {
     "op1_mixing": mixing.op1_mixing,
+    "op4_toxicity": toxicity.op4_toxicity,
     "op8_media_columns": media.op8_media_columns,
 }
 ORACLES: dict[str, str] = {}
