@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import media, mixing, toxicity
+from . import jaccard, media, mixing, toxicity
 
 QUERIES = {
     "op1_mixing": mixing.op1_mixing,
     "op4_toxicity": toxicity.op4_toxicity,
+    "op6_jaccard_join": jaccard.op6_jaccard_join,
     "op8_media_columns": media.op8_media_columns,
 }
 ORACLES: dict[str, str] = {}
