@@ -34,7 +34,7 @@ from .common import held, in_slices, table, words_of
 #: Size of the feature table.
 DIMS = 1 << 18
 #: The training sample: documents of either class at most, and characters of such a document at most.
-SAMPLE_TOXIC, SAMPLE_CLEAN, SAMPLE_CHARS = 1500, 2500, 20_000
+SAMPLE_TOXIC, SAMPLE_CLEAN, SAMPLE_CHARS = 800, 1500, 12_000
 #: Words whose emissions a worker keeps.
 KEPT_WORDS = 400_000
 
@@ -48,7 +48,7 @@ def features(word: str) -> list[str]:
     """The features of a word: identity and affixes of its letters and digits, and its shape."""
     found = CORE.search(word)
     if not found:
-        return ["shape:none"]
+        return ["w:", "shape:none"]
     core = found[0].lower()
     if len(core) > 64:  # not a word of a language; its affixes tell enough
         core = core[:32] + core[-32:]
@@ -56,8 +56,13 @@ def features(word: str) -> list[str]:
     return out + [f"p{k}:" + core[:k] for k in range(3, 8) if k < len(core)]
 
 
+def ids_of(word: str) -> list[int]:
+    """The features as 32-bit numbers: the word's first, then its shape's, then those of prefixes."""
+    return [zlib.crc32(f.encode()) for f in features(word)]
+
+
 def slots(word: str) -> list[int]:
-    return [zlib.crc32(f.encode()) % DIMS for f in features(word)]
+    return [f % DIMS for f in ids_of(word)]
 
 
 def sentence_starts(offsets: np.ndarray, codes: np.ndarray, dictionary: pa.Array) -> np.ndarray:
@@ -177,33 +182,41 @@ def families(offsets: np.ndarray, codes: np.ndarray, words: list[str]) -> np.nda
     return np.array([root(d) for d in range(n)])
 
 
-def markers(docs: list[np.ndarray], toxic: np.ndarray, feats: list[list[str]], family: np.ndarray) -> set[str]:
-    """Features that toxic documents have far more often than chance allows.
+def distinct_pairs(a: np.ndarray, b: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    both = np.unique(a.astype(np.int64) * size + b)
+    return both // size, both % size
 
-    docs: the distinct words of each document; family: see families(), each counts once. A feature in a toxic and b
-    clean ones is a marker if 95 % of its documents are toxic and the chance of so many, at the base rate, is
-    below 5 % over all features tested. A prefix that owes four fifths of its count to one word gives way to it.
-    """
-    sets: dict[str, list[set[int]]] = {}
-    for codes, label, group in zip(docs, toxic, family, strict=True):
-        for f in {f for w in codes for f in feats[w] if f[0] in "wp"}:
-            sets.setdefault(f, [set(), set()])[label].add(group)
-    counts = {f: (len(a), len(b)) for f, (a, b) in sets.items()}
-    base = len(set(family[toxic == 1])) / max(1, len(set(family)))
-    base = min(max(base, 1e-6), 1 - 1e-6)
-    need = np.log(0.05 / max(1, len(counts)))
 
-    def chance(clean: int, bad: int) -> float:
-        n = clean + bad
-        rate = min(bad / n, 1 - 1e-12)
-        return -n * (rate * np.log(rate / base) + (1 - rate) * np.log((1 - rate) / (1 - base)))  # Chernoff's bound
+def markers(doc: np.ndarray, word: np.ndarray, toxic: np.ndarray, family: np.ndarray, feature: np.ndarray, owner: np.ndarray, place: np.ndarray) -> np.ndarray:
+    """For each entry of feature whether it is a marker: toxic documents have it far more often than chance allows.
 
-    found = {f for f, (clean, bad) in counts.items() if bad >= 3 and bad >= 19 * clean and chance(clean, bad) < need}
-    best: dict[str, int] = {}
-    for fs in feats:
-        for f in fs[2:]:
-            best[f] = max(best.get(f, 0), counts.get(fs[0], (0, 0))[1])
-    return {f for f in found if f[0] == "w" or best[f] < 0.8 * counts[f][1]}
+    (doc, word): the distinct words of documents; family: see families(), each counts once. (owner, feature, place):
+    the features of each word, see ids_of(). A feature in a toxic and b clean families is a marker if 95 % of its families
+    are toxic and the chance of so many, at the base rate, is below 5 % over all features tested. A prefix that owes
+    four fifths of its count to one word gives way to it.
+    """
+    own = place != 1
+    feature_no = np.unique(feature, return_inverse=True)[1]
+    n = feature_no.max() + 1
+    ends = np.searchsorted(owner, np.arange(owner.max() + 2))
+    counts = np.zeros((2, n), np.int64)
+    for label in (0, 1):
+        family_of, words = distinct_pairs(family[doc[toxic[doc] == label]], word[toxic[doc] == label], owner.max() + 1)
+        if not len(words):
+            continue
+        many = ends[words + 1] - ends[words]
+        at = np.repeat(ends[words], many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+        seen, _ = distinct_pairs(feature_no[at[own[at]]], np.repeat(family_of, many)[own[at]], len(toxic) + 1)
+        counts[label] = np.bincount(seen, minlength=n)
+    clean, bad = counts
+    base = len(np.unique(family[toxic == 1])) / max(1, len(np.unique(family)))
+    base = min(max(base, 1e-6), 1 - 1e-6)
+    rate = np.clip(bad / np.maximum(clean + bad, 1), 1e-12, 1 - 1e-12)
+    chance = -(clean + bad) * (rate * np.log(rate / base) + (1 - rate) * np.log((1 - rate) / (1 - base)))  # Chernoff's bound
+    found = (bad >= 3) & (bad >= 19 * clean) & (chance < np.log(0.05 / max(1, np.count_nonzero(clean + bad))))
+    best = np.zeros(n, np.int64)
+    np.maximum.at(best, feature_no, bad[feature_no[ends[owner]]])
+    return own & found[feature_no] & ((place == 0) | (best < 0.8 * bad)[feature_no])
 
 
 def train(rows: list[tuple[str, int]], steps: int = 60) -> Model:
@@ -214,10 +227,17 @@ def train(rows: list[tuple[str, int]], steps: int = 60) -> Model:
         return none
     offsets, codes, dictionary = words_of(pa.array([t for t, _ in rows], pa.large_string()))
     words = dictionary.to_pylist()
-    feats = [features(w) for w in words]
-    distinct = [np.unique(codes[a:b]) for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
-    found = markers(distinct, toxic, feats, families(offsets, codes, words))
-    marked = np.array([any(f in found for f in fs) for fs in feats], bool)[codes] if len(words) else np.zeros(0, bool)
+    lists = [ids_of(w) for w in words]
+    feature = np.array([f for fs in lists for f in fs], np.int64)
+    many = np.array([len(fs) for fs in lists], np.int64)
+    owner = np.repeat(np.arange(len(words)), many)
+    place = np.arange(len(feature)) - np.repeat(np.cumsum(many) - many, many)
+    del lists
+    marked = np.zeros(len(words), bool)
+    if len(words):
+        doc, word = distinct_pairs(np.repeat(np.arange(len(rows)), np.diff(offsets)), codes, len(words))
+        marked[owner[markers(doc, word, toxic, families(offsets, codes, words), feature, owner, place)]] = True
+    marked = marked[codes]
     doc = np.repeat(np.arange(len(rows)), np.diff(offsets))
     tags = (marked & (toxic[doc] == 1)).astype(float)
     has = np.zeros(len(rows), bool)
@@ -229,9 +249,7 @@ def train(rows: list[tuple[str, int]], steps: int = 60) -> Model:
     starts = np.zeros(len(codes), bool)
     starts[sentence_starts(offsets, codes, dictionary)] = True
     codes_in, tags_in, starts_in = codes[keep], tags[keep], np.flatnonzero(starts[keep])
-    slot = [sorted(set(zlib.crc32(f.encode()) % DIMS for f in fs)) for fs in feats]
-    flat = np.array([s for x in slot for s in x])
-    owner = np.repeat(np.arange(len(words)), [len(x) for x in slot])
+    flat = feature % DIMS
     inner = np.ones(len(codes_in), bool)
     inner[starts_in] = False
     at = np.flatnonzero(inner)
@@ -307,12 +325,17 @@ def held_out(doc_id="doc_id"):
 
 
 def sample(docs: DataFrame, labels: DataFrame) -> list[tuple[str, int]]:
-    """The bounded training sample, by a hash of the id: texts of whole documents and labels."""
+    """The bounded training sample, by a hash of the id: texts of whole documents and labels.
+
+    Ids are chosen first, from labels alone; a broadcast of so many ids, whatever the input, fetches their texts.
+    """
     labels = labels.where(F.col("toxic").isNotNull()).where(~held_out()).groupBy("doc_id").agg(F.max("toxic").alias("toxic_label"))
-    rows = docs.select("doc_id", "text").where(F.length("text") <= SAMPLE_CHARS).join(labels, "doc_id").withColumn("at", F.xxhash64("doc_id", "text"))
     out = []
     for label, most in ((1, SAMPLE_TOXIC), (0, SAMPLE_CLEAN)):
-        out += [(r["text"], label) for r in rows.where(F.col("toxic_label") == label).orderBy("at", "doc_id").limit(most).select("text").collect()]
+        ids = labels.where(F.col("toxic_label") == label).select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
+        rows = docs.select("doc_id", "text").where(F.length("text") <= SAMPLE_CHARS).join(F.broadcast(ids), "doc_id", "left_semi")
+        texts = rows.toArrow().to_pandas(self_destruct=True).sort_values(["doc_id", "text"], kind="stable")["text"]
+        out += [(t, label) for t in texts]
     return out
 
 
