@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from . import jaccard, media, mixing, toxicity
+from . import jaccard, media, mixing, neighbours, packing, toxicity
 
 QUERIES = {
     "op1_mixing": mixing.op1_mixing,
     "op4_toxicity": toxicity.op4_toxicity,
     "op6_jaccard_join": jaccard.op6_jaccard_join,
+    "op9_nearest_neighbours": neighbours.op9_nearest_neighbours,
+    "op10_packing": packing.op10_packing,
     "op8_media_columns": media.op8_media_columns,
 }
 ORACLES: dict[str, str] = {}
