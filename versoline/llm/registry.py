@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import jaccard, media, mixing, neighbours, packing, toxicity
+from . import jaccard, media, mixing, neighbours, packing, pii, toxicity
 
 QUERIES = {
     "op1_mixing": mixing.op1_mixing,
     "op4_toxicity": toxicity.op4_toxicity,
+    "op5_pii": pii.op5_pii,
     "op6_jaccard_join": jaccard.op6_jaccard_join,
     "op9_nearest_neighbours": neighbours.op9_nearest_neighbours,
     "op10_packing": packing.op10_packing,
