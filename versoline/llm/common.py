@@ -14,6 +14,9 @@ from pyspark.sql import functions as F
 #: White space of the contracts, as a Java character class body.
 WS = r"\x20\x09-\x0D"
 
+U = np.uint64
+ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93], U)
+
 #: Bytes of text that a Python worker takes apart at once.
 SLICE_BYTES = 8 << 20
 
@@ -69,8 +72,8 @@ def held(text: pa.Array) -> pa.Array:
     return pc.fill_null(text.cast(pa.large_string()), "")
 
 
-def slices(column: pa.Array, most: int = SLICE_BYTES):
-    """(start, stop) of runs of rows of about so many bytes, one row at least."""
+def slices(column: pa.Array, most: int = SLICE_BYTES, rows: int = 1 << 13):
+    """(start, stop) of runs of rows of about so many bytes and so many rows at most, one row at least."""
     if not len(column):
         return
     sizes = pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False)
@@ -79,7 +82,8 @@ def slices(column: pa.Array, most: int = SLICE_BYTES):
     while start < len(sizes):
         floor = ends[start - 1] if start else 0
         stop = max(start + 1, int(np.searchsorted(ends, floor + most, side="right")))
-        yield start, min(stop, len(sizes))
+        stop = min(stop, start + rows, len(sizes))
+        yield start, stop
         start = stop
 
 
@@ -100,6 +104,26 @@ def words_of(text: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array]:
     return offsets, coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), coded.dictionary
 
 
+def mixed(h: np.ndarray) -> np.ndarray:
+    """A bijection of 64-bit numbers that spreads their bits."""
+    h = (h ^ (h >> U(33))) * U(0xFF51AFD7ED558CCD)
+    h = (h ^ (h >> U(33))) * U(0xC4CEB9FE1A85EC53)
+    return h ^ (h >> U(33))
+
+
+def hashed(words: pa.Array) -> np.ndarray:
+    """64-bit hashes of words (large strings, none empty or null): a sum of bytes by a number for each place, mixed."""
+    if not len(words):
+        return np.zeros(0, U)
+    _, offsets, data = words.buffers()
+    offsets = np.frombuffer(offsets, np.int64)[words.offset : words.offset + len(words) + 1]
+    data = np.frombuffer(data, np.uint8)[offsets[0] : offsets[-1]]
+    starts, sizes = offsets[:-1] - offsets[0], np.diff(offsets)
+    place = mixed(np.arange(1, sizes.max() + 1, dtype=U) * ODD[0]) | U(1)
+    values = (data.astype(U) + U(1)) * place[np.arange(len(data)) - np.repeat(starts, sizes)]
+    return mixed(np.add.reduceat(values, starts) + sizes.astype(U) * ODD[1])
+
+
 def in_slices(df: DataFrame, by: str, work, schema, most: int = SLICE_BYTES) -> DataFrame:
     """mapInArrow with work(RecordBatch) -> RecordBatch or Table over runs of rows of about so many bytes of a column.
 
