@@ -10,9 +10,10 @@ hashes:
    Rare tokens of the prefix are indexed singly. If linked sets share no rare token there, they share g + 1
    frequent ones within prefixes that are g longer. Frequent tokens fall into g classes by hash, so two shared ones
    are of one class: pairs of a class are indexed. g grows with n, which keeps pairs linear in n.
-3. Each key's nodes are verified against one of them, the pivot, which makes as many candidates as there are index rows. Verified
-   links give components. Then, within keys that still have several components, all pairs of nodes
-   of different components that pass the length and position filters are verified.
+3. Each key's nodes are verified against one of them, the pivot, which makes as many candidates as there are index rows at most.
+   Verified links give components. Keys that still have several components get other pivots, and then all pairs
+   of their nodes that are of different components are verified.
+4. Length, position and a parity sketch bound a pair's similarity from above; only pairs that may be linked are verified.
 
 Pairs inside a component aren't verified one by one: they can't change what the join returns. No key,
 candidate or partner is capped.
@@ -28,11 +29,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, held, slices, stored, table, words_of
+from .common import ODD, U, cut, hashed, held, mixed, slices, stored, table, words_of
 from .components import components
 
 WORDS = 4
@@ -41,45 +41,51 @@ PERCENT = 85
 LOCAL, OVERALL, MOST_FREQUENT = 3, 32, 1_000_000
 #: Tokens that a task counts at once, and set digests it remembers to count copies once.
 WINDOW_TOKENS, SEEN_SETS = 4_000_000, 200_000
-#: Bits of the filter that keeps texts of candidates.
+#: Bits of the filters that keep shared keys and texts of candidates; their size does not depend on the input.
 FILTER_BITS = 1 << 26
-
-U = np.uint64
-ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93], U)
-
+#: Pivots in each round: one order of nodes for all keys, then so many orders by key.
+ORDERS = (1, 16)
 
 SALT = np.arange(1, 65, dtype=U) * ODD[0]
 
 
-def mixed(h: np.ndarray) -> np.ndarray:
-    h = (h ^ (h >> U(33))) * U(0xFF51AFD7ED558CCD)
-    h = (h ^ (h >> U(33))) * U(0xC4CEB9FE1A85EC53)
-    return h ^ (h >> U(33))
-
-
 def shingle_sets(texts: pa.Array, width: int = WORDS) -> tuple[np.ndarray, np.ndarray]:
-    """(row, token) of the distinct shingles of texts without nulls, by row and token."""
+    """(row, token) of the distinct shingles of texts without nulls, by row and token. Tokens have 48 bits, rows 16."""
     offsets, codes, dictionary = words_of(texts)
     if not len(codes):
         return np.zeros(0, np.int64), np.zeros(0, U)
-    word = np.fromiter((xxhash.xxh3_64_intdigest(w) for w in pc.ascii_lower(dictionary).cast(pa.large_binary()).to_pylist()), U, len(dictionary))[codes]
+    word = hashed(pc.ascii_lower(dictionary))
     counts = np.diff(offsets)
-    n = len(word)
+    n = len(codes)
     tokens = np.zeros(n, U)
     for k in range(width):
-        tokens[: n - k] += mixed(word[k:] + SALT[k]) * ODD[(k + 1) % 4]
+        tokens[: max(n - k, 0)] += mixed(word + SALT[k])[codes[k:]]
     row = np.repeat(np.arange(len(counts)), counts)
     whole = (np.arange(n) + width) <= offsets[row + 1]
     for r in np.flatnonzero((counts > 0) & (counts < width)):
         a, b = offsets[r], offsets[r + 1]
-        tokens[a] = sum((mixed(word[a + k : a + k + 1] + SALT[k]) * ODD[(k + 1) % 4] for k in range(b - a)), np.array([b - a], U) * ODD[3])[0]
+        tokens[a] = sum((mixed(word[codes[a + k : a + k + 1]] + SALT[k]) for k in range(b - a)), np.array([b - a], U) * ODD[3])[0]
         whole[a] = True
-    row, tokens = row[whole], mixed(tokens[whole])
-    order = np.lexsort((tokens, row))
-    row, tokens = row[order], tokens[order]
-    new = np.ones(len(row), bool)
-    new[1:] = (row[1:] != row[:-1]) | (tokens[1:] != tokens[:-1])
-    return row[new], tokens[new]
+    both = np.sort(row[whole].astype(U) << U(48) | mixed(tokens[whole]) >> U(16))
+    new = np.ones(len(both), bool)
+    new[1:] = both[1:] != both[:-1]
+    both = both[new]
+    return (both >> U(48)).astype(np.int64), both & U((1 << 48) - 1)
+
+
+def sketches(row: np.ndarray, tokens: np.ndarray, sizes: np.ndarray) -> pa.Array:
+    """A list of 64-bit words for each set: which of its buckets have an odd number of tokens.
+
+    A set of n tokens has the least 64 * 2^k buckets that are n or more. Where two sketches of one length differ, the sets
+    differ by a token at least: so the number of such bits never is above the size of the symmetric
+    difference. The halves of a sketch, XORed, are the sketch of half the length.
+    """
+    words = 1 << np.ceil(np.log2(np.maximum(1, sizes / 64))).astype(np.int64)
+    ends = np.cumsum(words)
+    bucket = (ends - words)[row] * 64 + (tokens.view(np.int64) & (words[row] * 64 - 1))
+    odd = np.bincount(bucket, minlength=(ends[-1] if len(ends) else 0) * 64) & 1
+    bits = np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64)
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]).astype(np.int32)), pa.array(bits))
 
 
 def digests(row: np.ndarray, tokens: np.ndarray, rows: int) -> tuple[np.ndarray, np.ndarray]:
@@ -105,8 +111,9 @@ def index_rows(row: np.ndarray, tokens: np.ndarray, sizes: np.ndarray, frequent:
     """(row, key, position): the index entries of each set."""
     at = np.minimum(np.searchsorted(frequent, tokens), max(len(frequent) - 1, 0))
     often = frequent[at] == tokens if len(frequent) else np.zeros(len(tokens), bool)
-    order = np.lexsort((tokens, often, row))
-    row, tokens, often = row[order], tokens[order], often[order]
+    if often.any():
+        order = np.argsort(row * 2 + often, kind="stable")
+        row, tokens, often = row[order], tokens[order], often[order]
     n = sizes[row]
     position = np.arange(len(row)) - starts_of(sizes)[row]
     prefix = n - needed(n, percent) + 1
@@ -137,8 +144,8 @@ def index_rows(row: np.ndarray, tokens: np.ndarray, sizes: np.ndarray, frequent:
 
 
 def documents_pass(width: int, percent: int):
-    """Rows of kind 0: doc_id, set size, digest. Of kind 1: a token seen in several sets of this task, and in how many."""
-    schema = "kind int, id long, n long, node long"
+    """Rows of kind 0: doc_id, set size, digest, sketch. Of kind 1: a token seen in several sets of this task, and in how many."""
+    schema = "kind int, id long, n long, node long, sketch array<long>"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
@@ -148,10 +155,10 @@ def documents_pass(width: int, percent: int):
         def counted() -> pa.RecordBatch:
             tokens, times = np.unique(np.concatenate(window), return_counts=True) if window else (np.zeros(0, U), np.zeros(0, np.int64))
             keep = times >= LOCAL
-            return batch_of(np.ones(keep.sum(), np.int32), tokens[keep].view(np.int64), times[keep], np.zeros(keep.sum(), np.int64))
+            return batch_of(np.ones(keep.sum(), np.int32), tokens[keep].view(np.int64), times[keep], np.zeros(keep.sum(), np.int64), pa.nulls(keep.sum(), pa.list_(pa.int64())))
 
-        def batch_of(kind, ids, n, node) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(kind, pa.int32()), pa.array(ids, pa.int64()), pa.array(n, pa.int64()), pa.array(node, pa.int64())], ["kind", "id", "n", "node"])
+        def batch_of(kind, ids, n, node, sketch) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(kind, pa.int32()), pa.array(ids, pa.int64()), pa.array(n, pa.int64()), pa.array(node, pa.int64()), sketch], ["kind", "id", "n", "node", "sketch"])
 
         for batch in batches:
             ids = batch.column(0)
@@ -159,7 +166,7 @@ def documents_pass(width: int, percent: int):
                 texts = held(batch.column(1).slice(start, stop - start))
                 row, tokens = shingle_sets(texts, width)
                 sizes, node = digests(row, tokens, len(texts))
-                yield batch_of(np.zeros(len(texts), np.int32), ids.slice(start, stop - start), sizes, node)
+                yield batch_of(np.zeros(len(texts), np.int32), ids.slice(start, stop - start), sizes, node, sketches(row, tokens, sizes))
                 if len(seen) > SEEN_SETS:
                     seen.clear()
                 fresh = np.zeros(len(texts), bool)
@@ -177,11 +184,13 @@ def documents_pass(width: int, percent: int):
     return run, schema
 
 
-def index_pass(width: int, percent: int, frequent):
+def index_pass(width: int, percent: int, frequent, shared=None):
+    """Index rows; of those keys only whose bits are in shared, if that is given."""
     schema = "key long, node long, n int, pos int"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         often = np.frombuffer(frequent.value, U)
+        bits = None if shared is None else np.frombuffer(shared.value, U)
         seen: set[int] = set()
         for batch in batches:
             for start, stop in slices(batch.column(0)):
@@ -198,6 +207,9 @@ def index_pass(width: int, percent: int, frequent):
                 keep = fresh[row]
                 row, tokens = row[keep], tokens[keep]
                 r, key, pos = index_rows(row, tokens, np.where(fresh, sizes, 0), often, percent)
+                if bits is not None:
+                    there = has_bit(bits, key)
+                    r, key, pos = r[there], key[there], pos[there]
                 for a in range(0, max(len(r), 1), 500_000):
                     b = slice(a, a + 500_000)
                     yield pa.RecordBatch.from_arrays([pa.array(key[b].view(np.int64)), pa.array(node[r[b]]), pa.array(sizes[r[b]].astype(np.int32)), pa.array(pos[b].astype(np.int32))], ["key", "node", "n", "pos"])
@@ -205,23 +217,27 @@ def index_pass(width: int, percent: int, frequent):
     return run, schema
 
 
-def sets_pass(width: int, bits):
+def has_bit(bits: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    at = ids.view(U) & U(FILTER_BITS - 1)
+    return (bits[(at >> U(6)).view(np.int64)] >> (at & U(63)) & U(1)).astype(bool)
+
+
+def sets_pass(width: int, wanted):
+    """(node, tokens) of the documents whose ids' bits are set."""
     schema = "node long, tokens array<long>"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = np.frombuffer(bits.value, U)
+        bits = np.frombuffer(wanted.value, U)
         for batch in batches:
-            for start, stop in slices(batch.column(0)):
-                texts = held(batch.column(0).slice(start, stop - start))
+            ids = pc.fill_null(batch.column(0), 0).to_numpy()
+            batch = batch.filter(pa.array(has_bit(bits, ids)))
+            for start, stop in slices(batch.column(1)):
+                texts = held(batch.column(1).slice(start, stop - start))
                 row, tokens = shingle_sets(texts, width)
                 sizes, node = digests(row, tokens, len(texts))
-                bit = node & (FILTER_BITS - 1)
-                keep = (words[bit >> 6] >> (bit & 63).astype(U) & U(1)).astype(bool) & (sizes > 0)
-                if not keep.any():
-                    continue
-                flat, n = tokens[keep[row]].view(np.int64), sizes[keep]
-                lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n)]).astype(np.int32)), pa.array(flat))
-                yield pa.RecordBatch.from_arrays([pa.array(node[keep]), lists], ["node", "tokens"])
+                full = sizes > 0
+                lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes[full])]).astype(np.int32)), pa.array(tokens.view(np.int64)))
+                yield pa.RecordBatch.from_arrays([pa.array(node[full]), lists], ["node", "tokens"])
 
     return run, schema
 
@@ -240,65 +256,110 @@ def frequent_tokens(counted: DataFrame) -> np.ndarray:
     return np.sort(rows.column("id").to_numpy().view(U))
 
 
-def filter_of(nodes: DataFrame) -> bytes:
-    """A bit set of FILTER_BITS bits with those of the nodes; its size does not depend on their number."""
-    bit = F.col("node").bitwiseAND(FILTER_BITS - 1)
-    words = nodes.groupBy(F.shiftright(bit, 6).alias("at")).agg(F.bit_or(F.expr("shiftleft(1L, cast(node & 63 as int))")).alias("bits")).toArrow()
+def filter_of(ids: DataFrame) -> bytes:
+    """A bit set of FILTER_BITS bits with those of the ids of a one-column table."""
+    ids = ids.toDF("id")
+    bit = F.col("id").bitwiseAND(FILTER_BITS - 1)
+    words = ids.groupBy(F.shiftright(bit, 6).alias("at")).agg(F.bit_or(F.expr("shiftleft(1L, cast(id & 63 as int))")).alias("bits")).toArrow()
     out = np.zeros(FILTER_BITS // 64, np.int64)
     out[words.column("at").to_numpy()] = words.column("bits").to_numpy()
     return out.tobytes()
 
 
-def verified(texts: DataFrame, pairs: DataFrame, width: int, percent: int) -> DataFrame:
-    """Of pairs (a, b) of nodes, those whose sets are similar enough."""
-    spark = texts.sparkSession
-    nodes = pairs.select(F.col("a").alias("node")).union(pairs.select("b"))
-    run, schema = sets_pass(width, spark.sparkContext.broadcast(filter_of(nodes)))
-    sets = texts.select("text").mapInArrow(run, schema).groupBy("node").agg(F.first("tokens").alias("tokens"))
-    one = pairs.join(sets.select(F.col("node").alias("a"), F.col("tokens").alias("x")), "a")
-    two = one.join(sets.select(F.col("node").alias("b"), F.col("tokens").alias("y")), "b")
-    both = F.size(F.array_intersect("x", "y"))
-    return two.where(100 * both >= percent * (F.size("x") + F.size("y") - both)).select("a", "b")
+class Join:
+    """The steps of near_duplicates() that need the same tables."""
+
+    def __init__(self, docs: DataFrame, width: int, percent: int):
+        self.width, self.percent, self.spark = width, percent, docs.sparkSession
+        self.texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+        run, schema = documents_pass(width, percent)
+        first = stored(self.texts.mapInArrow(run, schema), "sets")
+        self.rows = first.where("kind = 0").select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), "node")
+        self.counted = first.where("kind = 1").select("id", "n")
+        one = first.where("kind = 0 and n > 0").groupBy("node").agg(F.min("id").alias("least"), F.first("sketch").alias("sketch"))
+        self.nodes = stored(one, "nodes")
+
+    def near(self, x: str, y: str):
+        """What the sizes and the places of a shared key allow. x and y: suffixes of n and pos."""
+        n, m, i, j = (F.col(c) for c in (f"n{x}", f"n{y}", f"pos{x}", f"pos{y}"))
+        p = self.percent
+        return (100 * F.least(n, m) >= p * F.greatest(n, m)) & ((100 + p) * F.least(n - i, m - j) >= p * (n + m))
+
+    def alike(self, x: str, y: str):
+        """What the sketches allow; the longer one, which has twice the words at most where sizes are near, is folded."""
+        one, two = F.col(f"sketch{x}"), F.col(f"sketch{y}")
+        words = F.least(F.size(one), F.size(two))
+        fold = lambda s: F.when(F.size(s) == words, s).otherwise(F.zip_with(F.slice(s, F.lit(1), words), F.slice(s, words + 1, words), lambda a, b: a.bitwiseXOR(b)))
+        apart = F.aggregate(F.zip_with(fold(one), fold(two), lambda a, b: F.bit_count(a.bitwiseXOR(b))), F.lit(0), lambda total, bits: total + bits)
+        return (100 + self.percent) * apart <= (100 - self.percent) * (F.col(f"n{x}") + F.col(f"n{y}"))
+
+    def index(self) -> DataFrame:
+        """(key, node, n, pos, sketch) of keys that several nodes have."""
+        often = self.spark.sparkContext.broadcast(frequent_tokens(self.counted).tobytes())
+        rows = self.texts.select("text")
+        run, schema = index_pass(self.width, self.percent, often)
+        # tasks may both emit a copy; least and last differ only if a key has two nodes
+        ends = rows.mapInArrow(run, schema).groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi"))
+        keys = stored(ends.where("lo < hi").select("key"), "keys")
+        run, schema = index_pass(self.width, self.percent, often, self.spark.sparkContext.broadcast(filter_of(keys)))
+        shared = rows.mapInArrow(run, schema).join(keys, "key", "left_semi").distinct()
+        return stored(shared.join(self.nodes.select("node", "sketch"), "node"), "index")
+
+    def verified(self, pairs: DataFrame) -> DataFrame:
+        """Of pairs (a, b) of nodes, those whose sets are similar enough."""
+        ids = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(self.nodes, "node").select("least")
+        run, schema = sets_pass(self.width, self.spark.sparkContext.broadcast(filter_of(ids)))
+        sets = self.texts.mapInArrow(run, schema).groupBy("node").agg(F.first("tokens").alias("tokens"))
+        one = pairs.join(sets.select(F.col("node").alias("a"), F.col("tokens").alias("x")), "a")
+        two = one.join(sets.select(F.col("node").alias("b"), F.col("tokens").alias("y")), "b")
+        both = F.size(F.array_intersect("x", "y"))
+        return stored(two.where(100 * both >= self.percent * (F.size("x") + F.size("y") - both)).select("a", "b"), "links")
+
+    def pairs(self, part: DataFrame, orders: int) -> DataFrame:
+        """Candidates (a, b) of different components: with the pivot of a key, its first node in one of so many orders, or all pairs for 0."""
+        columns = ("node", "n", "pos", "sketch", "root")
+        one = part.select("key", *columns)
+        if orders:
+            first = F.min_by(F.struct(*columns), F.xxhash64("node", F.pmod("key", F.lit(orders))))
+            one = part.groupBy("key").agg(first.alias("p")).select("key", "p.*")
+        one = one.select("key", *(F.col(c).alias(f"{c}_x") for c in columns))
+        two = part.select("key", *(F.col(c).alias(f"{c}_y") for c in columns))
+        apart = (F.col("root_x") != F.col("root_y")) & (F.lit(bool(orders)) | (F.col("node_x") < F.col("node_y")))
+        both = one.join(two, "key").where(apart & self.near("_x", "_y")).where(self.alike("_x", "_y"))
+        return both.select(F.least("node_x", "node_y").alias("a"), F.greatest("node_x", "node_y").alias("b")).distinct()
+
+    def roots(self) -> DataFrame:
+        """(node, root) of the nodes that have links."""
+        index = self.index()
+        part = index.withColumn("root", F.col("node"))
+        links = roots = tested = None
+        for orders in (*ORDERS, 0):
+            pairs = self.pairs(part, orders)
+            if tested is not None:
+                pairs = stored(pairs, "pairs").join(tested, ["a", "b"], "left_anti")
+            pairs = stored(pairs, "pairs")
+            tested = pairs if tested is None else tested.union(pairs)
+            found = self.verified(pairs)
+            links = found if links is None else links.union(found)
+            roots = components(links)
+            part = index.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+            split = part.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("key")
+            if orders:
+                part = stored(part.join(split, "key", "left_semi"), "part")
+        return roots
 
 
 def near_duplicates(docs: DataFrame, width: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """At most 64 words make a shingle. A row per row of docs (doc_id, text): doc_id, n_shingles, component_id, is_kept.
+    """A row per row of docs (doc_id, text): doc_id, n_shingles, component_id. At most 64 words make a shingle.
 
-    component_id is the least doc_id that links lead to. is_kept marks the rows that hold it.
+    component_id is the least doc_id that links lead to.
     """
-    spark = docs.sparkSession
-    texts = docs.select("text")
-    run, schema = documents_pass(width, percent)
-    first = stored(docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, schema), "sets")
-    rows = first.where("kind = 0").select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), "node")
-    nodes = rows.where("n_shingles > 0").groupBy("node").agg(F.min("doc_id").alias("least"))
-    often = spark.sparkContext.broadcast(frequent_tokens(first.where("kind = 1").select("id", "n")).tobytes())
-    run, schema = index_pass(width, percent, often)
-    index = texts.mapInArrow(run, schema)
-    # tasks may both emit a copy; min and max differ only if a key has two nodes
-    pivots = index.groupBy("key").agg(F.min(F.struct("node", "n", "pos")).alias("p"), F.max("node").alias("last")).where(F.col("p.node") < F.col("last")).select("key", "p")
-    shared = stored(index.join(stored(pivots, "pivots"), "key"), "index")
-    near = lambda n, i, m, j: (100 * F.least(n, m) >= percent * F.greatest(n, m)) & ((100 + percent) * F.least(n - i, m - j) >= percent * (n + m))
-    pairs = shared.where((F.col("node") != F.col("p.node")) & near(F.col("n"), F.col("pos"), F.col("p.n"), F.col("p.pos")))
-    pairs = stored(pairs.select(F.col("p.node").alias("a"), F.col("node").alias("b")).distinct(), "pairs")
-    links = stored(verified(texts, pairs, width, percent), "links")
-    roots = components(links)
-
-    part = shared.select("key", "node", "n", "pos").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    part = cut(part.distinct())
-    split = part.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("key")
-    left = cut(part.join(split, "key", "left_semi"))
-    x, y = left.select("key", *(F.col(c).alias(f"{c}_x") for c in ("node", "n", "pos", "root"))), left.select("key", *(F.col(c).alias(f"{c}_y") for c in ("node", "n", "pos", "root")))
-    more = x.join(y, "key").where((F.col("node_x") < F.col("node_y")) & (F.col("root_x") != F.col("root_y")) & near(F.col("n_x"), F.col("pos_x"), F.col("n_y"), F.col("pos_y")))
-    more = more.select(F.col("node_x").alias("a"), F.col("node_y").alias("b")).distinct().join(pairs, ["a", "b"], "left_anti")
-    more = stored(more, "pairs")
-    if not more.isEmpty():
-        links = links.union(stored(verified(texts, more, width, percent), "links"))
-        roots = components(links)
+    join = Join(docs, width, percent)
+    roots, nodes = join.roots(), join.nodes.select("node", "least")
     least = roots.join(nodes, "node").groupBy("root").agg(F.min("least").alias("component"))
     found = stored(nodes.join(roots, "node", "left").join(least, "root", "left").select("node", F.coalesce("component", "least").alias("component")), "components")
-    full = rows.where("n_shingles > 0").join(found, "node").select("doc_id", "n_shingles", F.col("component").alias("component_id"))
-    return full.union(rows.where("n_shingles = 0").select("doc_id", "n_shingles", "doc_id"))
+    full = join.rows.where("n_shingles > 0").join(found, "node").select("doc_id", "n_shingles", F.col("component").alias("component_id"))
+    return full.union(join.rows.where("n_shingles = 0").select("doc_id", "n_shingles", "doc_id"))
 
 
 def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from . import jaccard, media, mixing, neighbours, packing, pii, toxicity
+from . import html, jaccard, media, mixing, neighbours, packing, pii, quality, toxicity
 
 QUERIES = {
     "op1_mixing": mixing.op1_mixing,
+    "op3_html_extraction": html.op3_html_extraction,
     "op4_toxicity": toxicity.op4_toxicity,
     "op5_pii": pii.op5_pii,
     "op6_jaccard_join": jaccard.op6_jaccard_join,
     "op9_nearest_neighbours": neighbours.op9_nearest_neighbours,
     "op10_packing": packing.op10_packing,
+    "op7_quality": quality.op7_quality,
     "op8_media_columns": media.op8_media_columns,
 }
 ORACLES: dict[str, str] = {}
