@@ -362,5 +362,21 @@ def near_duplicates(docs: DataFrame, width: int = WORDS, percent: int = PERCENT)
     return full.union(join.rows.where("n_shingles = 0").select("doc_id", "n_shingles", "doc_id"))
 
 
+def one_of_each(docs: DataFrame, width: int = WORDS, percent: int = PERCENT) -> DataFrame:
+    """One row of each component of docs, with all columns: that of the least doc_id.
+
+    Where that id repeats, the row with the least hash stays. Rows without a doc_id take no part and stay.
+    """
+    found = stored(near_duplicates(docs.where("doc_id is not null"), width, percent), "groups")
+    ids = found.select(F.col("component_id").alias("doc_id")).distinct()
+    kept = docs.join(ids, "doc_id", "left_semi").select(*docs.columns)
+    twice = cut(found.groupBy("doc_id").count().where("count > 1").select("doc_id"))
+    if not twice.isEmpty():
+        row = F.struct(*docs.columns)
+        one = kept.join(twice, "doc_id", "left_semi").select("doc_id", row.alias("row")).groupBy("doc_id").agg(F.min_by("row", F.xxhash64("row")).alias("row"))
+        kept = kept.join(twice, "doc_id", "left_anti").select(*docs.columns).unionByName(one.select("row.*"))
+    return kept.unionByName(docs.where("doc_id is null"))
+
+
 def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))

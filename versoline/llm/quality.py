@@ -23,7 +23,7 @@ from .common import WS, table
 #: Labelled rows that the ensemble is fitted to at most, chosen by a hash of the id.
 SAMPLE = 6000
 TREES, DEPTH, LEAST_LEAF = 60, 3, 8
-PENALTIES = (0.03, 0.01, 0.003, 0.001)
+PENALTIES = (0.03, 0.01, 0.005, 0.0025)
 
 #: Symbols whose share tells prose from markup, tables and noise.
 SYMBOLS = "#$%&*+<=>@[]^_`{|}~/\\"
@@ -127,14 +127,16 @@ class Model:
 
     def expression(self) -> Column:
         """The score over the columns of with_statistics()."""
-        total = F.lit(self.bias)
+        terms = [F.lit(self.bias)]
         for rule, weight in self.rules:
             parts = [F.col(f"q_{STATISTICS[f]}") > F.lit(cut) if above else F.col(f"q_{STATISTICS[f]}") <= F.lit(cut) for f, above, cut in rule]
             all_of = parts[0]
             for p in parts[1:]:
                 all_of = all_of & p
-            total = total + F.when(all_of, F.lit(weight)).otherwise(F.lit(0.0))
-        return 1 / (1 + F.exp(-total))
+            terms.append(F.when(all_of, F.lit(weight)).otherwise(F.lit(0.0)))
+        while len(terms) > 1:  # in pairs, as a long chain would nest too deep
+            terms = [terms[k] + terms[k + 1] if k + 1 < len(terms) else terms[k] for k in range(0, len(terms), 2)]
+        return 1 / (1 + F.exp(-terms[0]))
 
 
 def train(x: np.ndarray, y: np.ndarray, seed: int = 7) -> Model:
