@@ -45,6 +45,8 @@ WINDOW_TOKENS, SEEN_SETS = 4_000_000, 200_000
 FILTER_BITS = 1 << 26
 #: Pivots in each round: one order of nodes for all keys, then so many orders by key.
 ORDERS = (1, 16)
+#: Keys of more nodes have their rows' sketches at hand when all pairs are compared.
+FEW = 32
 
 SALT = np.arange(1, 65, dtype=U) * ODD[0]
 
@@ -276,7 +278,7 @@ class Join:
         first = stored(self.texts.mapInArrow(run, schema), "sets")
         self.rows = first.where("kind = 0").select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), "node")
         self.counted = first.where("kind = 1").select("id", "n")
-        one = first.where("kind = 0 and n > 0").groupBy("node").agg(F.min("id").alias("least"), F.first("sketch").alias("sketch"))
+        one = first.where("kind = 0 and n > 0").groupBy("node").agg(F.min("id").alias("least"), F.first("n").alias("n"), F.first("sketch").alias("sketch"))
         self.nodes = stored(one, "nodes")
 
     def near(self, x: str, y: str):
@@ -294,7 +296,7 @@ class Join:
         return (100 + self.percent) * apart <= (100 - self.percent) * (F.col(f"n{x}") + F.col(f"n{y}"))
 
     def index(self) -> DataFrame:
-        """(key, node, n, pos, sketch) of keys that several nodes have."""
+        """(key, node, n, pos) of keys that several nodes have."""
         often = self.spark.sparkContext.broadcast(frequent_tokens(self.counted).tobytes())
         rows = self.texts.select("text")
         run, schema = index_pass(self.width, self.percent, often)
@@ -302,8 +304,7 @@ class Join:
         ends = rows.mapInArrow(run, schema).groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi"))
         keys = stored(ends.where("lo < hi").select("key"), "keys")
         run, schema = index_pass(self.width, self.percent, often, self.spark.sparkContext.broadcast(filter_of(keys)))
-        shared = rows.mapInArrow(run, schema).join(keys, "key", "left_semi").distinct()
-        return stored(shared.join(self.nodes.select("node", "sketch"), "node"), "index")
+        return stored(rows.mapInArrow(run, schema).join(keys, "key", "left_semi").distinct(), "index")
 
     def verified(self, pairs: DataFrame) -> DataFrame:
         """Of pairs (a, b) of nodes, those whose sets are similar enough."""
@@ -315,37 +316,49 @@ class Join:
         both = F.size(F.array_intersect("x", "y"))
         return stored(two.where(100 * both >= self.percent * (F.size("x") + F.size("y") - both)).select("a", "b"), "links")
 
-    def pairs(self, part: DataFrame, orders: int) -> DataFrame:
-        """Candidates (a, b) of different components: with the pivot of a key, its first node in one of so many orders, or all pairs for 0."""
-        columns = ("node", "n", "pos", "sketch", "root")
-        one = part.select("key", *columns)
-        if orders:
-            first = F.min_by(F.struct(*columns), F.xxhash64("node", F.pmod("key", F.lit(orders))))
-            one = part.groupBy("key").agg(first.alias("p")).select("key", "p.*")
-        one = one.select("key", *(F.col(c).alias(f"{c}_x") for c in columns))
-        two = part.select("key", *(F.col(c).alias(f"{c}_y") for c in columns))
-        apart = (F.col("root_x") != F.col("root_y")) & (F.lit(bool(orders)) | (F.col("node_x") < F.col("node_y")))
-        both = one.join(two, "key").where(apart & self.near("_x", "_y")).where(self.alike("_x", "_y"))
+    def met(self, one: DataFrame, two: DataFrame, once: bool, sketched: bool = False) -> DataFrame:
+        """Distinct (a, b) of different components that share a key and whose similarity isn't ruled out by sizes and places, nor by sketches if rows have them."""
+        columns = [c for c in two.columns if c != "key"]
+        one, two = (df.select("key", *(F.col(c).alias(f"{c}{x}") for c in columns)) for df, x in ((one, "_x"), (two, "_y")))
+        apart = (F.col("root_x") != F.col("root_y")) & (F.lit(not once) | (F.col("node_x") < F.col("node_y")))
+        both = one.join(two, "key").where(apart & self.near("_x", "_y"))
+        both = both.where(self.alike("_x", "_y")) if sketched else both
         return both.select(F.least("node_x", "node_y").alias("a"), F.greatest("node_x", "node_y").alias("b")).distinct()
 
+    def with_pivots(self, part: DataFrame, orders: int) -> DataFrame:
+        """Pairs of each node with the pivot of its key: the key's first node in one of so many orders."""
+        columns = ("node", "n", "pos", "root")
+        first = F.min_by(F.struct(*columns), F.xxhash64("node", F.pmod("key", F.lit(orders))))
+        return self.met(part.groupBy("key").agg(first.alias("p")).select("key", "p.*"), part.select("key", *columns), once=False)
+
+    def all_pairs(self, part: DataFrame) -> DataFrame:
+        """All pairs of nodes of different components in each key. In keys of many nodes sketches sort them out at once."""
+        part = part.select("key", "node", "n", "pos", "root", "nodes")
+        few, many = part.where(F.col("nodes") <= FEW), part.where(F.col("nodes") > FEW).join(self.nodes.select("node", "sketch"), "node")
+        few, many = few.drop("nodes"), stored(many.drop("nodes"), "many")
+        return self.met(few, few, once=True).union(self.met(many, many, once=True, sketched=True)).distinct()
+
+    def screened(self, pairs: DataFrame) -> DataFrame:
+        """Of pairs (a, b), those that sketches don't rule out."""
+        side = lambda c, x: self.nodes.select(F.col("node").alias(c), F.col("n").alias(f"n{x}"), F.col("sketch").alias(f"sketch{x}"))
+        return pairs.join(side("a", "_x"), "a").join(side("b", "_y"), "b").where(self.alike("_x", "_y")).select("a", "b")
+
     def roots(self) -> DataFrame:
         """(node, root) of the nodes that have links."""
         index = self.index()
         part = index.withColumn("root", F.col("node"))
         links = roots = tested = None
         for orders in (*ORDERS, 0):
-            pairs = self.pairs(part, orders)
-            if tested is not None:
-                pairs = stored(pairs, "pairs").join(tested, ["a", "b"], "left_anti")
-            pairs = stored(pairs, "pairs")
+            pairs = self.screened(stored(self.with_pivots(part, orders) if orders else self.all_pairs(part), "met"))
+            pairs = stored(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"), "pairs")
             tested = pairs if tested is None else tested.union(pairs)
             found = self.verified(pairs)
             links = found if links is None else links.union(found)
             roots = components(links)
-            part = index.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-            split = part.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("key")
             if orders:
-                part = stored(part.join(split, "key", "left_semi"), "part")
+                part = part.drop("root", "nodes").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+                split = part.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("nodes")).where("lo < hi").select("key", "nodes")
+                part = stored(part.join(split, "key"), "part")
         return roots
 
 
