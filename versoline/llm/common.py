@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import ctypes
+import functools
+import gc
 import tempfile
 import uuid
 
@@ -124,6 +127,23 @@ def hashed(words: pa.Array) -> np.ndarray:
     return mixed(np.add.reduceat(values, starts) + sizes.astype(U) * ODD[1])
 
 
+def tidy(run):
+    """A function for mapInArrow that gives its memory back when its task is over, as workers live on for other tasks."""
+
+    @functools.wraps(run)
+    def wrapped(batches):
+        try:
+            yield from run(batches)
+        finally:
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc alone has it
+            if trim is not None:
+                trim(0)
+
+    return wrapped
+
+
 def in_slices(df: DataFrame, by: str, work, schema, most: int = SLICE_BYTES) -> DataFrame:
     """mapInArrow with work(RecordBatch) -> RecordBatch or Table over runs of rows of about so many bytes of a column.
 
@@ -137,4 +157,4 @@ def in_slices(df: DataFrame, by: str, work, schema, most: int = SLICE_BYTES) ->
                 out = work(batch.slice(start, stop - start))
                 yield from out.to_batches() if isinstance(out, pa.Table) else [out]
 
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(tidy(run), schema)

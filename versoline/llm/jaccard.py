@@ -32,7 +32,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ODD, U, cut, hashed, held, mixed, slices, stored, table, words_of
+from .common import ODD, U, cut, hashed, held, mixed, slices, stored, table, tidy, words_of
 from .components import components
 
 WORDS = 4
@@ -40,13 +40,15 @@ PERCENT = 85
 #: A token is frequent if some task saw it in LOCAL sets and all tasks in OVERALL; the table of such tokens is bounded.
 LOCAL, OVERALL, MOST_FREQUENT = 3, 32, 1_000_000
 #: Tokens that a task counts at once, and set digests it remembers to count copies once.
-WINDOW_TOKENS, SEEN_SETS = 4_000_000, 200_000
+WINDOW_TOKENS, SEEN_SETS = 1_500_000, 100_000
+#: Bytes of text taken apart at once.
+PART = 4 << 20
 #: Bits of the filters that keep shared keys and texts of candidates; their size does not depend on the input.
 FILTER_BITS = 1 << 26
 #: Pivots in each round: one order of nodes for all keys, then so many orders by key.
 ORDERS = (1, 16)
-#: Keys of more nodes have their rows' sketches at hand when all pairs are compared.
-FEW = 32
+#: Keys of more nodes are compared in families, with sketches at hand, in blocks of so many nodes.
+FEW, BLOCK = 32, 1024
 
 SALT = np.arange(1, 65, dtype=U) * ODD[0]
 
@@ -78,11 +80,11 @@ def shingle_sets(texts: pa.Array, width: int = WORDS) -> tuple[np.ndarray, np.nd
 def sketches(row: np.ndarray, tokens: np.ndarray, sizes: np.ndarray) -> pa.Array:
     """A list of 64-bit words for each set: which of its buckets have an odd number of tokens.
 
-    A set of n tokens has the least 64 * 2^k buckets that are n or more. Where two sketches of one length differ, the sets
+    A set of n tokens has the least 64 * 2^k buckets that are 4 n or more. Where two sketches of one length differ, the sets
     differ by a token at least: so the number of such bits never is above the size of the symmetric
     difference. The halves of a sketch, XORed, are the sketch of half the length.
     """
-    words = 1 << np.ceil(np.log2(np.maximum(1, sizes / 64))).astype(np.int64)
+    words = 1 << np.ceil(np.log2(np.maximum(1, sizes / 16))).astype(np.int64)
     ends = np.cumsum(words)
     bucket = (ends - words)[row] * 64 + (tokens.view(np.int64) & (words[row] * 64 - 1))
     odd = np.bincount(bucket, minlength=(ends[-1] if len(ends) else 0) * 64) & 1
@@ -164,7 +166,7 @@ def documents_pass(width: int, percent: int):
 
         for batch in batches:
             ids = batch.column(0)
-            for start, stop in slices(batch.column(1)):
+            for start, stop in slices(batch.column(1), PART):
                 texts = held(batch.column(1).slice(start, stop - start))
                 row, tokens = shingle_sets(texts, width)
                 sizes, node = digests(row, tokens, len(texts))
@@ -183,7 +185,7 @@ def documents_pass(width: int, percent: int):
                     window, held_tokens = [], 0
         yield counted()
 
-    return run, schema
+    return tidy(run), schema
 
 
 def index_pass(width: int, percent: int, frequent, shared=None):
@@ -195,7 +197,7 @@ def index_pass(width: int, percent: int, frequent, shared=None):
         bits = None if shared is None else np.frombuffer(shared.value, U)
         seen: set[int] = set()
         for batch in batches:
-            for start, stop in slices(batch.column(0)):
+            for start, stop in slices(batch.column(0), PART):
                 texts = held(batch.column(0).slice(start, stop - start))
                 row, tokens = shingle_sets(texts, width)
                 sizes, node = digests(row, tokens, len(texts))
@@ -216,7 +218,7 @@ def index_pass(width: int, percent: int, frequent, shared=None):
                     b = slice(a, a + 500_000)
                     yield pa.RecordBatch.from_arrays([pa.array(key[b].view(np.int64)), pa.array(node[r[b]]), pa.array(sizes[r[b]].astype(np.int32)), pa.array(pos[b].astype(np.int32))], ["key", "node", "n", "pos"])
 
-    return run, schema
+    return tidy(run), schema
 
 
 def has_bit(bits: np.ndarray, ids: np.ndarray) -> np.ndarray:
@@ -233,7 +235,7 @@ def sets_pass(width: int, wanted):
         for batch in batches:
             ids = pc.fill_null(batch.column(0), 0).to_numpy()
             batch = batch.filter(pa.array(has_bit(bits, ids)))
-            for start, stop in slices(batch.column(1)):
+            for start, stop in slices(batch.column(1), PART):
                 texts = held(batch.column(1).slice(start, stop - start))
                 row, tokens = shingle_sets(texts, width)
                 sizes, node = digests(row, tokens, len(texts))
@@ -241,7 +243,7 @@ def sets_pass(width: int, wanted):
                 lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes[full])]).astype(np.int32)), pa.array(tokens.view(np.int64)))
                 yield pa.RecordBatch.from_arrays([pa.array(node[full]), lists], ["node", "tokens"])
 
-    return run, schema
+    return tidy(run), schema
 
 
 def frequent_tokens(counted: DataFrame) -> np.ndarray:
@@ -316,13 +318,13 @@ class Join:
         both = F.size(F.array_intersect("x", "y"))
         return stored(two.where(100 * both >= self.percent * (F.size("x") + F.size("y") - both)).select("a", "b"), "links")
 
-    def met(self, one: DataFrame, two: DataFrame, once: bool, sketched: bool = False) -> DataFrame:
+    def met(self, one: DataFrame, two: DataFrame, once: bool, by: tuple[str, ...] = ("key",)) -> DataFrame:
         """Distinct (a, b) of different components that share a key and whose similarity isn't ruled out by sizes and places, nor by sketches if rows have them."""
-        columns = [c for c in two.columns if c != "key"]
-        one, two = (df.select("key", *(F.col(c).alias(f"{c}{x}") for c in columns)) for df, x in ((one, "_x"), (two, "_y")))
+        columns = [c for c in two.columns if c not in by]
+        one, two = (df.select(*by, *(F.col(c).alias(f"{c}{x}") for c in columns)) for df, x in ((one, "_x"), (two, "_y")))
         apart = (F.col("root_x") != F.col("root_y")) & (F.lit(not once) | (F.col("node_x") < F.col("node_y")))
-        both = one.join(two, "key").where(apart & self.near("_x", "_y"))
-        both = both.where(self.alike("_x", "_y")) if sketched else both
+        both = one.join(two, list(by)).where(apart & self.near("_x", "_y"))
+        both = both.where(self.alike("_x", "_y")) if "sketch" in columns else both
         return both.select(F.least("node_x", "node_y").alias("a"), F.greatest("node_x", "node_y").alias("b")).distinct()
 
     def with_pivots(self, part: DataFrame, orders: int) -> DataFrame:
@@ -332,11 +334,29 @@ class Join:
         return self.met(part.groupBy("key").agg(first.alias("p")).select("key", "p.*"), part.select("key", *columns), once=False)
 
     def all_pairs(self, part: DataFrame) -> DataFrame:
-        """All pairs of nodes of different components in each key. In keys of many nodes sketches sort them out at once."""
+        """All pairs of nodes of different components in each key.
+
+        Nodes of keys with many nodes share most of such keys with each other, and would meet in each. So the nodes that such keys
+        connect are a family, and where that means no more comparisons, pairs of a family are compared once.
+        """
         part = part.select("key", "node", "n", "pos", "root", "nodes")
-        few, many = part.where(F.col("nodes") <= FEW), part.where(F.col("nodes") > FEW).join(self.nodes.select("node", "sketch"), "node")
-        few, many = few.drop("nodes"), stored(many.drop("nodes"), "many")
-        return self.met(few, few, once=True).union(self.met(many, many, once=True, sketched=True)).distinct()
+        few = part.where(F.col("nodes") <= FEW).drop("nodes")
+        many = cut(part.where(F.col("nodes") > FEW))
+        if many.isEmpty():
+            return self.met(few, few, once=True)
+        family = components(many.select(F.col("node").alias("a"), F.xxhash64("key", F.lit("key")).alias("b"))).withColumnRenamed("root", "family")
+        rows = stored(many.join(family, "node"), "families")
+        sizes = rows.groupBy("family").agg(F.count_distinct("node").alias("members"), F.sum("nodes").alias("met"))
+        whole = cut(sizes.where(F.col("members") * F.col("members") <= F.col("met")).select("family", "members"))
+        once = rows.join(whole, "family").select(F.col("family").alias("key"), "node", "n", F.lit(0).alias("pos"), "root", F.col("members").alias("nodes")).distinct()
+        each = rows.join(whole, "family", "left_anti").select("key", "node", "n", "pos", "root", "nodes")
+        placed = stored(once.union(each).join(self.nodes.select("node", "sketch"), "node"), "many")
+        # each pair of blocks is one group; a node is in one block and is sent to every other
+        blocks = F.ceil(F.col("nodes") / BLOCK).cast("int")
+        own, every = F.pmod(F.xxhash64("node"), blocks.cast("long")).cast("int"), F.explode(F.sequence(F.lit(0), blocks - 1))
+        columns = ("key", "node", "n", "pos", "root", "sketch")
+        one, two = placed.select(*columns, own.alias("i"), every.alias("j")), placed.select(*columns, own.alias("j"), every.alias("i"))
+        return self.met(few, few, once=True).union(self.met(one.select(*columns, "i", "j"), two.select(*columns, "i", "j"), once=True, by=("key", "i", "j"))).distinct()
 
     def screened(self, pairs: DataFrame) -> DataFrame:
         """Of pairs (a, b), those that sketches don't rule out."""

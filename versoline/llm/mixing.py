@@ -47,7 +47,8 @@ def inverse_demand(share: Column, schedule: Sequence[Phase]) -> Column:
     for n, a, b in schedule:
         x = need - F.lit(area)
         # n * (root of (b - a) / 2 * y^2 + a * y = x / n), in a form that also holds for b = a
-        here = F.lit(start) + 2 * x / (F.lit(a) + F.sqrt(F.greatest(F.lit(a * a) + 2 * F.lit(b - a) * x / F.lit(n), F.lit(0.0))))
+        root = F.lit(a) + F.sqrt(F.greatest(F.lit(a * a) + 2 * F.lit(b - a) * x / F.lit(n), F.lit(0.0)))
+        here = F.lit(start) + F.coalesce(F.try_divide(2 * x, root), F.lit(0.0))
         out = F.when(out.isNull() & (x <= F.lit(n * (a + b) / 2 + 1e-12)), here).otherwise(out)
         start, area = start + n, area + n * (a + b) / 2
     return F.coalesce(out, F.lit(start))
@@ -100,7 +101,7 @@ def mix(docs: DataFrame, curriculum: Sequence[Sequence[Phase]] = CURRICULUM, rep
     passes = F.floor(whole / F.greatest(F.col("mix_source_size"), F.lit(1)))
     rest = whole - passes * F.col("mix_source_size") - F.col("mix_offset")
     rows = rows.withColumn("mix_taken", (passes * F.col("mix_size") + F.greatest(F.least(rest, F.col("mix_size")), F.lit(0))).cast("long"))
-    share = F.col("mix_offset") / F.col("mix_target")
+    share = F.try_divide("mix_offset", "mix_target")
     at = F.lit(None).cast("double")
     for k, schedule in enumerate(curriculum):
         at = F.when(F.col("mix_class") == k, inverse_demand(share, schedule)).otherwise(at)
