@@ -80,11 +80,11 @@ def shingle_sets(texts: pa.Array, width: int = WORDS) -> tuple[np.ndarray, np.nd
 def sketches(row: np.ndarray, tokens: np.ndarray, sizes: np.ndarray) -> pa.Array:
     """A list of 64-bit words for each set: which of its buckets have an odd number of tokens.
 
-    A set of n tokens has the least 64 * 2^k buckets that are 4 n or more. Where two sketches of one length differ, the sets
+    A set of n tokens has the least 64 * 2^k buckets that are 2 n or more. Where two sketches of one length differ, the sets
     differ by a token at least: so the number of such bits never is above the size of the symmetric
     difference. The halves of a sketch, XORed, are the sketch of half the length.
     """
-    words = 1 << np.ceil(np.log2(np.maximum(1, sizes / 16))).astype(np.int64)
+    words = 1 << np.ceil(np.log2(np.maximum(1, sizes / 32))).astype(np.int64)
     ends = np.cumsum(words)
     bucket = (ends - words)[row] * 64 + (tokens.view(np.int64) & (words[row] * 64 - 1))
     odd = np.bincount(bucket, minlength=(ends[-1] if len(ends) else 0) * 64) & 1

@@ -109,7 +109,7 @@ def context_ids(last: Column, before: Column) -> Column:
 
 
 def with_candidates(df: DataFrame) -> DataFrame:
-    """Adds pii_tokens: (start, end, value, kind, contexts) of tokens with a digit or @; kind is that of a seed, or -1."""
+    """Adds pii_tokens: (start, end, value, kind, contexts) of tokens with a digit or @; kind is that of the base span that starts in the token, or -1; value is a hash of that span or of the token."""
     df = with_matches(df, "pii_text", TOKEN, "pii_found")
     edge = r"""["'()\[\]{}<>,.;:!?]"""
 
@@ -120,9 +120,12 @@ def with_candidates(df: DataFrame) -> DataFrame:
         over = F.filter("pii_base", lambda b: (b["start"] < x["end"]) & (b["end"] > x["start"]))
         kind = F.when(F.size(over) == 0, -1).when(over[0]["start"] >= x["start"], over[0]["no"]).otherwise(-2)
         contexts = F.when(F.size(words) == 0, F.array().cast("array<bigint>")).otherwise(context_ids(F.element_at(words, -1), F.try_element_at(words, F.lit(-2))))
-        return F.struct((x["start"] + lead).alias("start"), (x["start"] + lead + F.length(core)).alias("end"), F.xxhash64(core).alias("value"), kind.alias("kind"), contexts.alias("contexts"))
+        whole = F.substring(F.col("pii_text"), over[0]["start"] + 1, over[0]["end"] - over[0]["start"])
+        value = F.xxhash64(F.when(kind >= 0, whole).otherwise(core))
+        return F.struct((x["start"] + lead).alias("start"), (x["start"] + lead + F.length(core)).alias("end"), value.alias("value"), kind.alias("kind"), contexts.alias("contexts"))
 
-    tokens = F.filter(F.transform("pii_found", token), lambda t: (t["kind"] >= -1) & (t["end"] - t["start"] >= LEAST_LENGTH) & (F.size(t["contexts"]) > 0))
+    long = lambda t: (t["kind"] >= 0) | (t["end"] - t["start"] >= LEAST_LENGTH)
+    tokens = F.filter(F.transform("pii_found", token), lambda t: (t["kind"] >= -1) & long(t) & (F.size(t["contexts"]) > 0))
     return df.withColumn("pii_tokens", tokens).drop("pii_found")
 
 
