@@ -109,7 +109,6 @@ SELECT source, doc_id, CAST(n AS INTEGER) AS n, CAST(place AS INTEGER) AS place,
 def diff_head(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").where("text is not null")
     lines = docs.select("source", "doc_id", F.posexplode(lines_of(F.col("text"))).alias("n", "line")).withColumn("n", F.col("n") + 1)
-    # 20 documents of each source hold its first 20 lines, as each has one at least
     return head_by(lines, "source", 20, "doc_id", "n").select("source", "doc_id", "n", F.col("at").alias("place"), F.md5(F.col("line").cast("binary")).alias("digest"))
 
 
