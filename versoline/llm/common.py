@@ -7,6 +7,7 @@ import functools
 import gc
 import tempfile
 import uuid
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
@@ -48,13 +49,54 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
+class Scratch:
+    """Tables in the shared folder that can be dropped together, once nothing reads them any more."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths = spark, []
+
+    def stored(self, df: DataFrame, what: str) -> DataFrame:
+        """df, written once as a table and read back, which cuts its lineage."""
+        path = f"{shared_dir(self.spark)}/versoline-{self.spark.sparkContext.applicationId}/{what}-{uuid.uuid4().hex}"
+        self.paths.append(path)
+        schema = df.schema
+        df.write.parquet(path)
+        return self.spark.read.schema(schema).parquet(path)
+
+    def drop(self) -> None:
+        """Deletes the tables. Shuffle files go when the driver collects the plans that made them, so that is asked for."""
+        sc = self.spark.sparkContext
+        for p in self.paths:
+            path = sc._jvm.org.apache.hadoop.fs.Path(p)
+            path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
+        self.paths = []
+        give_back()
+        sc._jvm.System.gc()
+
+
+#: What stored() has written for results that are read later, by application.
+_kept: dict[str, Scratch] = {}
+
+
 def stored(df: DataFrame, what: str) -> DataFrame:
-    """df, written once as a table in the shared folder and read back, which cuts its lineage."""
+    """df, written once in the shared folder and read back; the table stays until release()."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/versoline-{spark.sparkContext.applicationId}/{what}-{uuid.uuid4().hex}"
-    schema = df.schema
-    df.write.parquet(path)
-    return spark.read.schema(schema).parquet(path)
+    return _kept.setdefault(spark.sparkContext.applicationId, Scratch(spark)).stored(df, what)
+
+
+def release(spark: SparkSession) -> None:
+    """Drops all tables that stored() has written; results that aren't written out yet can't be read afterwards."""
+    if (scratch := _kept.get(spark.sparkContext.applicationId)) is not None:
+        scratch.drop()
+
+
+def give_back() -> None:
+    """Returns free memory to the system."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc alone has it
+    if trim is not None:
+        trim(0)
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -63,6 +105,13 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def aside(docs: DataFrame, clashes) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
+    """docs with columns whose names clash renamed, and a function that restores the columns of docs in a result."""
+    names = docs.columns
+    safe = [f"aside_{k}" if clashes(c) else c for k, c in enumerate(names)]
+    return docs.toDF(*safe), lambda out: out.select(*(F.col(s).alias(c) for s, c in zip(safe, names, strict=True)))
+
+
 def word_count(text: Column) -> Column:
     """Number of words, that is of maximal runs without white space; 0 for null."""
     white = [chr(c) for c in (32, *range(9, 14))]
@@ -135,11 +184,7 @@ def tidy(run):
         try:
             yield from run(batches)
         finally:
-            gc.collect()
-            pa.default_memory_pool().release_unused()
-            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc alone has it
-            if trim is not None:
-                trim(0)
+            give_back()
 
     return wrapped
 

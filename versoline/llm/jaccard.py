@@ -1,7 +1,7 @@
 """N-gram Jaccard join by token-combination prefixes.
 
 A document is the set of its distinct word shingles; two are linked when their sets' Jaccard similarity is
-at least percent / 100. Documents with equal sets are one node. The join is exact on 64-bit shingle
+at least percent / 100. Documents with equal sets are one node. The join is exact on 48-bit shingle
 hashes:
 
 1. Tokens (shingles) have a global order: rare ones first, frequent ones last, by hash within. Frequent means seen
@@ -32,7 +32,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ODD, U, cut, hashed, held, mixed, slices, stored, table, tidy, words_of
+from .common import ODD, U, Scratch, cut, give_back, hashed, held, mixed, slices, stored, table, tidy, words_of
 from .components import components
 
 WORDS = 4
@@ -42,7 +42,7 @@ LOCAL, OVERALL, MOST_FREQUENT = 3, 32, 1_000_000
 #: Tokens that a task counts at once, and set digests it remembers to count copies once.
 WINDOW_TOKENS, SEEN_SETS = 1_500_000, 100_000
 #: Bytes of text taken apart at once.
-PART = 4 << 20
+PART = 2 << 20
 #: Bits of the filters that keep shared keys and texts of candidates; their size does not depend on the input.
 FILTER_BITS = 1 << 26
 #: Pivots in each round: one order of nodes for all keys, then so many orders by key.
@@ -275,6 +275,7 @@ class Join:
 
     def __init__(self, docs: DataFrame, width: int, percent: int):
         self.width, self.percent, self.spark = width, percent, docs.sparkSession
+        self.scratch = Scratch(self.spark)
         self.texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
         run, schema = documents_pass(width, percent)
         first = stored(self.texts.mapInArrow(run, schema), "sets")
@@ -304,9 +305,9 @@ class Join:
         run, schema = index_pass(self.width, self.percent, often)
         # tasks may both emit a copy; least and last differ only if a key has two nodes
         ends = rows.mapInArrow(run, schema).groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi"))
-        keys = stored(ends.where("lo < hi").select("key"), "keys")
+        keys = self.scratch.stored(ends.where("lo < hi").select("key"), "keys")
         run, schema = index_pass(self.width, self.percent, often, self.spark.sparkContext.broadcast(filter_of(keys)))
-        return stored(rows.mapInArrow(run, schema).join(keys, "key", "left_semi").distinct(), "index")
+        return self.scratch.stored(rows.mapInArrow(run, schema).join(keys, "key", "left_semi").distinct(), "index")
 
     def verified(self, pairs: DataFrame) -> DataFrame:
         """Of pairs (a, b) of nodes, those whose sets are similar enough."""
@@ -316,7 +317,7 @@ class Join:
         one = pairs.join(sets.select(F.col("node").alias("a"), F.col("tokens").alias("x")), "a")
         two = one.join(sets.select(F.col("node").alias("b"), F.col("tokens").alias("y")), "b")
         both = F.size(F.array_intersect("x", "y"))
-        return stored(two.where(100 * both >= self.percent * (F.size("x") + F.size("y") - both)).select("a", "b"), "links")
+        return self.scratch.stored(two.where(100 * both >= self.percent * (F.size("x") + F.size("y") - both)).select("a", "b"), "links")
 
     def met(self, one: DataFrame, two: DataFrame, once: bool, by: tuple[str, ...] = ("key",)) -> DataFrame:
         """Distinct (a, b) of different components that share a key and whose similarity isn't ruled out by sizes and places, nor by sketches if rows have them."""
@@ -345,12 +346,12 @@ class Join:
         if many.isEmpty():
             return self.met(few, few, once=True)
         family = components(many.select(F.col("node").alias("a"), F.xxhash64("key", F.lit("key")).alias("b"))).withColumnRenamed("root", "family")
-        rows = stored(many.join(family, "node"), "families")
+        rows = self.scratch.stored(many.join(family, "node"), "families")
         sizes = rows.groupBy("family").agg(F.count_distinct("node").alias("members"), F.sum("nodes").alias("met"))
         whole = cut(sizes.where(F.col("members") * F.col("members") <= F.col("met")).select("family", "members"))
         once = rows.join(whole, "family").select(F.col("family").alias("key"), "node", "n", F.lit(0).alias("pos"), "root", F.col("members").alias("nodes")).distinct()
         each = rows.join(whole, "family", "left_anti").select("key", "node", "n", "pos", "root", "nodes")
-        placed = stored(once.union(each).join(self.nodes.select("node", "sketch"), "node"), "many")
+        placed = self.scratch.stored(once.union(each).join(self.nodes.select("node", "sketch"), "node"), "many")
         # each pair of blocks is one group; a node is in one block and is sent to every other
         blocks = F.ceil(F.col("nodes") / BLOCK).cast("int")
         own, every = F.pmod(F.xxhash64("node"), blocks.cast("long")).cast("int"), F.explode(F.sequence(F.lit(0), blocks - 1))
@@ -364,28 +365,31 @@ class Join:
         return pairs.join(side("a", "_x"), "a").join(side("b", "_y"), "b").where(self.alike("_x", "_y")).select("a", "b")
 
     def roots(self) -> DataFrame:
-        """(node, root) of the nodes that have links."""
+        """(node, root) of the nodes that have links. What it takes to find them is dropped; it is needed no more."""
         index = self.index()
         part = index.withColumn("root", F.col("node"))
         links = roots = tested = None
         for orders in (*ORDERS, 0):
-            pairs = self.screened(stored(self.with_pivots(part, orders) if orders else self.all_pairs(part), "met"))
-            pairs = stored(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"), "pairs")
+            pairs = self.screened(self.scratch.stored(self.with_pivots(part, orders) if orders else self.all_pairs(part), "met"))
+            pairs = self.scratch.stored(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"), "pairs")
             tested = pairs if tested is None else tested.union(pairs)
             found = self.verified(pairs)
             links = found if links is None else links.union(found)
             roots = components(links)
+            give_back()
+            self.spark.sparkContext._jvm.System.gc()  # for the shuffle files of this round
             if orders:
                 part = part.drop("root", "nodes").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
                 split = part.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("nodes")).where("lo < hi").select("key", "nodes")
-                part = stored(part.join(split, "key"), "part")
+                part = self.scratch.stored(part.join(split, "key"), "part")
+        self.scratch.drop()
         return roots
 
 
 def near_duplicates(docs: DataFrame, width: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """A row per row of docs (doc_id, text): doc_id, n_shingles, component_id. At most 64 words make a shingle.
 
-    component_id is the least doc_id that links lead to.
+    component_id is the least doc_id that links lead to; nulls among ids count only where there is no other.
     """
     join = Join(docs, width, percent)
     roots, nodes = join.roots(), join.nodes.select("node", "least")
