@@ -79,7 +79,7 @@ def test_positions_follow_the_schedule(spark):
 
 
 def test_emit(spark):
-    df = spark.createDataFrame([(d, t, s, len(t or "")) for d, s, t in DOCS], "doc_id long, text string, source string, n_chars long").withColumn("extra", F.lit(7))
+    df = spark.createDataFrame([(d, t, s, len(t or "")) for d, s, t in DOCS], "doc_id long, text string, source string, n_chars long").withColumn("extra", F.lit(7)).withColumn("mix_taken", F.lit("x"))
     out = mixing.emit(df)
     assert out.columns == df.columns
     words = defaultdict(int)

@@ -85,7 +85,7 @@ def test_rounds_trust_patterns_of_discovered_instances(spark):
 
 def test_redact(spark):
     rows = [(1, "mail a@b.co or +1 (499) 555-6503.", 5, "k"), (2, None, None, "k"), (3, "clean", 99, "k"), (4, "a@10.0.0.1.b é", 3, "k")]
-    df = spark.createDataFrame(rows, "doc_id long, text string, n_chars long, pattern string")
+    df = spark.createDataFrame(rows, "doc_id long, text string, n_chars long, pii_row string")
     out = pii.redact(df)
     assert out.columns == df.columns
     got = {r["doc_id"]: r for r in out.collect()}

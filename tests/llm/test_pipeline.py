@@ -4,7 +4,7 @@ import pytest
 
 import corpus_pipeline as P
 from versoline.llm import mixing, packing, toxicity
-from versoline.llm.common import stored, table
+from versoline.llm.common import Scratch, table
 
 from .test_jaccard import brute
 from .test_pii import base
@@ -15,7 +15,7 @@ def stages(spark, sf_dir):
     """What each stage was given and made."""
     docs, out = table(spark, sf_dir, "documents"), {}
     for name, stage in P.STAGES:
-        made = stored(stage(spark, docs, sf_dir), name)
+        made = Scratch(spark).stored(stage(spark, docs, sf_dir), name)
         out[name] = (docs, made)
         docs = made
     return out

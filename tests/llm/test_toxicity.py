@@ -95,7 +95,7 @@ def test_edges(spark):
 
 def test_reject_keeps_columns(spark):
     rows = corpus(300)
-    docs = spark.createDataFrame([(k, t, "en") for k, t, _ in rows], "doc_id long, text string, lang string")
+    docs = spark.createDataFrame([(k, t, "en") for k, t, _ in rows], "doc_id long, text string, toxicity string")
     labels = spark.createDataFrame([(k, y) for k, _, y in rows], "doc_id long, toxic int")
     out = tox.reject(docs, labels)
     assert out.columns == docs.columns

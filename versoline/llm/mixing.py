@@ -23,7 +23,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import WS, stored, table, word_count
+from .common import WS, aside, stored, table, word_count
 
 #: A phase: its length, and the weight at its start and end.
 Phase = tuple[float, float, float]
@@ -120,16 +120,16 @@ def emit(docs: DataFrame, curriculum: Sequence[Sequence[Phase]] = CURRICULUM, re
 
     A pass that ends inside a document keeps its text up to there. Rows that the mix takes nothing of go.
     """
-    names = docs.columns
+    docs, restored = aside(docs, lambda c: c.startswith("mix_"))
     rows = mix(docs, curriculum, repeat).where("mix_taken > 0")
     passes = F.ceil(F.col("mix_taken") / F.col("mix_size")).cast("int")
     rows = rows.withColumn("mix_pass", F.explode(F.sequence(F.lit(1), passes)))
     part = F.col("mix_taken") - (F.col("mix_pass") - 1) * F.col("mix_size")
     text = F.when(part < F.col("mix_size"), first_words(F.col("text"), part)).otherwise(F.col("text"))
     rows = rows.withColumn("text", text)
-    if "n_chars" in names:
+    if "n_chars" in docs.columns:
         rows = rows.withColumn("n_chars", F.when(part < F.col("mix_size"), F.length("text").cast("long")).otherwise(F.col("n_chars")))
-    return rows.select(*names)
+    return restored(rows)
 
 
 def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WS, cut, stored, table
+from .common import WS, aside, cut, stored, table
 
 LOCAL = "A-Za-z0-9._%+-"
 #: Equal to the contract's expressions, with the backtracking taken out: a match starts where a run starts or the last match ended.
@@ -198,7 +198,7 @@ def redact(docs: DataFrame, text: str = "text", **graph) -> DataFrame:
 
     n_chars, where there is such a column, becomes the length of a text that was changed.
     """
-    names = docs.columns
+    docs, restored = aside(docs, lambda c: c.startswith("pii_"))
     rows = with_spans(docs, text, **graph)
     marks = F.array(*(F.lit(f"<{k.upper()}>") for k in KINDS))
     start = F.struct(F.array().cast("array<string>").alias("parts"), F.lit(0).alias("at"))
@@ -210,9 +210,9 @@ def redact(docs: DataFrame, text: str = "text", **graph) -> DataFrame:
     tail = F.substring(F.col(text), F.col("pii_folded.at") + 1, F.length(text))
     rows = rows.withColumn("pii_folded", F.when(F.size("pii_spans") > 0, F.aggregate("pii_spans", start, add)))
     rows = rows.withColumn("pii_new", F.when(F.col("pii_folded").isNotNull(), F.concat(F.array_join("pii_folded.parts", ""), tail)))
-    if "n_chars" in names:
+    if "n_chars" in docs.columns:
         rows = rows.withColumn("n_chars", F.when(F.col("pii_new").isNotNull(), F.length("pii_new").cast("long")).otherwise(F.col("n_chars")))
-    return rows.withColumn(text, F.coalesce("pii_new", text)).select(*names)
+    return restored(rows.withColumn(text, F.coalesce("pii_new", text)))
 
 
 def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
