@@ -1,35 +1,43 @@
-"""The corpus pipeline: each stage works on what the last one kept, written as Parquet in the shared folder and read again."""
+"""The corpus pipeline: each stage works on what the last one kept, written as Parquet in the shared folder and read again.
+
+As a stage begins, what it works on has been written, so the scratch tables of the stages before it are dropped.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
 from versoline.llm import jaccard, mixing, packing, pii, toxicity
-from versoline.llm.common import stored, table
+from versoline.llm.common import Scratch, release, table
 
 
 def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the tagger rejects go. It learns from the labels of documents that are still there."""
+    release(spark)
     return toxicity.reject(docs, table(spark, sf_dir, "labels").select("doc_id", "toxic"))
 
 
 def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies stays: a row of its least doc_id."""
+    release(spark)
     return jaccard.one_of_each(docs, width=5, percent=80)
 
 
 def without_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents stay; what identifies a person gives way to its kind."""
+    release(spark)
     return pii.redact(docs)
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix takes them, in the order of training."""
+    release(spark)
     return mixing.emit(docs)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of the mixed documents in their windows."""
+    release(spark)
     return packing.pack(docs, packing.default_tokenizer())
 
 
@@ -46,11 +54,15 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs, last = table(spark, sf_dir, "documents"), None
     for k, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if k + 1 < len(STAGES):
-            docs = stored(docs, name)
+            scratch = Scratch(spark)
+            docs = scratch.stored(docs, name)
+            if last is not None:
+                last.drop()
+            last = scratch
     return docs
 
 

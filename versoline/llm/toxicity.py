@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from array import array
 from dataclasses import dataclass
 
 import numpy as np
@@ -29,14 +30,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import held, in_slices, table, words_of
+from .common import aside, give_back, held, in_slices, table, words_of
 
 #: Size of the feature table.
 DIMS = 1 << 18
 #: The training sample: documents of either class at most, and characters of such a document at most.
 SAMPLE_TOXIC, SAMPLE_CLEAN, SAMPLE_CHARS = 800, 1500, 12_000
 #: Words whose emissions a worker keeps.
-KEPT_WORDS = 400_000
+KEPT_WORDS = 150_000
 
 CORE = re.compile(r"[^\W_](?:.*[^\W_])?", re.S)
 
@@ -130,12 +131,12 @@ class Model:
     calibration: np.ndarray
 
     def emissions(self, words: list[str], known: dict[str, float]) -> np.ndarray:
-        if len(known) > KEPT_WORDS:
-            known.clear()
+        """Emissions of words; what is met first, and so is common, is kept in known."""
+        into = known if len(known) < KEPT_WORDS else {}
         for w in words:
-            if w not in known:
-                known[w] = float(self.weights[slots(w)].sum())
-        return np.fromiter((known[w] for w in words), float, len(words))
+            if w not in known and w not in into:
+                into[w] = float(self.weights[slots(w)].sum())
+        return np.fromiter((known[w] if w in known else into[w] for w in words), float, len(words))
 
 
 def evidence(p: np.ndarray, offsets: np.ndarray) -> np.ndarray:
@@ -227,12 +228,14 @@ def train(rows: list[tuple[str, int]], steps: int = 60) -> Model:
         return none
     offsets, codes, dictionary = words_of(pa.array([t for t, _ in rows], pa.large_string()))
     words = dictionary.to_pylist()
-    lists = [ids_of(w) for w in words]
-    feature = np.array([f for fs in lists for f in fs], np.int64)
-    many = np.array([len(fs) for fs in lists], np.int64)
+    ids, many = array("I"), np.zeros(len(words), np.int64)
+    for k, w in enumerate(words):
+        found = ids_of(w)
+        ids.extend(found)
+        many[k] = len(found)
+    feature = np.array(ids, np.int64)
     owner = np.repeat(np.arange(len(words)), many)
     place = np.arange(len(feature)) - np.repeat(np.cumsum(many) - many, many)
-    del lists
     marked = np.zeros(len(words), bool)
     if len(words):
         doc, word = distinct_pairs(np.repeat(np.arange(len(rows)), np.diff(offsets)), codes, len(words))
@@ -317,7 +320,7 @@ def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
         keep = [n for n in batch.schema.names if n not in names]
         return pa.RecordBatch.from_arrays([batch.column(batch.schema.get_field_index(n)) for n in keep] + [pa.array(found), pa.array(spans, kind)], keep + ["toxicity", "toxic_spans"])
 
-    return in_slices(docs, text, work, T.StructType([f for f in docs.schema.fields if f.name not in names] + ADDED), 4 << 20)
+    return in_slices(docs, text, work, T.StructType([f for f in docs.schema.fields if f.name not in names] + ADDED), 2 << 20)
 
 
 def held_out(doc_id="doc_id"):
@@ -340,12 +343,15 @@ def sample(docs: DataFrame, labels: DataFrame) -> list[tuple[str, int]]:
 
 
 def fit(docs: DataFrame, labels: DataFrame) -> Model:
-    return train(sample(docs, labels))
+    model = train(sample(docs, labels))
+    give_back()
+    return model
 
 
 def reject(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> DataFrame:
     """The rows of docs that score below threshold, with the columns of docs."""
-    return score(docs, fit(docs, labels)).where(F.col("toxicity") < threshold).select(*docs.columns)
+    docs, restored = aside(docs, lambda c: c in {f.name for f in ADDED})
+    return restored(score(docs, fit(docs, labels)).where(F.col("toxicity") < threshold))
 
 
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
