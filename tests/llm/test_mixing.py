@@ -90,6 +90,35 @@ def test_emit(spark):
         assert words[s] == sum(r["mix_taken"] for r in mixing.mix(df).collect() if r["source"] == s)
 
 
+def test_repeats_have_positions_of_their_own(spark):
+    """A source at 3x: its passes follow one another over the whole curriculum, each in the order of the stream."""
+    df = spark.range(2300).select(F.col("id").alias("doc_id"), F.when(F.col("id") < 300, "small").otherwise("z").alias("source"), F.lit("w w").alias("text"))
+    flat = (((1.0, 1.0, 1.0),), ((1.0, 1.0, 1.0),))
+    order = [r["doc_id"] for r in mixing.emit(df, flat).collect()]
+    at = [k for k, d in enumerate(order) if d < 300]
+    small = [order[k] for k in at]
+    assert len(small) == 900 and small[:300] == small[300:600] == small[600:] and len(set(small)) == 300
+    for t in (0.25, 0.5, 0.75):
+        assert sum(k < t * len(order) for k in at) / 900 == pytest.approx(t, abs=0.02)
+
+
+def test_query_has_a_row_for_each_pass(spark, sf_dir):
+    rows = mixing.op1_mixing(spark, sf_dir).collect()
+    docs = mixing.mix(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "source", "text")).collect()
+    taken, first = defaultdict(int), {}
+    for r in rows:
+        taken[r["doc_id"]] += r["taken"]
+        assert r["taken"] <= r["size"] and (r["position"] is None) == (r["taken"] == 0)
+        if r["pass"] == 1:
+            first[r["doc_id"]] = r["position"]
+    want = defaultdict(int)
+    for r in docs:
+        want[r["doc_id"]] += r["mix_taken"]
+    assert taken == want and first == {r["doc_id"]: r["mix_position"] for r in docs}
+    placed = [r["position"] for r in rows if r["position"] is not None]
+    assert placed == sorted(placed) and {r["pass"] for r in rows} >= {1, 2}
+
+
 def test_empty(spark):
     assert mixing.mix(spark.createDataFrame([], "doc_id long, source string, text string")).count() == 0
     nothing = spark.createDataFrame([(1, "a", None), (2, None, "")], "doc_id long, source string, text string")

@@ -4,8 +4,8 @@ Each source has a schedule: its weight as a piecewise linear function of trainin
 schedule's integral is the source's overall weight; targets share all words by it, no source above
 `repeat` times its own size. A source's documents form a stream in hash order, run through again where the
 target is above its size. Cumulative demand up to time t is target x integral(0, t) / integral(0, 1);
-its inverse gives the training time at which a document's first word is due, and documents are
-range-sorted by that time.
+its inverse gives the training time at which a document's first word is due in each pass of the stream, and
+passes are range-sorted by that time.
 
 Everything is DataFrame code. A source may hold any share of the rows: its stream is split into about
 sqrt(rows) buckets by hash, running sums are taken within buckets and over bucket totals, and no task
@@ -73,13 +73,8 @@ def source_targets(sizes: DataFrame, curriculum: Sequence[Sequence[Phase]], repe
     return one.select("source", "source_no", "class", "source_size", "source_rows", F.least(F.coalesce(F.col("level") * F.col("weight"), F.col("cap")), F.col("cap")).alias("target"))
 
 
-def mix(docs: DataFrame, curriculum: Sequence[Sequence[Phase]] = CURRICULUM, repeat: float = 3.0) -> DataFrame:
-    """Every row of docs (doc_id, source, text and others) with its mix columns, range-sorted by position.
-
-    Added: mix_size, mix_source_size, mix_target, mix_taken (words the mix takes, repeats counted),
-    mix_offset (words of its source's stream before it), mix_class and mix_position (0 to 1, null where
-    nothing is taken). The columns of docs that have such names are replaced.
-    """
+def streamed(docs: DataFrame, curriculum: Sequence[Sequence[Phase]], repeat: float) -> DataFrame:
+    """Every row of docs with its mix columns but the position, in no order."""
     docs = docs.select(*(c for c in docs.columns if not c.startswith("mix_")))
     sizes = stored(docs.select("doc_id", "source", word_count(F.col("text")).alias("size")), "sizes")
     sources = stored(source_targets(sizes, curriculum, repeat), "sources")
@@ -101,13 +96,39 @@ def mix(docs: DataFrame, curriculum: Sequence[Sequence[Phase]] = CURRICULUM, rep
     passes = F.floor(whole / F.greatest(F.col("mix_source_size"), F.lit(1)))
     rest = whole - passes * F.col("mix_source_size") - F.col("mix_offset")
     rows = rows.withColumn("mix_taken", (passes * F.col("mix_size") + F.greatest(F.least(rest, F.col("mix_size")), F.lit(0))).cast("long"))
+    return rows.drop("mix_source", "mix_source_no", "mix_source_rows", "mix_key", "mix_bucket", "mix_start")
+
+
+def sorted_by_position(rows: DataFrame, curriculum: Sequence[Sequence[Phase]]) -> DataFrame:
+    """rows with the time at which the stream has come to their offset, range-sorted by it."""
     share = F.try_divide("mix_offset", "mix_target")
     at = F.lit(None).cast("double")
     for k, schedule in enumerate(curriculum):
         at = F.when(F.col("mix_class") == k, inverse_demand(share, schedule)).otherwise(at)
     rows = rows.withColumn("mix_position", F.when(F.col("mix_taken") > 0, at))
     order = [F.col("mix_position").asc_nulls_last(), F.col("doc_id")]
-    return rows.repartitionByRange(*order).sortWithinPartitions(*order).drop("mix_source", "mix_source_no", "mix_source_rows", "mix_key", "mix_bucket", "mix_start")
+    return rows.repartitionByRange(*order).sortWithinPartitions(*order)
+
+
+def mix(docs: DataFrame, curriculum: Sequence[Sequence[Phase]] = CURRICULUM, repeat: float = 3.0) -> DataFrame:
+    """Every row of docs (doc_id, source, text and others) with its mix columns, range-sorted by its first position.
+
+    Added: mix_size, mix_source_size, mix_target, mix_taken (words the mix takes, repeats counted),
+    mix_offset (words of its source's stream before it), mix_class and mix_position (0 to 1, null where
+    nothing is taken). The columns of docs that have such names are replaced.
+    """
+    return sorted_by_position(streamed(docs, curriculum, repeat), curriculum)
+
+
+def by_pass(rows: DataFrame) -> DataFrame:
+    """A row for each pass that takes words of a row of streamed(): mix_pass, and mix_taken and mix_offset of that pass.
+
+    Rows that nothing is taken of stay, as a pass without words.
+    """
+    passes = F.coalesce(F.ceil(F.try_divide("mix_taken", "mix_size")), F.lit(0)).cast("int")
+    rows = rows.withColumn("mix_pass", F.explode(F.sequence(F.lit(1), F.greatest(passes, F.lit(1)))))
+    before = (F.col("mix_pass") - 1).cast("long")
+    return rows.withColumn("mix_taken", F.least(F.col("mix_taken") - before * F.col("mix_size"), F.col("mix_size"))).withColumn("mix_offset", before * F.col("mix_source_size") + F.col("mix_offset"))
 
 
 def first_words(text: Column, n: Column) -> Column:
@@ -116,23 +137,22 @@ def first_words(text: Column, n: Column) -> Column:
 
 
 def emit(docs: DataFrame, curriculum: Sequence[Sequence[Phase]] = CURRICULUM, repeat: float = 3.0) -> DataFrame:
-    """The mixed documents themselves: the columns of docs, a row per pass that takes words of a document.
+    """The mixed documents themselves: the columns of docs, a row per pass that takes words of a document, sorted by its position.
 
     A pass that ends inside a document keeps its text up to there. Rows that the mix takes nothing of go.
     """
     docs, restored = aside(docs, lambda c: c.startswith("mix_"))
-    rows = mix(docs, curriculum, repeat).where("mix_taken > 0")
-    passes = F.ceil(F.col("mix_taken") / F.col("mix_size")).cast("int")
-    rows = rows.withColumn("mix_pass", F.explode(F.sequence(F.lit(1), passes)))
-    part = F.col("mix_taken") - (F.col("mix_pass") - 1) * F.col("mix_size")
+    rows = by_pass(streamed(docs, curriculum, repeat).where("mix_taken > 0"))
+    part = F.col("mix_taken")
     text = F.when(part < F.col("mix_size"), first_words(F.col("text"), part)).otherwise(F.col("text"))
     rows = rows.withColumn("text", text)
     if "n_chars" in docs.columns:
         rows = rows.withColumn("n_chars", F.when(part < F.col("mix_size"), F.length("text").cast("long")).otherwise(F.col("n_chars")))
-    return restored(rows)
+    return restored(sorted_by_position(rows, curriculum))
 
 
 def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row per pass of each document, in the order of training: what the pass takes, and when."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
-    rows = mix(docs)
-    return rows.select("doc_id", F.col("mix_size").alias("size"), F.col("mix_source_size").alias("source_size"), F.col("mix_target").alias("target"), F.col("mix_taken").alias("taken"), F.col("mix_position").alias("position"))
+    rows = sorted_by_position(by_pass(streamed(docs, CURRICULUM, 3.0)), CURRICULUM)
+    return rows.select("doc_id", F.col("mix_size").alias("size"), F.col("mix_source_size").alias("source_size"), F.col("mix_target").alias("target"), F.col("mix_pass").alias("pass"), F.col("mix_taken").alias("taken"), F.col("mix_position").alias("position"))
