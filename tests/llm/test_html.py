@@ -38,6 +38,19 @@ def test_what_surrounds_an_article_goes(around, main):
     assert main_text(page) == "\n\n".join(want)
 
 
+LINKS = '<ul><li><a href="/a">One other page</a></li><li><a href="/b">Another</a></li></ul>'
+
+
+@pytest.mark.parametrize("page", ["<main>{a}{b}</main>", "<body>{links}{a}{b}{links}</body>", "<div><div>{a}</div><div>{b}</div></div>", "<div><div><div>{a}</div></div>{links}<div><div>{b}</div></div></div>"])
+@pytest.mark.parametrize("kind", ["section", "div"])
+def test_sections_of_a_page_without_an_article_stay(page, kind):
+    long = "".join(f"<p>{LONG}</p>" for _ in range(10))
+    a = f"<{kind}>{long}</{kind}>"
+    b = f"<h2>Then</h2>and bare <a href='/c'>text</a> too<ul><li>item</li></ul><table><tr><td>cell</table><{kind}><p>Short closing.</p></{kind}>"
+    want = [LONG.strip()] * 10 + ["Then", "and bare text too", "item", "cell", "Short closing."]
+    assert main_text(page.format(a=a, b=b, links=LINKS)) == "\n\n".join(want)
+
+
 def test_deep_and_large():
     assert main_text("<div>" * 50_000 + "deep") == "deep"
     assert main_text("<p>" + "word " * 200_000) == ("word " * 200_000).strip()

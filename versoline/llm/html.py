@@ -3,8 +3,8 @@
 A page becomes a tree by a forgiving parser of its own. Parts that are never article text (scripts, forms, navigation, and what
 its tag, role, class or id marks as menu, header, footer, sidebar, notice, advert or comments) leave the tree.
 Each paragraph passes points for its length and commas to its ancestors, fewer with each level; a container's score is
-discounted by its link density. The best container, and those of its siblings that score well or read
-like text, are the article.
+discounted by its link density. The article around the best container is kept whole, or else the main around it. Without
+either, what stands beside the container and its ancestors stays too, other than what is mostly links.
 
 Defined cases: null and empty pages, and pages without text, give an empty text; markup may be cut or unclosed anywhere;
 depth and size are not bounded, as nothing recurses; equal pages give equal texts; other columns are carried.
@@ -230,18 +230,46 @@ def score(nodes: list[Node]) -> None:
             node.score *= 1 - node.linked / node.length
 
 
+def without_links(children: list, kept: Node) -> list:
+    """children other than blocks, and runs of text between blocks, that are mostly links; kept stays."""
+    out: list = []
+    run: list = []
+
+    def flush() -> None:
+        length = sum(len(" ".join(c.split())) if isinstance(c, str) else c.length for c in run)
+        if sum(c.linked for c in run if isinstance(c, Node)) * 2 <= length:
+            out.extend(run)
+        run.clear()
+
+    for c in children:
+        if c is kept or isinstance(c, Node) and c.tag in BLOCK:
+            flush()
+            if c is kept or c.linked * 2 <= c.length:
+                out.append(c)
+        else:
+            run.append(c)
+    flush()
+    return out
+
+
 def chosen(root: Node) -> list[Node]:
-    """The best container and the siblings that belong to it, in page order."""
+    """The nodes whose text is the article, in page order."""
     nodes = in_order(root)
     score(nodes)
     best = max((n for n in nodes if n.tag in CONTAINERS), key=lambda n: n.score, default=root)
     if best.score <= 0:
         return [root]
-    node = best
-    while node is not None:  # an article is kept whole
-        if node.tag == "article":
-            best = node
-        node = node.parent
+    lineage, whole = [best], {}
+    while lineage[-1].parent is not None:
+        lineage.append(lineage[-1].parent)
+    for node in lineage:  # the outermost of each
+        if node.tag in ("article", "main"):
+            whole[node.tag] = node
+    if not whole:
+        for child, node in zip(lineage[:-1], lineage[1:], strict=True):
+            node.children = without_links(node.children, child)
+        return [root]
+    best = whole.get("article") or whole["main"]
     if best.parent is None:
         return [best]
     least = max(10.0, best.score * 0.2)
