@@ -1,3 +1,5 @@
+import textwrap
+
 import pyarrow as pa
 import pytest
 
@@ -45,6 +47,22 @@ def test_scan_is_the_plain_classification(spark, sf_dir, model):
         assert all(text[s["start"] : s["end"]].strip() for s in spans)
 
 
+@pytest.mark.parametrize("mark", ["", "# ", " * ", "// ", "-- "])
+def test_wrapped_notices_are_found(model, mark):
+    """The usual form of notices: lines of 60 characters, behind the marks of a comment, in a text without blank lines."""
+    for family, k in (("mit", 2), ("apache-2.0", 1), ("bsd", 0), ("gpl", 1), ("lgpl", 1), ("mpl-2.0", 0)):
+        notice = "\n".join(mark + x for x in textwrap.wrap(lic.TEMPLATES[family][k], 60))
+        text = "\n".join([FILLER[0], "Other words.", notice, FILLER[1], FILLER[2]])
+        spans = lic.scan_lines(pa.array([FILLER[0], text], pa.large_string()), model, {})
+        start = text.index(notice)
+        assert spans[0] == [] and [(s["family"], s["start"], s["end"]) for s in spans[1]] == [(family, start, start + len(notice))], (family, spans)
+
+
+def test_a_tag_alone_is_a_cue(model):
+    spans = lic.scan_lines(pa.array(["x\n// SPDX-License-Identifier: ISC\ny"], pa.large_string()), model, {})
+    assert [s["family"] for s in spans[0]] == ["unknown"]
+
+
 def test_columns(spark, model):
     df = spark.createDataFrame([(1, None, 1), (2, "", 1), (3, "Released under the MIT License.", 1), (3, "Released under the MIT License.", 1)], "doc_id int, text string, licences int")
     rows = lic.scan(df, model).collect()

@@ -1,14 +1,16 @@
 """Licence scans: a trained paragraph classifier, confirmed by templates.
 
-Paragraphs are lines. A sparse multinomial logistic regression over word 1- to 3-grams tells licence families from ordinary
+Paragraphs are lines, and runs of lines that a notice is wrapped over. A sparse multinomial logistic regression over word 1- to 3-grams tells licence families from ordinary
 text. It is trained on variants of the templates below (names, years and versions changed, words dropped, other
 words around) and on a bounded sample of the corpus's own lines as the class none. A temperature,
 fitted on a part that training doesn't see, calibrates its probabilities. A line that is probably a licence
 but of no family with enough probability, or whose words don't match that family's templates well
 enough, is of the family unknown.
 
-Only lines with two cue words (words of templates that are no stop words) are classified; others are none by
-definition, which whole-column operations decide. Words outside the templates' vocabulary share one number.
+Only lines with two cue words (words of templates that are no stop words) or an SPDX tag are classified; others are none by
+definition, which whole-column operations decide. A run is the fewest lines, comment marks left out, that have CONFIRM of a
+template's word pairs between them, and the lines next to it that go on with the template; its span takes the place
+of spans of its family, or unknown ones, within it. Words outside the templates' vocabulary share one number.
 
 Defined cases: null and empty texts have no licence; equal lines are classified alike; repeated rows are reported each; long
 lines are read whole; an empty table gives no rows; other columns are carried.
@@ -92,7 +94,12 @@ DIMS = 1 << 14
 SAMPLE_LINES, SAMPLE_CHARS = 1500, 400
 VARIANTS, SURE, CONFIRM = 24, 0.6, 0.5
 
+#: Words that are a cue by themselves, and what stands at the start or end of a comment's lines.
+STRONG = frozenset(["spdx-license-identifier"])
+COMMENT = frozenset("/* /** * ** */ **/ // /// # ## ; ;; -- --- % %% <!-- --> rem dnl .\\\" ' !".split())
+
 MARKS = "\"'()[]{}<>,;:!?*#|.“”«»"
+NUMBER = re.compile(r"v?[0-9][0-9.]*")
 SPANS = T.ArrayType(T.StructType([T.StructField("family", T.StringType()), T.StructField("start", T.LongType()), T.StructField("end", T.LongType()), T.StructField("probability", T.DoubleType())]))
 
 
@@ -138,7 +145,7 @@ def template_pairs(family: int) -> tuple[frozenset, ...]:
 
 def pairs(words: list[str]) -> list[tuple]:
     """Word pairs of a line; numbers are all alike, and a single word pairs with nothing."""
-    words = ["0" if re.fullmatch(r"v?[0-9][0-9.]*", w) else w for w in words]
+    words = ["0" if NUMBER.fullmatch(w) else w for w in words]
     return list(zip(words, [*words[1:], ""], strict=True)) if words else []
 
 
@@ -171,7 +178,100 @@ class Model:
 
 
 def is_candidate(line: str) -> bool:
-    return sum(plain(w) in cues() for w in re.split(r"[\x20\x09-\x0D]+", line)) >= 2
+    words = [plain(w) for w in re.split(r"[\x20\x09-\x0D]+", line)]
+    return sum(w in cues() for w in words) >= 2 or any(w in STRONG for w in words)
+
+
+def uncommented(line: str) -> list[str]:
+    """The words of a line as pairs has them, without the marks of a comment around them."""
+    words = line.split()
+    while words and (words[0].lower() in COMMENT):
+        del words[0]
+    while words and words[-1].lower() in COMMENT:
+        del words[-1]
+    return [w for w in map(plain, words) if w]
+
+
+def wrapped(text: str, model: Model) -> list[tuple[int, int, str, float]]:
+    """(first line, last line, family, probability) of notices that run over several lines."""
+    lines = [uncommented(x) for x in text.split("\n")]
+    words = [(w, k) for k, line in enumerate(lines) for w in line]
+    after = pairs([w for w, _ in words])
+    runs: list[tuple[int, int, int]] = []
+    for family in range(NONE):
+        for t in template_pairs(family):
+            # (line of the first word, line of the second, pair); a line's end may be the template's
+            hits = []
+            for k, (pair, (_, line)) in enumerate(zip(after, words, strict=True)):
+                last = k + 1 == len(words) or words[k + 1][1] != line
+                if pair in t:
+                    hits.append((line, words[k + 1][1] if k + 1 < len(words) else line, pair))
+                if last and pair[1] and (pair[0], "") in t:
+                    hits.append((line, line, (pair[0], "")))
+            if len({h[2] for h in hits}) < CONFIRM * len(t):
+                continue
+            own = {line for line, _, _ in hits} | {line for _, line, _ in hits}
+            share = {k: sum(p in t for p in pairs(lines[k])) * 2 >= max(1, len(lines[k]) - 1) for k in own}
+            window: list[tuple[int, int, tuple]] = []
+            for hit in sorted(hits, key=lambda h: (h[1], h[0])):
+                window.append(hit)
+                if len({h[2] for h in window}) < CONFIRM * len(t):
+                    continue
+                last = hit[1]
+                first = max(k for k in {h[0] for h in window} if len({h[2] for h in window if h[0] >= k}) >= CONFIRM * len(t))
+                window = [h for h in window if h[0] > first]
+                if first == last or sum(map(len, lines[first : last + 1])) > 2 * len(t) + 10:
+                    continue
+                while share.get(first - 1):
+                    first -= 1
+                while share.get(last + 1):
+                    last += 1
+                window = [h for h in window if h[0] > last]
+                runs.append((-len({h[2] for h in hits if first <= h[0] and h[1] <= last}), first, last))
+    found: list[tuple[int, int, str, float]] = []
+    for _, first, last in sorted(runs):  # what has most of a template goes before shorter templates' parts of it
+        got = model.classify(" ".join(w for line in lines[first : last + 1] for w in line))
+        if got is not None and not any(f == got[0] and a <= last and first <= b for a, b, f, _ in found):
+            found.append((first, last, *got))
+    return found
+
+
+@functools.cache
+def pair_table() -> tuple[np.ndarray, list[tuple[np.ndarray, int]]]:
+    """Of templates' word pairs with a cue: their numbers, and by template its own and how many of them half of the template needs."""
+    number = numbers()
+    out = []
+    for family in range(NONE):
+        for t in template_pairs(family):
+            own = [number[a] * len(number) + number[b] for a, b in t if b and (a in cues() or b in cues())]
+            out.append((np.array(sorted(own), np.int64), max(1, int(np.ceil(CONFIRM * len(t))) - (len(t) - len(own)))))
+    return np.unique(np.concatenate([own for own, _ in out])), out
+
+
+@functools.cache
+def numbers() -> dict[str, int]:
+    """Numbers of the words that pairs of templates have; 0 is any other word."""
+    return {"": 0} | {w: k for k, w in enumerate(sorted({w for f in range(NONE) for t in template_pairs(f) for p in t for w in p if w}), 1)}
+
+
+def may_be_wrapped(owner: np.ndarray, codes: np.ndarray, core: list[str], raw: list[str]) -> np.ndarray:
+    """Rows (owner has each word's) that have as many pairs of some template as a run needs."""
+    number = numbers()
+    of = np.array([-1 if not w or r.lower() in COMMENT else number.get("0" if NUMBER.fullmatch(w) else w, 0) for w, r in zip(core, raw, strict=True)], np.int64)[codes]
+    owner, of = owner[of >= 0], of[of >= 0]
+    key = of[:-1] * len(number) + of[1:]
+    every, templates = pair_table()
+    at = np.flatnonzero((of[:-1] > 0) & (of[1:] > 0) & (owner[:-1] == owner[1:]))
+    at = at[np.isin(key[at], every)]
+    rows, which = owner[at], key[at]
+    if not len(rows):
+        return rows
+    both = np.unique(np.stack([rows, which], 1), axis=0)
+    found = []
+    for own, need in templates:
+        mine, n = np.unique(both[np.isin(both[:, 1], own), 0], return_counts=True)
+        found.append(mine[n >= need])
+    return np.unique(np.concatenate(found))
 
 
 def train(lines: list[str], seed: int = 5, steps: int = 150) -> Model:
@@ -245,6 +345,7 @@ def scan_lines(texts: pa.Array, model: Model, known: dict) -> list[list[dict]]:
     offsets, codes, dictionary = words_of(lines)
     core = pc.utf8_trim(pc.utf8_lower(dictionary), MARKS)
     cue = pc.is_in(core, pa.array(sorted(cues()), core.type)).to_numpy(zero_copy_only=False).astype(np.int64)
+    cue[pc.is_in(core, pa.array(sorted(STRONG), core.type)).to_numpy(zero_copy_only=False)] = 2
     total = np.concatenate([[0], np.cumsum(cue[codes])])
     hits = np.flatnonzero(total[offsets[1:]] - total[offsets[:-1]] >= 2)
     out: list[list[dict]] = [[] for _ in range(len(texts))]
@@ -259,6 +360,14 @@ def scan_lines(texts: pa.Array, model: Model, known: dict) -> list[list[dict]]:
             start = sum(len(lines[k].as_py()) + 1 for k in range(int(bounds[row]), i))
             family, p = known[line]
             out[row].append({"family": family, "start": start, "end": start + len(line), "probability": p})
+    owner = np.repeat(np.repeat(np.arange(len(texts)), np.diff(bounds)), np.diff(offsets))
+    for row in may_be_wrapped(owner, codes, core.to_pylist(), dictionary.to_pylist()).tolist():
+        text = texts[row].as_py()
+        begins = np.concatenate([[0], np.cumsum([len(x) + 1 for x in text.split("\n")])]).tolist()
+        for first, last, family, p in wrapped(text, model):
+            start, end = begins[first], begins[last + 1] - 1
+            rest = [x for x in out[row] if not (start <= x["start"] and x["end"] <= end and x["family"] in (family, "unknown"))]
+            out[row] = sorted([*rest, {"family": family, "start": start, "end": end, "probability": p}], key=lambda x: (x["start"], x["end"]))
     return out
 
 
@@ -277,7 +386,7 @@ def scan(docs: DataFrame, model: Model, text: str = "text", out: str = "licences
 
 
 def op2_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Per document: how many lines state a licence, the families by name, and family:start:end of each line."""
+    """Per document: how many lines or wrapped notices state a licence, the families by name, and family:start:end of each."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     rows = scan(docs, train(sample(docs)))
     spans = F.array_join(F.transform("licences", lambda x: F.concat_ws(":", x["family"], x["start"], x["end"])), ",")
