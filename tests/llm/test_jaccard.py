@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from versoline.llm import jaccard
-from versoline.llm.components import components
+from versoline.llm.components import components, merged
 
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
@@ -117,7 +117,8 @@ def test_index_shares_a_key_for_every_link():
         both = len(np.intersect1d(base, other))
         frequent = np.sort(base[rng.random(len(base)) < rng.choice([0.0, 0.5, 0.95, 1.0])])
         row = np.repeat([0, 1], [len(base), len(other)])
-        r, key, _ = jaccard.index_rows(row, np.concatenate([base, other]), np.array([len(base), len(other)]), frequent, 85)
+        parts = jaccard.index_rows(row, np.concatenate([base, other]), np.array([len(base), len(other)]), frequent, 85)
+        r, key, _ = (np.concatenate(x) for x in zip(*parts, strict=True))
         linked = 100 * both >= 85 * (len(base) + len(other) - both) and both < max(len(base), len(other))
         if linked:
             assert set(key[r == 0]) & set(key[r == 1]), trial
@@ -153,6 +154,52 @@ def test_components(spark):
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def test_components_of_any_graph(spark):
+    """Random links against a search; then the same links in two halves, merged."""
+    rng = random.Random(5)
+    links = [(rng.randrange(300), rng.randrange(300)) for _ in range(190)]
+    root = {x: x for pair in links for x in pair if pair[0] != pair[1]}
+    for _ in range(300):
+        for a, b in links:
+            if a != b:
+                root[a] = root[b] = min(root[a], root[b])
+    df = lambda rows: spark.createDataFrame(rows, "a long, b long")
+    assert {r["node"]: r["root"] for r in components(df(links)).collect()} == root
+    halves = merged(merged(None, df(links[:95])), df(links[95:]))
+    assert {r["node"]: r["root"] for r in halves.collect()} == root
+
+
+def test_null_ids(spark):
+    texts = ["a b c d e f g h i j k l m n o p q r s t u v w x y z", "A b c d e f g h i j k l m n o p q r s t u v w x y zz", "a b c d e f g h i j k l m n o p q r s t u v w x y"]
+    assert found_rows(spark, [(None, texts[0]), (7, texts[1]), (None, texts[2])]) == [(None, 22, 7), (None, 23, 7), (7, 23, 7)]
+    assert found_rows(spark, [(None, texts[0]), (None, texts[1])]) == [(None, 23, None)] * 2
+
+
+def found_rows(spark, docs):
+    out = jaccard.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    return sorted(map(tuple, out), key=lambda r: (r[0] is not None, r))
+
+
+def test_families_of_hot_keys(spark, monkeypatch):
+    """Keys of many nodes whose nodes are of several components meet in families, and by key where that means fewer comparisons."""
+    monkeypatch.setattr(jaccard, "FEW", 2)
+    monkeypatch.setattr(jaccard, "BLOCK", 3)
+    monkeypatch.setattr(jaccard, "ORDERS", (1,))
+    for seed in (6, 7):
+        docs = variants(seed, bases=4, copies=14, words=30)
+        assert found(spark, docs) == brute(docs)
+
+
 def test_query(spark, sf_dir):
     docs = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()]
     assert sorted(map(tuple, jaccard.op6_jaccard_join(spark, sf_dir).collect())) == brute(docs)
+
+
+def test_ids_with_several_texts(spark):
+    """A text that is no near copy stays, though its id has another text that is one; odd names of columns are no matter."""
+    copy, other = "a b c d e f g h", "p q r s t u v w"
+    docs = [(1, copy, 0), (2, copy, 0), (2, other, 0), (2, other, 0), (3, " ", 1), (3, "", 1)]
+    df = spark.createDataFrame(docs, "doc_id long, text string, `a.b` int").withColumn("TAG", F.lit("x"))
+    out = jaccard.one_of_each(df)
+    assert out.columns == df.columns
+    assert sorted((r["doc_id"], r["text"], r["a.b"], r["TAG"]) for r in out.collect()) == [(1, copy, 0, "x"), (2, other, 0, "x"), (3, "", 1, "x"), (3, " ", 1, "x")]

@@ -105,11 +105,19 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def aside(docs: DataFrame, clashes) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
-    """docs with columns whose names clash renamed, and a function that restores the columns of docs in a result."""
+def aside(docs: DataFrame, needed) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
+    """docs with all columns but the needed ones renamed, so that none clashes, and a function that restores the columns of docs in a result.
+
+    Names go by position and are never read as expressions, so they may hold dots, and may differ by case from any other.
+    """
     names = docs.columns
-    safe = [f"aside_{k}" if clashes(c) else c for k, c in enumerate(names)]
-    return docs.toDF(*safe), lambda out: out.select(*(F.col(s).alias(c) for s, c in zip(safe, names, strict=True)))
+    safe = [c if c in needed else f"aside_{k}" for k, c in enumerate(names)]
+    return docs.toDF(*safe), lambda out: out.select(*safe).toDF(*names)
+
+
+def but(docs: DataFrame, prefix: str) -> DataFrame:
+    """docs without the columns whose names begin so, in any case."""
+    return docs.select(*(F.col("`" + c.replace("`", "``") + "`") for c in docs.columns if not c.lower().startswith(prefix)))
 
 
 def word_count(text: Column) -> Column:

@@ -32,8 +32,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ODD, U, Scratch, cut, give_back, hashed, held, mixed, slices, stored, table, tidy, words_of
-from .components import components
+from .common import ODD, U, Scratch, aside, cut, give_back, hashed, held, mixed, slices, stored, table, tidy, words_of
+from .components import components, merged
 
 WORDS = 4
 PERCENT = 85
@@ -42,13 +42,15 @@ LOCAL, OVERALL, MOST_FREQUENT = 3, 32, 1_000_000
 #: Tokens that a task counts at once, and set digests it remembers to count copies once.
 WINDOW_TOKENS, SEEN_SETS = 1_500_000, 100_000
 #: Bytes of text taken apart at once.
-PART = 2 << 20
+PART = 1 << 20
 #: Bits of the filters that keep shared keys and texts of candidates; their size does not depend on the input.
 FILTER_BITS = 1 << 26
 #: Pivots in each round: one order of nodes for all keys, then so many orders by key.
 ORDERS = (1, 16)
 #: Keys of more nodes are compared in families, with sketches at hand, in blocks of so many nodes.
 FEW, BLOCK = 32, 1024
+#: Parts that rows of a family are dealt to before they meet its size.
+SALTS = 64
 
 SALT = np.arange(1, 65, dtype=U) * ODD[0]
 
@@ -111,8 +113,8 @@ def starts_of(sizes: np.ndarray) -> np.ndarray:
     return np.cumsum(sizes) - sizes
 
 
-def index_rows(row: np.ndarray, tokens: np.ndarray, sizes: np.ndarray, frequent: np.ndarray, percent: int) -> tuple[np.ndarray, ...]:
-    """(row, key, position): the index entries of each set."""
+def index_rows(row: np.ndarray, tokens: np.ndarray, sizes: np.ndarray, frequent: np.ndarray, percent: int) -> Iterator[tuple[np.ndarray, ...]]:
+    """(row, key, position) in parts: the index entries of each set."""
     at = np.minimum(np.searchsorted(frequent, tokens), max(len(frequent) - 1, 0))
     often = frequent[at] == tokens if len(frequent) else np.zeros(len(tokens), bool)
     if often.any():
@@ -124,7 +126,7 @@ def index_rows(row: np.ndarray, tokens: np.ndarray, sizes: np.ndarray, frequent:
     # some larger or smaller set can be linked at all
     could = (n * 100 >= percent * (n + 1)) | ((n - 1) * 100 >= percent * n)
     single = could & ~often & (position < prefix)
-    out = [(row[single], tokens[single], position[single])]
+    yield row[single], tokens[single], position[single]
     pairs = np.zeros(len(sizes), bool)
     pairs[row[could & often & (position < prefix)]] = True
     if pairs.any():
@@ -143,13 +145,12 @@ def index_rows(row: np.ndarray, tokens: np.ndarray, sizes: np.ndarray, frequent:
                 if not len(same):
                     break
                 key = mixed(mixed(t[same]) * ODD[0] + mixed(t[same + s] + ODD[3]) + salt[same])
-                out.append((r[same], key, np.zeros(len(same), np.int64)))
-    return tuple(np.concatenate(x) for x in zip(*out, strict=True))
+                yield r[same], key, np.zeros(len(same), np.int64)
 
 
 def documents_pass(width: int, percent: int):
-    """Rows of kind 0: doc_id, set size, digest, sketch. Of kind 1: a token seen in several sets of this task, and in how many."""
-    schema = "kind int, id long, n long, node long, sketch array<long>"
+    """Rows of kind 0: doc_id, tag, set size, digest, sketch. Of kind 1: a token seen in several sets of this task, and in how many."""
+    schema = "kind int, id long, tag long, n long, node long, sketch array<long>"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
@@ -159,18 +160,19 @@ def documents_pass(width: int, percent: int):
         def counted() -> pa.RecordBatch:
             tokens, times = np.unique(np.concatenate(window), return_counts=True) if window else (np.zeros(0, U), np.zeros(0, np.int64))
             keep = times >= LOCAL
-            return batch_of(np.ones(keep.sum(), np.int32), tokens[keep].view(np.int64), times[keep], np.zeros(keep.sum(), np.int64), pa.nulls(keep.sum(), pa.list_(pa.int64())))
+            none = np.zeros(keep.sum(), np.int64)
+            return batch_of(np.ones(keep.sum(), np.int32), tokens[keep].view(np.int64), none, times[keep], none, pa.nulls(keep.sum(), pa.list_(pa.int64())))
 
-        def batch_of(kind, ids, n, node, sketch) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(kind, pa.int32()), pa.array(ids, pa.int64()), pa.array(n, pa.int64()), pa.array(node, pa.int64()), sketch], ["kind", "id", "n", "node", "sketch"])
+        def batch_of(kind, ids, tag, n, node, sketch) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(kind, pa.int32()), *(pa.array(x, pa.int64()) for x in (ids, tag, n, node)), sketch], ["kind", "id", "tag", "n", "node", "sketch"])
 
         for batch in batches:
-            ids = batch.column(0)
+            ids, tag = batch.column(0), batch.column(2)
             for start, stop in slices(batch.column(1), PART):
                 texts = held(batch.column(1).slice(start, stop - start))
                 row, tokens = shingle_sets(texts, width)
                 sizes, node = digests(row, tokens, len(texts))
-                yield batch_of(np.zeros(len(texts), np.int32), ids.slice(start, stop - start), sizes, node, sketches(row, tokens, sizes))
+                yield batch_of(np.zeros(len(texts), np.int32), ids.slice(start, stop - start), tag.slice(start, stop - start), sizes, node, sketches(row, tokens, sizes))
                 if len(seen) > SEEN_SETS:
                     seen.clear()
                 fresh = np.zeros(len(texts), bool)
@@ -210,13 +212,12 @@ def index_pass(width: int, percent: int, frequent, shared=None):
                         fresh[r] = True
                 keep = fresh[row]
                 row, tokens = row[keep], tokens[keep]
-                r, key, pos = index_rows(row, tokens, np.where(fresh, sizes, 0), often, percent)
-                if bits is not None:
-                    there = has_bit(bits, key)
-                    r, key, pos = r[there], key[there], pos[there]
-                for a in range(0, max(len(r), 1), 500_000):
-                    b = slice(a, a + 500_000)
-                    yield pa.RecordBatch.from_arrays([pa.array(key[b].view(np.int64)), pa.array(node[r[b]]), pa.array(sizes[r[b]].astype(np.int32)), pa.array(pos[b].astype(np.int32))], ["key", "node", "n", "pos"])
+                for r, key, pos in index_rows(row, tokens, np.where(fresh, sizes, 0), often, percent):
+                    if bits is not None:
+                        there = has_bit(bits, key)
+                        r, key, pos = r[there], key[there], pos[there]
+                    if len(r):
+                        yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(node[r]), pa.array(sizes[r].astype(np.int32)), pa.array(pos.astype(np.int32))], ["key", "node", "n", "pos"])
 
     return tidy(run), schema
 
@@ -276,10 +277,10 @@ class Join:
     def __init__(self, docs: DataFrame, width: int, percent: int):
         self.width, self.percent, self.spark = width, percent, docs.sparkSession
         self.scratch = Scratch(self.spark)
-        self.texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+        self.texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("tag"))
         run, schema = documents_pass(width, percent)
         first = stored(self.texts.mapInArrow(run, schema), "sets")
-        self.rows = first.where("kind = 0").select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), "node")
+        self.rows = first.where("kind = 0").select(F.col("id").alias("doc_id"), "tag", F.col("n").alias("n_shingles"), "node")
         self.counted = first.where("kind = 1").select("id", "n")
         one = first.where("kind = 0 and n > 0").groupBy("node").agg(F.min("id").alias("least"), F.first("n").alias("n"), F.first("sketch").alias("sketch"))
         self.nodes = stored(one, "nodes")
@@ -311,9 +312,9 @@ class Join:
 
     def verified(self, pairs: DataFrame) -> DataFrame:
         """Of pairs (a, b) of nodes, those whose sets are similar enough."""
-        ids = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(self.nodes, "node").select("least")
+        ids = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(self.nodes, "node").select(F.coalesce("least", F.lit(0)))
         run, schema = sets_pass(self.width, self.spark.sparkContext.broadcast(filter_of(ids)))
-        sets = self.texts.mapInArrow(run, schema).groupBy("node").agg(F.first("tokens").alias("tokens"))
+        sets = self.texts.select("doc_id", "text").mapInArrow(run, schema).groupBy("node").agg(F.first("tokens").alias("tokens"))
         one = pairs.join(sets.select(F.col("node").alias("a"), F.col("tokens").alias("x")), "a")
         two = one.join(sets.select(F.col("node").alias("b"), F.col("tokens").alias("y")), "b")
         both = F.size(F.array_intersect("x", "y"))
@@ -338,19 +339,25 @@ class Join:
         """All pairs of nodes of different components in each key.
 
         Nodes of keys with many nodes share most of such keys with each other, and would meet in each. So the nodes that such keys
-        connect are a family, and where that means no more comparisons, pairs of a family are compared once.
+        connect are a family, and where that means no more comparisons, pairs of a family are compared once. Families are found
+        over keys, each linked to the least key of its nodes: far fewer links than rows of the index.
         """
         part = part.select("key", "node", "n", "pos", "root", "nodes")
         few = part.where(F.col("nodes") <= FEW).drop("nodes")
         many = cut(part.where(F.col("nodes") > FEW))
         if many.isEmpty():
             return self.met(few, few, once=True)
-        family = components(many.select(F.col("node").alias("a"), F.xxhash64("key", F.lit("key")).alias("b"))).withColumnRenamed("root", "family")
-        rows = self.scratch.stored(many.join(family, "node"), "families")
-        sizes = rows.groupBy("family").agg(F.count_distinct("node").alias("members"), F.sum("nodes").alias("met"))
-        whole = cut(sizes.where(F.col("members") * F.col("members") <= F.col("met")).select("family", "members"))
-        once = rows.join(whole, "family").select(F.col("family").alias("key"), "node", "n", F.lit(0).alias("pos"), "root", F.col("members").alias("nodes")).distinct()
-        each = rows.join(whole, "family", "left_anti").select("key", "node", "n", "pos", "root", "nodes")
+        least = many.groupBy("node").agg(F.min("key").alias("least"))
+        keys = many.select("node", "key").join(least, "node").select(F.col("least").alias("a"), F.col("key").alias("b"))
+        family = components(keys.distinct()).select(F.col("node").alias("key"), F.col("root").alias("family"))
+        rows = self.scratch.stored(many.join(family, "key", "left").withColumn("family", F.coalesce("family", "key")), "families")
+        sizes = rows.groupBy("family", "node").agg(F.sum("nodes").alias("met")).groupBy("family").agg(F.count("*").alias("members"), F.sum("met").alias("met"))
+        whole = cut(sizes.select("family", "members", (F.col("members") * F.col("members") <= F.col("met")).alias("together")))
+        # a family may hold most rows, so they are dealt by a salt as well
+        salted = whole.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        rows = rows.withColumn("salt", F.pmod(F.xxhash64("node", "key"), F.lit(SALTS)).cast("int")).join(salted, ["family", "salt"])
+        once = rows.where("together").select(F.col("family").alias("key"), "node", "n", F.lit(0).alias("pos"), "root", F.col("members").alias("nodes")).distinct()
+        each = rows.where("not together").select("key", "node", "n", "pos", "root", "nodes")
         placed = self.scratch.stored(once.union(each).join(self.nodes.select("node", "sketch"), "node"), "many")
         # each pair of blocks is one group; a node is in one block and is sent to every other
         blocks = F.ceil(F.col("nodes") / BLOCK).cast("int")
@@ -368,22 +375,35 @@ class Join:
         """(node, root) of the nodes that have links. What it takes to find them is dropped; it is needed no more."""
         index = self.index()
         part = index.withColumn("root", F.col("node"))
-        links = roots = tested = None
+        roots = tested = None
         for orders in (*ORDERS, 0):
             pairs = self.screened(self.scratch.stored(self.with_pivots(part, orders) if orders else self.all_pairs(part), "met"))
             pairs = self.scratch.stored(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"), "pairs")
-            tested = pairs if tested is None else tested.union(pairs)
-            found = self.verified(pairs)
-            links = found if links is None else links.union(found)
-            roots = components(links)
+            if not pairs.isEmpty():
+                tested = pairs if tested is None else tested.union(pairs)
+                roots = merged(roots, self.verified(pairs))
             give_back()
             self.spark.sparkContext._jvm.System.gc()  # for the shuffle files of this round
             if orders:
-                part = part.drop("root", "nodes").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+                if roots is not None:
+                    part = part.drop("root").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+                part = part.drop("nodes")
                 split = part.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("nodes")).where("lo < hi").select("key", "nodes")
                 part = self.scratch.stored(part.join(split, "key"), "part")
         self.scratch.drop()
-        return roots
+        return self.nodes.select("node", F.col("node").alias("root")).limit(0) if roots is None else roots
+
+
+def with_groups(docs: DataFrame, width: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """Rows with words (doc_id, tag, n_shingles, group, component), tag a hash of the text, and those without (doc_id, tag, n_shingles)."""
+    join = Join(docs, width, percent)
+    roots, nodes = join.roots(), join.nodes.select("node", "least")
+    grouped = nodes.join(roots, "node", "left").select("node", "least", F.coalesce("root", "node").alias("group"))
+    least = grouped.where("node <> group").groupBy("group").agg(F.min("least").alias("other"))
+    first = grouped.where("node = group").join(least, "group", "left").select("group", F.least("least", "other").alias("component"))
+    found = stored(grouped.join(first, "group").select("node", "group", "component"), "components")
+    full = join.rows.where("n_shingles > 0").join(found, "node").select("doc_id", "tag", "n_shingles", "group", "component")
+    return full, join.rows.where("n_shingles = 0").select("doc_id", "tag", "n_shingles")
 
 
 def near_duplicates(docs: DataFrame, width: int = WORDS, percent: int = PERCENT) -> DataFrame:
@@ -391,28 +411,28 @@ def near_duplicates(docs: DataFrame, width: int = WORDS, percent: int = PERCENT)
 
     component_id is the least doc_id that links lead to; nulls among ids count only where there is no other.
     """
-    join = Join(docs, width, percent)
-    roots, nodes = join.roots(), join.nodes.select("node", "least")
-    least = roots.join(nodes, "node").groupBy("root").agg(F.min("least").alias("component"))
-    found = stored(nodes.join(roots, "node", "left").join(least, "root", "left").select("node", F.coalesce("component", "least").alias("component")), "components")
-    full = join.rows.where("n_shingles > 0").join(found, "node").select("doc_id", "n_shingles", F.col("component").alias("component_id"))
-    return full.union(join.rows.where("n_shingles = 0").select("doc_id", "n_shingles", "doc_id"))
+    full, empty = with_groups(docs, width, percent)
+    return full.select("doc_id", "n_shingles", F.col("component").alias("component_id")).union(empty.select("doc_id", "n_shingles", "doc_id"))
 
 
 def one_of_each(docs: DataFrame, width: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """One row of each component of docs, with all columns: that of the least doc_id.
 
-    Where that id repeats, the row with the least hash stays. Rows without a doc_id take no part and stay.
+    Rows without words are linked with nothing, and rows without a doc_id take no part: they stay. Of rows that are repeated in id and text,
+    the one with the least hash stays; where an id has several texts, each counts for itself, and ties go by the text's hash.
     """
-    found = stored(near_duplicates(docs.where("doc_id is not null"), width, percent), "groups")
-    ids = found.select(F.col("component_id").alias("doc_id")).distinct()
-    kept = docs.join(ids, "doc_id", "left_semi").select(*docs.columns)
-    twice = cut(found.groupBy("doc_id").count().where("count > 1").select("doc_id"))
+    docs, restored = aside(docs, ("doc_id", "text"))
+    docs = docs.withColumn("tag", F.xxhash64("text"))
+    full, empty = with_groups(docs.where("doc_id is not null"), width, percent)
+    full = stored(full, "groups")
+    first = full.groupBy("group").agg(F.min(F.struct("doc_id", "tag")).alias("one")).select("one.*")
+    kept = docs.join(stored(first.union(empty.select("doc_id", "tag")).distinct(), "kept"), ["doc_id", "tag"], "left_semi")
+    twice = cut(kept.groupBy("doc_id", "tag").count().where("count > 1").select("doc_id", "tag"))
     if not twice.isEmpty():
         row = F.struct(*docs.columns)
-        one = kept.join(twice, "doc_id", "left_semi").select("doc_id", row.alias("row")).groupBy("doc_id").agg(F.min_by("row", F.xxhash64("row")).alias("row"))
-        kept = kept.join(twice, "doc_id", "left_anti").select(*docs.columns).unionByName(one.select("row.*"))
-    return kept.unionByName(docs.where("doc_id is null"))
+        one = kept.join(twice, ["doc_id", "tag"], "left_semi").select("doc_id", "tag", row.alias("row")).groupBy("doc_id", "tag").agg(F.min_by("row", F.xxhash64("row")).alias("row"))
+        kept = kept.join(twice, ["doc_id", "tag"], "left_anti").select(*docs.columns).union(one.select("row.*"))
+    return restored(kept.select(*docs.columns).union(docs.where("doc_id is null")))
 
 
 def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

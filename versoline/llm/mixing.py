@@ -23,7 +23,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import WS, aside, stored, table, word_count
+from .common import WS, aside, but, stored, table, word_count
 
 #: A phase: its length, and the weight at its start and end.
 Phase = tuple[float, float, float]
@@ -73,9 +73,9 @@ def source_targets(sizes: DataFrame, curriculum: Sequence[Sequence[Phase]], repe
     return one.select("source", "source_no", "class", "source_size", "source_rows", F.least(F.coalesce(F.col("level") * F.col("weight"), F.col("cap")), F.col("cap")).alias("target"))
 
 
-def streamed(docs: DataFrame, curriculum: Sequence[Sequence[Phase]], repeat: float) -> DataFrame:
-    """Every row of docs with its mix columns but the position, in no order."""
-    docs = docs.select(*(c for c in docs.columns if not c.startswith("mix_")))
+def streamed(docs: DataFrame, curriculum: Sequence[Sequence[Phase]], repeat: float, whole: bool = True) -> DataFrame:
+    """Every row of docs with its mix columns but the position, in no order; where not whole, of docs only doc_id and source."""
+    docs = but(docs, "mix_")
     sizes = stored(docs.select("doc_id", "source", word_count(F.col("text")).alias("size")), "sizes")
     sources = stored(source_targets(sizes, curriculum, repeat), "sources")
     key = F.xxhash64("doc_id", "mix_size")
@@ -88,7 +88,7 @@ def streamed(docs: DataFrame, curriculum: Sequence[Sequence[Phase]], repeat: flo
     totals = placed(sizes.withColumnRenamed("size", "mix_size")).groupBy("mix_source_no", "mix_bucket").agg(F.sum("mix_size").alias("total"))
     run = Window.partitionBy("mix_source_no").orderBy("mix_bucket").rowsBetween(Window.unboundedPreceding, -1)
     starts = stored(totals.select("mix_source_no", "mix_bucket", F.coalesce(F.sum("total").over(run), F.lit(0)).alias("mix_start")), "starts")
-    rows = placed(docs.withColumn("mix_size", word_count(F.col("text"))) if set(docs.columns) != {"doc_id", "source"} else sizes.withColumnRenamed("size", "mix_size"))
+    rows = placed(docs.withColumn("mix_size", word_count(F.col("text"))) if whole else sizes.withColumnRenamed("size", "mix_size"))
     rows = rows.join(starts, ["mix_source_no", "mix_bucket"])
     within = Window.partitionBy("mix_source_no", "mix_bucket").orderBy("mix_key", "doc_id", "mix_size").rowsBetween(Window.unboundedPreceding, -1)
     rows = rows.withColumn("mix_offset", F.col("mix_start") + F.coalesce(F.sum("mix_size").over(within), F.lit(0)))
@@ -141,7 +141,7 @@ def emit(docs: DataFrame, curriculum: Sequence[Sequence[Phase]] = CURRICULUM, re
 
     A pass that ends inside a document keeps its text up to there. Rows that the mix takes nothing of go.
     """
-    docs, restored = aside(docs, lambda c: c.startswith("mix_"))
+    docs, restored = aside(docs, ("doc_id", "source", "text", "n_chars"))
     rows = by_pass(streamed(docs, curriculum, repeat).where("mix_taken > 0"))
     part = F.col("mix_taken")
     text = F.when(part < F.col("mix_size"), first_words(F.col("text"), part)).otherwise(F.col("text"))
@@ -154,5 +154,5 @@ def emit(docs: DataFrame, curriculum: Sequence[Sequence[Phase]] = CURRICULUM, re
 def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A row per pass of each document, in the order of training: what the pass takes, and when."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
-    rows = sorted_by_position(by_pass(streamed(docs, CURRICULUM, 3.0)), CURRICULUM)
+    rows = sorted_by_position(by_pass(streamed(docs, CURRICULUM, 3.0, whole=False)), CURRICULUM)
     return rows.select("doc_id", F.col("mix_size").alias("size"), F.col("mix_source_size").alias("source_size"), F.col("mix_target").alias("target"), F.col("mix_pass").alias("pass"), F.col("mix_taken").alias("taken"), F.col("mix_position").alias("position"))

@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WS, aside, cut, stored, table
+from .common import WS, aside, but, cut, stored, table
 
 LOCAL = "A-Za-z0-9._%+-"
 #: Equal to the contract's expressions, with the backtracking taken out: a match starts where a run starts or the last match ended.
@@ -170,7 +170,7 @@ def with_spans(docs: DataFrame, text: str = "text", **graph) -> DataFrame:
 
     The scan is stored once, with the columns of docs, so that rows keep their numbers while the graph is scored.
     """
-    docs = docs.select(*(c for c in docs.columns if not c.startswith("pii_")))
+    docs = but(docs, "pii_")
     rows = with_candidates(with_base(docs, text)).drop("pii_text")
     rows = stored(rows.withColumn("pii_row", F.monotonically_increasing_id()), "spans")
     return joined(rows, rows.select(F.col(text).alias("text")), **graph)
@@ -198,7 +198,7 @@ def redact(docs: DataFrame, text: str = "text", **graph) -> DataFrame:
 
     n_chars, where there is such a column, becomes the length of a text that was changed.
     """
-    docs, restored = aside(docs, lambda c: c.startswith("pii_"))
+    docs, restored = aside(docs, ("doc_id", text, "n_chars"))
     rows = with_spans(docs, text, **graph)
     marks = F.array(*(F.lit(f"<{k.upper()}>") for k in KINDS))
     start = F.struct(F.array().cast("array<string>").alias("parts"), F.lit(0).alias("at"))

@@ -18,7 +18,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WS, table
+from .common import WS, but, table
 
 #: Labelled rows that the ensemble is fitted to at most, chosen by a hash of the id.
 SAMPLE = 6000
@@ -31,7 +31,7 @@ SYMBOLS = "#$%&*+<=>@[]^_`{|}~/\\"
 
 def with_statistics(docs: DataFrame, text: str = "text") -> DataFrame:
     """Adds q_ columns; shares are of words, lines or characters."""
-    docs = docs.select(*(c for c in docs.columns if not c.startswith("q_")))
+    docs = but(docs, "q_")
     t = F.coalesce(F.col(text), F.lit(""))
     df = docs.withColumn("q_text", t).withColumn("q_words", F.filter(F.split("q_text", f"[{WS}]+"), lambda w: w != "")).withColumn("q_rows", F.filter(F.split("q_text", "\n"), lambda x: x != ""))
     n, chars, rows = F.greatest(F.size("q_words"), F.lit(1)), F.greatest(F.length("q_text"), F.lit(1)), F.greatest(F.size("q_rows"), F.lit(1))

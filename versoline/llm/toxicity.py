@@ -350,7 +350,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
 
 def reject(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> DataFrame:
     """The rows of docs that score below threshold, with the columns of docs."""
-    docs, restored = aside(docs, lambda c: c in {f.name for f in ADDED})
+    docs, restored = aside(docs, ("doc_id", "text"))
     return restored(score(docs, fit(docs, labels)).where(F.col("toxicity") < threshold))
 
 
