@@ -1,11 +1,13 @@
 """Personal data: base patterns, and bootstrapped contextual extraction of identifiers that they miss.
 
 Base spans (email, ip, card, phone) come from regular expressions and checks. They seed the bootstrapping:
-words before a seed are lexical patterns (the last word, and the last two); tokens with a digit or @ that no base span covers are
-candidate instances. Patterns and instances form a graph. A pattern's score is the share of all its occurrences
-in the corpus that an instance follows, each weighed by its confidence; an instance's confidence is 1 for seeds
-and else the noisy-or of its trusted patterns. Rounds alternate the two. What follows a trusted
-pattern becomes a span of kind id, wherever it stands.
+words before a seed are lexical patterns (the last word, and the last two, numbers in them as 0); tokens with a digit or @ that no
+base span covers are candidate instances. Keys and tokens of access are seeds as well, known by their form: but as
+a checksum may look alike, they only lend their confidence to patterns, and are no spans unless a trusted pattern precedes them.
+Patterns and instances form a graph. A pattern's score is the share of all its occurrences
+in the corpus that an instance follows, each weighed by its confidence; an instance's confidence is 1 for base seeds, SECRET for
+the others, and else the noisy-or of its trusted patterns. Rounds alternate the two until no pattern becomes trusted any more.
+What follows a trusted pattern becomes a span of kind id, wherever it stands. Tokens with neither digit nor @ never do.
 
 Everything is DataFrame code; the graph lives in tables. Corpus counts of patterns are taken over all words: a fixed-size bit set
 drops words that are no pattern before they are counted. Possessive quantifiers and look-behinds keep matching linear
@@ -17,6 +19,8 @@ spans go by kind; an empty table gives no rows; offsets are code points; other c
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -35,8 +39,11 @@ KINDS = [*PATTERNS, "id"]
 NEEDS = {"email": "@", "ip": ".", "phone": "+"}
 PART = r"0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
 TOKEN = rf"(?<![^{WS}])[^{WS}0-9@]*+[0-9@][^{WS}]*+"
-#: A pattern needs so many different instances and this score; so many rounds; a candidate has so many characters at least.
-LEAST_INSTANCES, TRUST, ROUNDS, LEAST_LENGTH = 5, 0.5, 3, 4
+#: Keys and tokens of access: 32 hex digits or more, or 20 characters of three kinds; and how sure that form is.
+KEYS = r"^(?=[^0-9]*[0-9])(?=[^A-Za-z]*[A-Za-z])(?:[0-9a-fA-F]{32,}|(?=[^a-z]*[a-z])(?=[^A-Z]*[A-Z])[A-Za-z0-9+/_=.-]{20,})$"
+SECRET = 0.8
+#: A pattern needs so many different instances and this score; a candidate has so many characters at least.
+LEAST_INSTANCES, TRUST, LEAST_LENGTH = 5, 0.5, 4
 FILTER_BITS = 1 << 21
 BLOCK = 256
 
@@ -103,30 +110,48 @@ def with_base(docs: DataFrame, text: str = "text") -> DataFrame:
     return df.withColumn("pii_base", F.array_sort(F.concat(*map(checked, PATTERNS)))).drop(*(f"pii_{kind}" for kind in PATTERNS))
 
 
-def context_ids(last: Column, before: Column) -> Column:
-    """Numbers of the patterns that stand before a token: its last word, and its last two."""
-    return F.when(before.isNull(), F.array(F.xxhash64(last))).otherwise(F.array(F.xxhash64(last), F.xxhash64(before, last)))
+def as_word(text: Column) -> Column:
+    """How words of patterns are told apart: in lower case, with numbers as 0."""
+    return F.regexp_replace(F.lower(text), "[0-9]++", "0")
+
+
+def context_ids(before: Column) -> Column:
+    """Numbers of the patterns at the end of what stands before a token: its last word, and its last two."""
+    plain = F.rtrim(F.translate(before, "\t\n\x0b\f\r", "     "))
+    last = F.substring_index(plain, " ", -1)
+    rest = F.rtrim(F.substring(plain, F.lit(1), F.length(plain) - F.length(last)))
+    one, two = as_word(last), as_word(F.substring_index(rest, " ", -1))
+    return F.when(last == "", F.array().cast("array<bigint>")).when(two == "", F.array(F.xxhash64(one))).otherwise(F.array(F.xxhash64(one), F.xxhash64(two, one)))
 
 
 def with_candidates(df: DataFrame) -> DataFrame:
-    """Adds pii_tokens: (start, end, value, kind, contexts) of tokens with a digit or @; kind is that of the base span that starts in the token, or -1; value is a hash of that span or of the token."""
+    """Adds pii_tokens: (start, end, value, kind, prior, contexts) of tokens with a digit or @; kind is that of the base span that starts in the token, or -1; value is a hash of that span or of the token; prior is its confidence as a seed, or 0."""
     df = with_matches(df, "pii_text", TOKEN, "pii_found")
     edge = r"""["'()\[\]{}<>,.;:!?]"""
 
-    def token(x: Column) -> Column:
+    def token(x: Column, previous: Column) -> Column:
         lead = F.length(x["value"]) - F.length(F.regexp_replace(x["value"], f"^{edge}++", ""))
         core = F.regexp_replace(x["value"], f"^{edge}++|(?<!{edge}){edge}++$", "")
-        words = F.filter(F.split(F.lower(F.right(x["gap"], F.lit(200))), f"[{WS}]+"), lambda w: w != "")
         over = F.filter("pii_base", lambda b: (b["start"] < x["end"]) & (b["end"] > x["start"]))
         kind = F.when(F.size(over) == 0, -1).when(over[0]["start"] >= x["start"], over[0]["no"]).otherwise(-2)
-        contexts = F.when(F.size(words) == 0, F.array().cast("array<bigint>")).otherwise(context_ids(F.element_at(words, -1), F.try_element_at(words, F.lit(-2))))
+        prior = F.when(kind >= 0, 1.0).when((kind == -1) & core.rlike(KEYS), SECRET).otherwise(0.0)
         whole = F.substring(F.col("pii_text"), over[0]["start"] + 1, over[0]["end"] - over[0]["start"])
         value = F.xxhash64(F.when(kind >= 0, whole).otherwise(core))
-        return F.struct((x["start"] + lead).alias("start"), (x["start"] + lead + F.length(core)).alias("end"), value.alias("value"), kind.alias("kind"), contexts.alias("contexts"))
+        return F.struct((x["start"] + lead).alias("start"), (x["start"] + lead + F.length(core)).alias("end"), value.alias("value"), kind.alias("kind"), prior.alias("prior"), context_ids(F.concat(previous, x["gap"])).alias("contexts"))
 
     long = lambda t: (t["kind"] >= 0) | (t["end"] - t["start"] >= LEAST_LENGTH)
-    tokens = F.filter(F.transform("pii_found", token), lambda t: (t["kind"] >= -1) & long(t) & (F.size(t["contexts"]) > 0))
-    return df.withColumn("pii_tokens", tokens).drop("pii_found")
+    def shifted(items: Column) -> Column:
+        return F.concat(F.array(F.lit("")), F.slice(items, F.lit(1), F.greatest(F.size(items) - 1, F.lit(0))))
+
+    def joint(a: Column, b: Column) -> Column:
+        return F.concat(a, b)
+
+    # the token before, what precedes it, and the token before that: the last two words are in there
+    values, gaps = F.transform("pii_found", lambda x: x["value"]), F.transform("pii_found", lambda x: x["gap"])
+    df = df.withColumn("pii_last", F.when(F.size("pii_found") > 0, F.zip_with(shifted(shifted(values)), F.zip_with(shifted(gaps), shifted(values), joint), joint)))
+    found = F.when(F.size("pii_found") > 0, F.zip_with("pii_found", "pii_last", token))
+    tokens = F.filter(found, lambda t: (t["kind"] >= -1) & long(t) & (F.size(t["contexts"]) > 0))
+    return df.withColumn("pii_tokens", F.coalesce(tokens, F.array())).drop("pii_found", "pii_last")
 
 
 def context_totals(texts: DataFrame, patterns: DataFrame) -> DataFrame:
@@ -136,7 +161,7 @@ def context_totals(texts: DataFrame, patterns: DataFrame) -> DataFrame:
     """
     bit = F.pmod(F.col("pattern"), F.lit(FILTER_BITS))
     bits = patterns.groupBy(F.shiftright(bit, 6).alias("at")).agg(F.bit_or(F.expr("shiftleft(1L, cast(pattern & 63 as int))")).alias("bits"))
-    words = texts.select(F.filter(F.split(F.lower("text"), f"[{WS}]+"), lambda w: w != "").alias("w"))
+    words = texts.select(F.filter(F.split(as_word(F.col("text")), f"[{WS}]+"), lambda w: w != "").alias("w"))
     n = F.size("w")
     triples = words.where(n > 1).select(F.explode(F.arrays_zip(F.col("w").alias("a"), F.slice("w", F.lit(2), n).alias("b"), F.slice("w", F.lit(3), n).alias("c"))).alias("x"))
     one = F.when(F.col("x.b").isNotNull(), F.xxhash64("x.a"))
@@ -146,23 +171,26 @@ def context_totals(texts: DataFrame, patterns: DataFrame) -> DataFrame:
     return held.groupBy("pattern").agg(F.count("*").alias("total")).join(patterns, "pattern", "left_semi")
 
 
-def trusted_patterns(texts: DataFrame, tokens: DataFrame, least: int = LEAST_INSTANCES, trust: float = TRUST, rounds: int = ROUNDS) -> DataFrame:
-    """(pattern, score) of trusted patterns. tokens: (value, kind, contexts)."""
-    edges = tokens.select(F.explode("contexts").alias("pattern"), "value", (F.col("kind") >= 0).cast("int").alias("seed"))
+def trusted_patterns(texts: DataFrame, tokens: DataFrame, least: int = LEAST_INSTANCES, trust: float = TRUST, rounds: int | None = None) -> DataFrame:
+    """(pattern, score) of trusted patterns, after so many rounds or when no more get trusted. tokens: (value, prior, contexts)."""
+    edges = tokens.select(F.explode("contexts").alias("pattern"), "value", F.col("prior").alias("seed"))
     edges = cut(edges.groupBy("pattern", "value").agg(F.count("*").alias("n"), F.max("seed").alias("seed")))
     patterns = cut(edges.groupBy("pattern").agg(F.count("*").alias("values")).where(F.col("values") >= least).select("pattern"))
     totals = stored(context_totals(texts, patterns), "totals")
     # what can't be trusted even if all its instances were is not scored again
     hopeful = edges.join(totals, "pattern").groupBy("pattern").agg(F.sum("n").alias("n"), F.first("total").alias("total")).where(F.col("n") >= trust * F.col("total")).select("pattern", "total")
     graph = cut(edges.join(hopeful, "pattern"))
-    confident = cut(graph.select("value", F.col("seed").cast("double").alias("confidence")).groupBy("value").agg(F.max("confidence").alias("confidence")))
-    found = None
-    for _ in range(rounds):
+    confident = cut(graph.select("value", F.col("seed").alias("confidence")).groupBy("value").agg(F.max("confidence").alias("confidence")))
+    found, trusted = None, -1
+    for done in itertools.count(1):
         scored = graph.join(confident, "value").groupBy("pattern").agg((F.sum(F.col("n") * F.col("confidence")) / F.max("total")).alias("score"), F.count(F.when(F.col("confidence") >= trust, 1)).alias("values"))
         found = cut(scored.where((F.col("score") >= trust) & (F.col("values") >= least)).select("pattern", "score"))
+        # confidences only rise, so the trusted set only grows
+        before, trusted = trusted, found.count()
+        if trusted == before or trusted == 0 or done == rounds:
+            return found
         step = graph.join(found, "pattern").groupBy("value").agg((1 - F.exp(F.sum(F.log(1 - F.least("score", F.lit(0.999)))))).alias("more"))
         confident = cut(confident.join(step, "value", "left").select("value", F.greatest("confidence", F.coalesce("more", F.lit(0.0))).alias("confidence")))
-    return found
 
 
 def with_spans(docs: DataFrame, text: str = "text", **graph) -> DataFrame:
