@@ -75,3 +75,36 @@ def test_query(spark, sf_dir):
 def test_empty_table(spark):
     empty = spark.createDataFrame([], "id int, media binary")
     assert media.with_round_trip(empty.withColumn("payload", F.lit(1)), "media").count() == 0
+
+
+def test_hostile_boxes():
+    """Boxes in boxes to any depth, and counts that no file backs."""
+    heads = [struct.pack(">I4s", 8 * (k + 1), b"moov") for k in range(100_000)]
+    deep = b"".join(reversed(heads))
+    assert media.probe(deep) == [{"error": "ValueError: no track"}]
+    whole = media.store(bytes(640))
+    for kind, skip in ((b"stsz", 12), (b"stco", 8), (b"stsc", 8), (b"stts", 8)):
+        at = whole.index(kind)
+        for value in (0, 0xFFFFFFFF, 0x7FFFFFFF):
+            bad = bytearray(whole)
+            bad[at + skip : at + skip + 4] = struct.pack(">I", value)
+            assert media.probe(bytes(bad))[0]["error"], (kind, value)
+    at = whole.index(b"stsz")
+    each = bytearray(whole)
+    each[at + 8 : at + 16] = struct.pack(">II", 0, 0xFFFFFFFF)
+    assert media.probe(bytes(each))[0]["error"]
+
+
+def test_memory_is_that_of_chunks():
+    import tracemalloc
+
+    payload = bytes(50 << 20)
+    tracemalloc.start()
+    whole = media.store(payload)
+    stored = tracemalloc.get_traced_memory()[1]
+    tracemalloc.reset_peak()
+    found = media.probe(whole)
+    probed = tracemalloc.get_traced_memory()[1] - len(whole)
+    tracemalloc.stop()
+    assert found[0]["n_samples"] == len(payload) and len(found[0]["keyframe_ranges"]) == 1
+    assert stored < 1.2 * len(payload) and probed < 0.1 * len(payload)

@@ -3,6 +3,12 @@
 store() puts bytes into a container as 8-bit unsigned samples; probe() walks any such container's
 nested boxes and decodes its sample tables into codec, duration and keyframe byte ranges. It never
 decodes a payload: the byte ranges say where one lies, and read_back() copies it from there.
+Sample tables stay as they are kept, by chunk and by run, so probing needs memory for a file's tables, not for its samples;
+counts are held against the bytes that are there before anything is allocated for them.
+
+Defined cases: null bytes give null media and no tracks; empty bytes become one block of zeros; bytes of any length are
+whole; equal bytes give equal containers; what is not a sound container, nested to whatever depth, gives one track with only
+error set; an empty table gives no rows; other columns stay, and columns of the names that are added are replaced.
 """
 
 from __future__ import annotations
@@ -92,7 +98,9 @@ def store(payload: bytes) -> bytes:
     exact = head(len(guess) + start)
     if len(exact) != len(guess):
         exact = head(len(exact) + start)
-    return exact + box(b"mdat", payload)
+    long = len(payload) + 8 >= 1 << 32
+    mdat = struct.pack(">I4sQ", 1, b"mdat", len(payload) + 16) if long else struct.pack(">I4s", len(payload) + 8, b"mdat")
+    return b"".join((exact, mdat, payload))
 
 
 def boxes(data: memoryview, start: int, end: int) -> Iterator[tuple[bytes, int, int]]:
@@ -116,15 +124,21 @@ def boxes(data: memoryview, start: int, end: int) -> Iterator[tuple[bytes, int,
         start += n
 
 
-def walk(data: memoryview, start: int, end: int, path: tuple = ()) -> Iterator[tuple[tuple, int, int]]:
-    """(path, start and end of the body) of every box at any depth; tracks are numbered."""
+def walk(data: memoryview, start: int, end: int) -> Iterator[tuple[bytes, int | None, int, int]]:
+    """(type, track, start and end of the body) of every box at any depth; track counts the tracks in boxes of the top level."""
+    open_boxes: list[tuple[Iterator, int | None]] = [(boxes(data, start, end), None)]
     tracks = 0
-    for kind, a, b in boxes(data, start, end):
-        here = path + ((kind, tracks) if kind == b"trak" else (kind,))
-        tracks += kind == b"trak"
-        yield here, a, b
+    while open_boxes:
+        inner, track = open_boxes[-1]
+        if (found := next(inner, None)) is None:
+            open_boxes.pop()
+            continue
+        kind, a, b = found
+        if kind == b"trak" and len(open_boxes) == 2:
+            track, tracks = tracks, tracks + 1
+        yield kind, track, a, b
         if kind in CONTAINERS:
-            yield from walk(data, a, b, here)
+            open_boxes.append((boxes(data, a, b), track))
 
 
 def column(data: memoryview, at: int, end: int, rows: int, width: int, kind: str = ">u4") -> np.ndarray:
@@ -151,31 +165,48 @@ def probe_track(data: memoryview, parts: dict[bytes, tuple[int, int]]) -> dict:
     handler = bytes(data[a + 8 : a + 12]).decode("latin-1")
     a, b = parts[b"stsz"]
     each, n = struct.unpack_from(">II", data, a + 4)
-    sizes = np.full(n, each, np.int64) if each else column(data, a + 12, b, n, 1)[:, 0]
+    if each * n > len(data):
+        raise ValueError("samples lie outside the file")
     chunks = rows(b"co64", 1, wide=">u8")[:, 0] if b"co64" in parts else rows(b"stco", 1)[:, 0]
     runs = rows(b"stsc", 3)
-    per_chunk = np.zeros(len(chunks), np.int64)
-    for k, (first, count, _) in enumerate(runs):
-        stop = runs[k + 1][0] - 1 if k + 1 < len(runs) else len(chunks)
-        per_chunk[first - 1 : stop] = count
+    # chunks from the first of a run up to the next run's hold so many samples each
+    stops = np.append(runs[1:, 0] - 1, len(chunks)) if len(runs) else np.zeros(0, np.int64)
+    lengths = stops - (runs[:, 0] - 1)
+    if (lengths < 0).any() or (len(runs) and runs[0, 0] < 1) or (chunks < 0).any():
+        raise ValueError("chunks are out of order")
+    per_chunk = np.concatenate([np.zeros(len(chunks) - lengths.sum(), np.int64), np.repeat(runs[:, 1], lengths)])
     if per_chunk.sum() != n:
         raise ValueError("chunks and samples do not agree")
-    # a sample starts where its chunk starts, plus the sizes of those before it there
-    before = np.concatenate([[0], np.cumsum(sizes)])
-    first_of = np.concatenate([[0], np.cumsum(per_chunk)])[:-1]
-    starts = np.repeat(chunks - before[first_of], per_chunk) + before[:-1]
-    key = rows(b"stss", 1)[:, 0] - 1 if b"stss" in parts else np.arange(n)
-    if len(key) and (key.min() < 0 or key.max() >= n or (starts[key] + sizes[key]).max() > len(data)):
+    first_of = np.concatenate([[0], np.cumsum(per_chunk)])
+    if each:
+        bytes_before = lambda sample: sample * each
+    else:
+        sums = np.concatenate([[0], np.cumsum(column(data, a + 12, b, n, 1)[:, 0])])
+        bytes_before = lambda sample: sums[sample]
+    if b"stss" in parts:
+        # a sample starts where its chunk starts, plus the sizes of those before it there
+        key = rows(b"stss", 1)[:, 0] - 1
+        if len(key) and (key.min() < 0 or key.max() >= n):
+            raise ValueError("there is no such keyframe")
+        of = np.searchsorted(first_of, key, side="right") - 1
+        lo = chunks[of] + bytes_before(key) - bytes_before(first_of[of])
+        hi, n_keyframes = lo + bytes_before(key + 1) - bytes_before(key), len(key)
+    else:
+        lo, n_keyframes = chunks, n
+        hi = lo + bytes_before(first_of[1:]) - bytes_before(first_of[:-1])
+    if len(hi) and hi.max() > len(data):
         raise ValueError("samples lie outside the file")
-    lo, hi = starts[key], starts[key] + sizes[key]
-    new = np.ones(len(key), bool)
+    lo, hi = lo[hi > lo], hi[hi > lo]
+    new = np.ones(len(lo), bool)
     new[1:] = lo[1:] != hi[:-1]  # neighbours become one range
     first = np.flatnonzero(new)
-    ends = hi[np.append(first[1:], len(key)) - 1] if len(key) else hi
+    ends = hi[np.append(first[1:], len(lo)) - 1] if len(lo) else hi
     stts = rows(b"stts", 2)
-    if (stts[:, 0].sum() if len(stts) else 0) != n:
+    if stts[:, 0].sum() != n:
         raise ValueError("times and samples do not agree")
-    return {"codec": codec, "handler": handler, "timescale": timescale, "duration": int((stts[:, 0] * stts[:, 1]).sum()) or duration, "n_samples": n, "n_keyframes": len(key), "media_bytes": int(sizes.sum()), "keyframe_ranges": [{"first_byte": int(x), "end_byte": int(y)} for x, y in zip(lo[new], ends, strict=True)], "error": None}
+    if (stts[:, 0] * stts[:, 1].astype(float)).sum() >= 1 << 62:
+        raise ValueError("the duration is out of range")
+    return {"codec": codec, "handler": handler, "timescale": timescale, "duration": int((stts[:, 0] * stts[:, 1]).sum()) or duration, "n_samples": n, "n_keyframes": n_keyframes, "media_bytes": int(bytes_before(np.int64(n))), "keyframe_ranges": [{"first_byte": int(x), "end_byte": int(y)} for x, y in zip(lo[new], ends, strict=True)], "error": None}
 
 
 def probe(media: bytes | None) -> list[dict]:
@@ -187,9 +218,9 @@ def probe(media: bytes | None) -> list[dict]:
         return []
     try:
         data, tracks = memoryview(media), {}
-        for path, a, b in walk(data, 0, len(data)):
-            if len(path) >= 3 and path[1] == b"trak":
-                tracks.setdefault(path[2], {}).setdefault(path[-1], (a, b))
+        for kind, track, a, b in walk(data, 0, len(data)):
+            if track is not None:
+                tracks.setdefault(track, {}).setdefault(kind, (a, b))
         if not tracks:
             raise ValueError("no track")
         return [probe_track(data, parts) for _, parts in sorted(tracks.items())]
