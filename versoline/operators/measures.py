@@ -9,8 +9,12 @@ from ..functions.text import numbers_in
 
 
 def window_means(scores: Column, width: int = 3) -> Column:
-    """Means over each element and those before it, up to width; the array stays in its row, so nothing shuffles."""
-    return F.transform(scores, lambda _, i: mean(F.slice(scores, F.greatest(i + 2 - width, F.lit(1)), F.least(i + 1, F.lit(width)))))
+    """Means over each element and those before it, up to width; the array stays in its row, so nothing shuffles.
+
+    The array of one array binds scores to a variable, which is evaluated once; named within a lambda, it would be for each element.
+    """
+    of = lambda s: F.transform(s, lambda _, i: mean(F.slice(s, F.greatest(i + 2 - width, F.lit(1)), F.least(i + 1, F.lit(width)))))
+    return F.transform(F.array(scores), of)[0]
 
 
 def mean(items: Column) -> Column:

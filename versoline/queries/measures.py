@@ -19,20 +19,22 @@ w AS (SELECT doc_id, lang, avg(length(line)) OVER (PARTITION BY doc_id ORDER BY
 
 
 def scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents with windows. As a generator's output, scores are worked out once, whatever reads them."""
     rows = table(spark, sf_dir, "documents").where("text is not null")
-    return rows.select("doc_id", "lang", M.window_means(F.transform(lines_of(F.col("text")), lambda x: F.length(x).cast("double"))).alias("scores"))
+    found = M.window_means(F.transform(lines_of(F.col("text")), lambda x: F.length(x).cast("double")))
+    return rows.select("doc_id", "lang", F.explode(F.filter(F.array(found), lambda s: F.size(s) > 0)).alias("scores"))
 
 
 @query(WINDOWS + "SELECT doc_id, count(*) AS n_windows, round(avg(score), 6) AS mean_score, round(max(score), 6) AS max_score FROM w GROUP BY doc_id")
 def window_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = scores(spark, sf_dir).where(F.size("scores") > 0)
+    rows = scores(spark, sf_dir)
     return rows.select("doc_id", F.size("scores").cast("long").alias("n_windows"), F.round(M.mean(F.col("scores")), 6).alias("mean_score"), F.round(F.array_max("scores"), 6).alias("max_score"))
 
 
 @query(WINDOWS + """, v AS (SELECT doc_id, lang, CASE WHEN min(score) >= 200 THEN 'all' WHEN max(score) < 200 THEN 'none' ELSE 'mixed' END AS verdict FROM w GROUP BY doc_id, lang)
 SELECT lang, verdict, count(*) AS n FROM v GROUP BY lang, verdict""")
 def verdict(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = scores(spark, sf_dir).where(F.size("scores") > 0)
+    rows = scores(spark, sf_dir)
     return rows.groupBy("lang", M.verdict(F.col("scores"), 200.0).alias("verdict")).agg(F.count("*").alias("n"))
 
 
@@ -90,13 +92,14 @@ def ref_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-SELECT coalesce(k.item_id, f.item_id) AS item_id, coalesce(k.text, f.text) AS text FROM (SELECT item_id, CASE WHEN item_id % 3 > 0 THEN md5(text) END AS text FROM benchmark WHERE item_id % 4 > 0) k
-FULL OUTER JOIN (SELECT item_id, md5(text || '+') AS text FROM benchmark WHERE item_id % 5 > 0) f ON k.item_id = f.item_id
+SELECT coalesce(k.item_id, f.item_id) AS item_id, coalesce(k.text, f.text) AS text FROM (SELECT CASE WHEN item_id % 4 = 0 THEN -item_id ELSE item_id END AS item_id, CASE WHEN item_id % 3 > 0 THEN md5(text) END AS text FROM benchmark) k
+FULL OUTER JOIN (SELECT CASE WHEN item_id % 5 = 0 THEN -1000000 - item_id ELSE item_id END AS item_id, md5(text || '+') AS text FROM benchmark) f ON k.item_id = f.item_id
 """)
 def ref_update(spark: SparkSession, sf_dir: str) -> DataFrame:
     items = table(spark, sf_dir, "benchmark")
-    kept = items.where("item_id % 4 > 0").select("item_id", F.when(F.col("item_id") % 3 > 0, F.md5(F.col("text").cast("binary"))).alias("text"))
-    found = items.where("item_id % 5 > 0").select("item_id", F.md5(F.concat("text", F.lit("+")).cast("binary")).alias("text"))
+    key = lambda m, other: F.when(F.col("item_id") % m == 0, other).otherwise(F.col("item_id")).alias("item_id")
+    kept = items.select(key(4, -F.col("item_id")), F.when(F.col("item_id") % 3 > 0, F.md5(F.col("text").cast("binary"))).alias("text"))
+    found = items.select(key(5, -1000000 - F.col("item_id")), F.md5(F.concat("text", F.lit("+")).cast("binary")).alias("text"))
     return M.merged(kept, found, "item_id", ["text"])
 
 

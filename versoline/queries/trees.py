@@ -40,19 +40,20 @@ def doc_concat(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 DRIFT = """
-WITH want AS (SELECT doc_id, md5(text) AS digest FROM documents WHERE doc_id % 11 <> 0),
-have AS (SELECT doc_id, md5(CASE WHEN doc_id % 5 = 0 THEN text || '!' ELSE text END) AS digest FROM documents WHERE doc_id % 7 <> 0),
+WITH want AS (SELECT doc_id, md5(text) AS digest FROM (SELECT CASE WHEN doc_id % 11 = 0 THEN -doc_id ELSE doc_id END AS doc_id, text FROM documents)),
+have AS (SELECT CASE WHEN doc_id % 7 = 0 THEN -1000000000 - doc_id ELSE doc_id END AS doc_id, md5(CASE WHEN doc_id % 5 = 0 THEN text || '!' ELSE text END) AS digest FROM documents),
 s AS (SELECT coalesce(w.doc_id, h.doc_id) AS doc_id, CASE WHEN w.doc_id IS NULL THEN 'extra' WHEN h.doc_id IS NULL THEN 'missing' WHEN w.digest = h.digest THEN 'same' ELSE 'changed' END AS status
 FROM want w FULL OUTER JOIN have h ON w.doc_id = h.doc_id)
 """
 
 
 def two_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The state of each document in one derived version against another."""
+    """The state of each document in one derived version against another. Other keys for some rows of either make them missing and extra."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     digest = lambda t: F.md5(t.cast("binary")).alias("digest")
-    want = docs.where("doc_id % 11 <> 0").select("doc_id", digest(F.col("text")))
-    have = docs.where("doc_id % 7 <> 0").select("doc_id", digest(F.when(F.col("doc_id") % 5 == 0, F.concat("text", F.lit("!"))).otherwise(F.col("text"))))
+    key = lambda m, other: F.when(F.col("doc_id") % m == 0, other).otherwise(F.col("doc_id")).alias("doc_id")
+    want = docs.select(key(11, -F.col("doc_id")), digest(F.col("text")))
+    have = docs.select(key(7, -1000000000 - F.col("doc_id")), digest(F.when(F.col("doc_id") % 5 == 0, F.concat("text", F.lit("!"))).otherwise(F.col("text"))))
     return reconcile(want, have, "doc_id", "digest")
 
 
