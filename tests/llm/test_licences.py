@@ -32,6 +32,27 @@ def test_other_licences_are_unknown(model):
     assert lic.likeness("entirely other words", 0) == 0
 
 
+@pytest.mark.parametrize("line", ["Licensed under the Eclipse Public License 2.0.", "Licensed under the Example Public License, Version 2.0.", "This library is licensed under the Frobnicate Public License, version 2.1."])
+def test_a_family_needs_a_pair_of_its_own(model, line):
+    """Statements of licences that no template has share most words with some that do."""
+    got = model.classify(line)
+    assert got is not None and got[0] == "unknown"
+
+
+def test_short_statements(model):
+    assert model.classify("License: MIT")[0] == "mit"
+
+
+def test_sample_is_spread_over_all_lines(spark, monkeypatch):
+    """A line counts once however often it is there, and long lines are not left out."""
+    monkeypatch.setattr(lic, "SAMPLE_LINES", 20)
+    texts = ["the same\n" * 500, *(f"line {k}\n" + "long " * 300 + str(k) for k in range(40)), None, ""]
+    df = spark.createDataFrame([(t,) for t in texts], "text string")
+    got = lic.sample(df)
+    assert 15 <= len(got) <= 20 and len(set(got)) == len(got) and any(len(x) > 1000 for x in got)
+    assert lic.sample(df) == got and lic.sample(df.limit(0)) == []
+
+
 def test_scan_is_the_plain_classification(spark, sf_dir, model):
     """Gate and batches against every line of every text classified one by one."""
     texts = [r["text"] for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()] + ["", "Released under the MIT License.\n\né\nAll rights reserved.", "a\n" * 50 + "Licensed under CC BY-NC 4.0."]

@@ -13,7 +13,7 @@ template's word pairs between them, and the lines next to it that go on with the
 of spans of its family, or unknown ones, within it. Words outside the templates' vocabulary share one number.
 
 Defined cases: null and empty texts have no licence; equal lines are classified alike; repeated rows are reported each; long
-lines are read whole; an empty table gives no rows; other columns are carried.
+lines are read whole; an empty table gives no rows; other columns are carried; ties between families go to the one listed first.
 """
 
 from __future__ import annotations
@@ -38,6 +38,7 @@ TEMPLATES = {
         "Licensed under the MIT license. See LICENSE in the project root for license information.",
         "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:",
         "SPDX-License-Identifier: MIT",
+        "License: MIT",
     ),
     "apache-2.0": (
         "Licensed under the Apache License, Version 2.0.",
@@ -90,8 +91,8 @@ STOPS = frozenset("a all and any at be by can do for found following form free f
 FAMILIES = list(TEMPLATES)
 NONE = len(FAMILIES)
 DIMS = 1 << 14
-#: Lines of the corpus that train the class none at most, and their length at most.
-SAMPLE_LINES, SAMPLE_CHARS = 1500, 400
+#: Lines of the corpus that train the class none at most, of whatever length.
+SAMPLE_LINES = 1500
 VARIANTS, SURE, CONFIRM = 24, 0.6, 0.5
 
 #: Words that are a cue by themselves, and what stands at the start or end of a comment's lines.
@@ -149,10 +150,17 @@ def pairs(words: list[str]) -> list[tuple]:
     return list(zip(words, [*words[1:], ""], strict=True)) if words else []
 
 
+@functools.cache
+def own_pairs(family: int) -> frozenset:
+    """Word pairs that only this family's templates have; numbers, which versions share, tell nothing."""
+    others = frozenset().union(*(t for f in range(NONE) if f != family for t in template_pairs(f)))
+    return frozenset(p for t in template_pairs(family) for p in t if p not in others and p[1] != "0" and not (p[0] == "0" and not p[1]))
+
+
 def likeness(line: str, family: int) -> float:
-    """The share of a template's word pairs that the line has, at best over the family's templates."""
-    have = set(pairs(words_in(line)))
-    return max(len(have & t) / len(t) for t in template_pairs(family))
+    """The share of a template's word pairs that the line has, at best over the family's templates of whose own pairs it has most."""
+    have, own = set(pairs(words_in(line))), own_pairs(family)
+    return max(len(have & t) / len(t) if 2 * len(have & own & t) > len(own & t) else 0.0 for t in template_pairs(family))
 
 
 @dataclass(frozen=True)
@@ -332,9 +340,10 @@ def train(lines: list[str], seed: int = 5, steps: int = 150) -> Model:
 
 
 def sample(docs: DataFrame) -> list[str]:
-    """Lines of the corpus for the class none, by a hash of the line: those with cue words are what must be told apart."""
-    lines = docs.select(F.explode(F.split("text", "\n")).alias("line")).where((F.length("line") <= SAMPLE_CHARS) & (F.length("line") > 0))
-    picked = lines.where(F.pmod(F.xxhash64("line"), F.lit(64)) == 0).distinct().orderBy(F.xxhash64("line", F.lit(1)), "line").limit(SAMPLE_LINES)
+    """Lines of the corpus for the class none: of all lines, in so many classes by hash, the one of least hash. How often a line is there doesn't matter."""
+    lines = docs.select(F.explode(F.split("text", "\n")).alias("line")).where("line <> ''").withColumn("hash", F.xxhash64("line"))
+    least = lines.groupBy(F.pmod("hash", F.lit(SAMPLE_LINES)).alias("class")).agg(F.min("hash").alias("hash")).select("hash")
+    picked = lines.join(F.broadcast(least), "hash").groupBy("hash").agg(F.min("line").alias("line")).orderBy("hash")
     return [r["line"] for r in picked.collect()]
 
 
@@ -348,6 +357,7 @@ def scan_lines(texts: pa.Array, model: Model, known: dict) -> list[list[dict]]:
     cue[pc.is_in(core, pa.array(sorted(STRONG), core.type)).to_numpy(zero_copy_only=False)] = 2
     total = np.concatenate([[0], np.cumsum(cue[codes])])
     hits = np.flatnonzero(total[offsets[1:]] - total[offsets[:-1]] >= 2)
+    before = np.concatenate([[0], np.cumsum(pc.utf8_length(lines).to_numpy(zero_copy_only=False).astype(np.int64) + 1)])
     out: list[list[dict]] = [[] for _ in range(len(texts))]
     for i in hits.tolist():
         line = lines[i].as_py()
@@ -357,7 +367,7 @@ def scan_lines(texts: pa.Array, model: Model, known: dict) -> list[list[dict]]:
             known[line] = model.classify(line)
         if known[line] is not None:
             row = int(np.searchsorted(bounds, i, side="right")) - 1
-            start = sum(len(lines[k].as_py()) + 1 for k in range(int(bounds[row]), i))
+            start = int(before[i] - before[bounds[row]])
             family, p = known[line]
             out[row].append({"family": family, "start": start, "end": start + len(line), "probability": p})
     owner = np.repeat(np.repeat(np.arange(len(texts)), np.diff(bounds)), np.diff(offsets))
