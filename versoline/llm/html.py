@@ -7,7 +7,7 @@ discounted by its link density. The article around the best container is kept wh
 either, what stands beside the container and its ancestors stays too, other than what is mostly links.
 
 Defined cases: null and empty pages, and pages without text, give an empty text; markup may be cut or unclosed anywhere;
-depth and size are not bounded, as nothing recurses; equal pages give equal texts; other columns are carried.
+depth and size are not bounded, as nothing recurses or walks up more than once; of containers with equal scores the first is taken; equal pages give equal texts; other columns are carried.
 """
 
 from __future__ import annotations
@@ -31,12 +31,14 @@ CLOSES_P = BLOCK - {"body", "html", "tbody", "thead", "tfoot", "tr", "caption"}
 IMPLIED = {"li": (("li",), ("ul", "ol", "menu")), "dt": (("dt", "dd"), ("dl",)), "dd": (("dt", "dd"), ("dl",)), "tr": (("tr", "td", "th"), ("table",)), "td": (("td", "th"), ("tr", "table")), "th": (("td", "th"), ("tr", "table")), "option": (("option",), ("select",))}
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 PARAGRAPHS = frozenset("p pre blockquote td li dd figcaption".split())
-NEVER = frozenset("head nav aside footer form menu dialog button select option input label fieldset svg math canvas object audio video search".split())
+NEVER = frozenset("head nav aside footer form menu dialog button select option input fieldset svg math canvas object audio video search".split())
 CONTAINERS = frozenset("html body main article section div td th center details blockquote".split())
 ROOTS = frozenset("html body main article".split())
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog form menu menubar".split())
-# What the first part of a class or id says.
-AGAINST = frozenset("ad ads adv advert adverts advertisement advertising adsense adbox banner sponsor sponsored promo promotion comment comments commentlist respond reply replies disqus sidebar side nav navbar navigation menu breadcrumb breadcrumbs footer foot header masthead topbar cookie cookies consent gdpr notice notification alert newsletter subscribe subscription signup login share sharing social related recommended recommendations popup modal overlay widget toolbar pagination pager skip hidden legal copyright tags tagcloud meta".split())
+# What the first part of a class or id says; some words do only with such parts after them, as they have other senses.
+AGAINST = frozenset("ad ads adv advert adverts advertisement advertising adsense adbox banner sponsor sponsored promo promotion comment comments commentlist respond reply replies disqus sidebar nav navbar navigation menu breadcrumb breadcrumbs footer topbar cookie cookies consent gdpr notice notification alert newsletter subscribe subscription related recommended recommendations popup modal pagination".split())
+MAYBE = frozenset("share sharing social skip legal hidden meta tags tagcloud copyright login signup side foot overlay widget toolbar pager".split())
+PARTS = frozenset("link links button buttons bar icon icons box widget wrapper container nav menu navigation notice to content main tools count counts post row area panel".split())
 HEADER = frozenset("header masthead".split())
 
 TAG = re.compile(r"""</?([a-zA-Z][^\s/>]*+)((?:[^'">]++|"[^"]*+"|'[^']*+')*+)>""")
@@ -56,36 +58,28 @@ class Node:
 
 def parse(html: str) -> Node:
     """The tree of a page; children are nodes and strings."""
-    root = here = Node("html", "", None)
-    open_tags: dict[str, int] = {}
+    root = Node("html", "", None)
+    path = [root]  # the open elements
+    depths: dict[str, list[int]] = {}  # where in path those of each tag are; the root's is none
     at, end = 0, len(html)
 
-    def close_to(node: Node) -> Node:
-        """Ends everything from the innermost open element to node."""
-        nonlocal here
-        while True:
-            done, here = here, here.parent
-            open_tags[done.tag] -= 1
-            if done is node:
-                return here
-
-    def innermost(tags: tuple, barriers: tuple) -> Node | None:
-        node = here
-        while node is not root:
-            if node.tag in tags:
-                return node
-            if node.tag in barriers:
-                return None
-            node = node.parent
-        return None
+    def close_to(depth: int) -> None:
+        """Ends everything from the innermost open element to that at a depth."""
+        while len(path) > depth:
+            depths[path.pop().tag].pop()
+
+    def innermost(tags: tuple, barriers: tuple) -> int:
+        """The depth of the innermost open element of some tags, or 0 if there is none or a barrier is within it."""
+        last = lambda names: max((depths[t][-1] for t in names if depths.get(t)), default=0)
+        return depth if (depth := last(tags)) > last(barriers) else 0
 
     while at < end:
         lt = html.find("<", at)
         if lt < 0:
-            here.children.append(unescape(html[at:]))
+            path[-1].children.append(unescape(html[at:]))
             break
         if lt > at:
-            here.children.append(unescape(html[at:lt]))
+            path[-1].children.append(unescape(html[at:lt]))
         if html.startswith("<!--", lt):
             stop = html.find("-->", lt + 4)
             at = stop + 3 if stop >= 0 else end
@@ -96,7 +90,7 @@ def parse(html: str) -> Node:
             continue
         name = html[lt + 1 : lt + 3].lstrip("/")[:1]
         if not (name.isascii() and name.isalpha()):
-            here.children.append("<")
+            path[-1].children.append("<")
             at = lt + 1
             continue
         found = TAG.match(html, lt)
@@ -108,23 +102,18 @@ def parse(html: str) -> Node:
                 break
             tag, attributes, at = re.match(r"/?([^\s/>]*)", html[lt + 1 : stop])[1].lower(), "", stop + 1
         if html[lt + 1] == "/":
-            if open_tags.get(tag):
-                node = here
-                while node.tag != tag:
-                    node = node.parent
-                close_to(node)
+            if depths.get(tag):
+                close_to(depths[tag][-1])
             continue
-        if tag in CLOSES_P and open_tags.get("p"):
-            node = innermost(("p",), ("table", "td", "button", "object"))
-            if node is not None:
-                close_to(node)
-        if tag in IMPLIED and any(open_tags.get(t) for t in IMPLIED[tag][0]):
+        if tag in CLOSES_P and (depth := innermost(("p",), ("table", "td", "button", "object"))):
+            close_to(depth)
+        if tag in IMPLIED:
             tags, barriers = IMPLIED[tag]
-            while (node := innermost(tags, barriers)) is not None:
-                close_to(node)
-        if tag in ("html", "body") and (tag == "html" or open_tags.get("body")):
+            while depth := innermost(tags, barriers):
+                close_to(depth)
+        if tag in ("html", "body") and (tag == "html" or depths.get("body")):
             continue
-        node = Node(tag, attributes, here)
+        node = Node(tag, attributes, path[-1])
         if tag in RAW:
             stop = re.compile(rf"</{re.escape(tag)}[\s/>]", re.I).search(html, at)
             at = stop.start() if stop else end
@@ -132,13 +121,13 @@ def parse(html: str) -> Node:
                 stop = html.find(">", at)
                 at = stop + 1 if stop >= 0 else end
         elif tag not in VOID and not attributes.rstrip().endswith("/") or tag in BLOCK and tag not in VOID:
-            here = node
-            open_tags[tag] = open_tags.get(tag, 0) + 1
+            depths.setdefault(tag, []).append(len(path))
+            path.append(node)
     return root
 
 
-def nature(node: Node) -> str:
-    """keep, drop, or header: a header inside an article keeps its headings."""
+def nature(node: Node, inside: bool) -> str:
+    """keep, drop, or header: a header inside an article keeps its headings. There, words that may mean something else speak against no paragraph."""
     if node.tag in NEVER or node.tag in RAW:
         return "drop"
     found = "header" if node.tag == "header" else "keep"
@@ -152,10 +141,10 @@ def nature(node: Node) -> str:
             return "drop"
         if name in ("class", "id"):
             for part in value.split():
-                first = re.split(r"[-_:]+|(?<=[a-z])(?=[0-9])", part.strip("-_"), maxsplit=1)[0]
+                first, *more = [x for x in re.split(r"[-_:]+|(?<=[a-z])(?=[0-9])", part) if x] or [""]
                 if first in HEADER:
                     found = "header"
-                elif first in AGAINST:
+                elif first in AGAINST or first in MAYBE and PARTS.issuperset(more) and not (inside and node.tag in PARAGRAPHS | HEADINGS):
                     return "drop"
     return found
 
@@ -169,7 +158,7 @@ def prune(root: Node) -> None:
         kept = []
         for child in node.children:
             if isinstance(child, Node):
-                kind = nature(child)
+                kind = nature(child, inside)
                 if kind == "drop":
                     continue
                 if kind == "header":
@@ -191,7 +180,7 @@ def headings(node: Node) -> list[Node]:
         if here.tag in HEADINGS:
             out.append(here)
         else:
-            work += [c for c in reversed(here.children) if isinstance(c, Node) and nature(c) == "keep"]
+            work += [c for c in reversed(here.children) if isinstance(c, Node) and nature(c, True) == "keep"]
     return out
 
 
