@@ -181,7 +181,8 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     """Fits to a sample of at most SAMPLE labelled rows; ids are chosen from labels alone, and only numbers reach the driver."""
     labels = labels.where(F.col("quality").isNotNull()).where(~held_out()).groupBy("doc_id").agg(F.min("quality").alias("q_label"))
     ids = labels.orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE).withColumnRenamed("q_label", "label_value")
-    rows = with_statistics(docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").select("doc_id", "text", "label_value"))
+    rows = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").select("doc_id", "text", "label_value")
+    rows = with_statistics(rows.orderBy(F.xxhash64("doc_id", "text"), "doc_id").limit(SAMPLE))  # ids may repeat
     got = rows.select("doc_id", "label_value", *(f"q_{s}" for s in STATISTICS)).toPandas()
     got = got.sort_values(list(got.columns), kind="stable")
     return train(got[[f"q_{s}" for s in STATISTICS]].to_numpy(float), got["label_value"].to_numpy(float))

@@ -34,8 +34,8 @@ from .common import aside, give_back, held, in_slices, table, words_of
 
 #: Size of the feature table.
 DIMS = 1 << 18
-#: The training sample: documents of either class at most, and characters of such a document at most.
-SAMPLE_TOXIC, SAMPLE_CLEAN, SAMPLE_CHARS = 800, 1500, 12_000
+#: The training sample: documents of either class at most, of whatever length.
+SAMPLE_TOXIC, SAMPLE_CLEAN = 600, 1000
 #: Words whose emissions a worker keeps.
 KEPT_WORDS = 150_000
 
@@ -330,13 +330,14 @@ def held_out(doc_id="doc_id"):
 def sample(docs: DataFrame, labels: DataFrame) -> list[tuple[str, int]]:
     """The bounded training sample, by a hash of the id: texts of whole documents and labels.
 
-    Ids are chosen first, from labels alone; a broadcast of so many ids, whatever the input, fetches their texts.
+    Ids are chosen first, from labels alone; a broadcast of so many ids, whatever the input, fetches their texts. Ids may repeat, so rows are bounded again.
     """
     labels = labels.where(F.col("toxic").isNotNull()).where(~held_out()).groupBy("doc_id").agg(F.max("toxic").alias("toxic_label"))
     out = []
     for label, most in ((1, SAMPLE_TOXIC), (0, SAMPLE_CLEAN)):
         ids = labels.where(F.col("toxic_label") == label).select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
-        rows = docs.select("doc_id", "text").where(F.length("text") <= SAMPLE_CHARS).join(F.broadcast(ids), "doc_id", "left_semi")
+        rows = docs.select("doc_id", "text").where("text is not null").join(F.broadcast(ids), "doc_id", "left_semi")
+        rows = rows.orderBy(F.xxhash64("doc_id", "text"), "doc_id").limit(most)
         texts = rows.toArrow().to_pandas(self_destruct=True).sort_values(["doc_id", "text"], kind="stable")["text"]
         out += [(t, label) for t in texts]
     return out
