@@ -90,3 +90,14 @@ def name_list(names: Column) -> Column:
 
 def numbers_in(text: Column) -> Column:
     return F.array_sort(F.array_distinct(F.regexp_extract_all(text, F.lit("[0-9]+(?:[.][0-9]+)*"), F.lit(0))))
+
+
+def citations_in(text: Column) -> Column:
+    """Distinct citations: what stands in square brackets, and round brackets that end in a year."""
+    return F.array_sort(F.array_distinct(F.regexp_extract_all(text, F.lit(r"\[[^\[\]]+\]|\([^()]*[0-9]{4}[a-z]?\)"), F.lit(0))))
+
+
+def sentences_of(text: Column) -> Column:
+    """Sentences end with a full stop, or an exclamation or question mark, before white space."""
+    marked = F.regexp_replace(text, "([.!?])[ \\t\\n\\f\\r]+", "$1\x01")
+    return F.filter(F.split(marked, "\x01", -1), lambda s: s != "")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import numbers_in
+from ..functions.text import citations_in, numbers_in
 
 
 def window_means(scores: Column, width: int = 3) -> Column:
@@ -45,9 +45,9 @@ def centre_distances(vectors: DataFrame, group: str, id_column: str, vector: str
 
 
 def gated(original: Column, candidate: Column) -> Column:
-    """The candidate where it keeps all numbers of the original, else the original."""
-    lost = F.array_except(numbers_in(original), numbers_in(candidate))
-    return F.when(F.size(lost) == 0, candidate).otherwise(original)
+    """The candidate where it keeps all numbers and citations of the original, else the original."""
+    lost = lambda parts: F.size(F.array_except(parts(original), parts(candidate))) == 0
+    return F.when(lost(numbers_in) & lost(citations_in), candidate).otherwise(original)
 
 
 def audit(cited: DataFrame, sources: DataFrame, key: str) -> DataFrame:
@@ -57,6 +57,13 @@ def audit(cited: DataFrame, sources: DataFrame, key: str) -> DataFrame:
     return dangling.unionByName(unused)
 
 
+def mismatches(cited: DataFrame, sources: DataFrame, key: str, fields: list[str]) -> DataFrame:
+    """(key, field): fields that a reference states otherwise than its source; what it doesn't state is no mismatch."""
+    one, two = cited.select(key, *(F.col(f).alias(f"cited_{f}") for f in fields)), sources.select(key, *fields)
+    apart = [F.when(F.col(f"cited_{f}").isNotNull() & ~F.col(f"cited_{f}").eqNullSafe(F.col(f)), F.lit(f)) for f in fields]
+    return one.join(two, key).select(key, F.explode(F.array_compact(F.array(*apart))).alias("field"))
+
+
 def merged(kept: DataFrame, found: DataFrame, key: str, fields: list[str]) -> DataFrame:
     """A bibliography brought up to date: entries of either side, fields of what is kept first."""
     one, two = kept.alias("one"), found.alias("two")

@@ -9,6 +9,8 @@ from __future__ import annotations
 
 import os
 import shutil
+from collections.abc import Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
@@ -99,18 +101,26 @@ def ended(body: Column) -> Column:
 def producers(files: DataFrame, texts: Texts) -> list[DataFrame]:
     """What each step stages, later steps overwriting earlier ones."""
     no = F.lit(False)
-    cmds, tree, dirs = commands(files), skill_files(files), skills(files)
+    cmds, trees, dirs = commands(files), skill_trees(files), skills(files)
     paired = with_surface(cmds, SURFACES[:2])
     own = rewrite_by(F.col("text"), F.col("surface"))
     copies = paired.select(F.concat_ws("/", "surface", F.lit("commands"), basename(F.col("path"))).alias("path"), no.alias("is_exec"), F.when(F.col("has_front"), own.cast("binary")).otherwise(joined(*front(("description", F.col("description"))), own)).alias("content"))
-    trees = with_surface(tree, SURFACES).select(F.concat_ws("/", "surface", "path").alias("path"), "is_exec", rewrite_by(text_of(), F.col("surface")).cast("binary").alias("content"))
     prompts = cmds.select(F.concat(F.lit(".github/prompts/"), "name", F.lit(".prompt.md")).alias("path"), no.alias("is_exec"), joined(*front(("description", F.col("description"))), filled(texts.prompt, name=F.col("name")), ended(rewrite(F.col("body"), "github"))).alias("content"))
     skill_prompts = dirs.where("description is not null").select(F.concat(F.lit(".github/prompts/"), "name", F.lit(".prompt.md")).alias("path"), no.alias("is_exec"), joined(*front(("description", F.col("description"))), filled(texts.skill_prompt, name=F.col("name"))).alias("content"))
     command_skills = cmds.select(F.concat(F.lit(".agents/skills/"), "name", F.lit("/SKILL.md")).alias("path"), no.alias("is_exec"), joined(*front(("name", F.col("name")), ("description", F.col("description"))), filled(texts.command_skill, name=F.col("name")), ended(rewrite(F.col("body"), "agents"))).alias("content"))
-    shared = files.where(F.col("path").isin("pixi.toml", "pixi.lock") & F.col("is_file") | F.col("path").rlike("^scripts/[^./][^/]*$") & F.col("is_file"))
-    scripts = with_surface(shared, SURFACES).select(F.concat_ws("/", "surface", "path").alias("path"), (F.col("is_exec") | (F.col("path").startswith("scripts/") & is_script(F.col("path")))).alias("is_exec"), "content")
     mirrored = trees.where("path not like '.agents/%'")
-    return [copies, mirrored, prompts, skill_prompts, instructions(files, texts), command_skills, trees.where("path like '.agents/%'"), agents_file(files, texts), scripts]
+    return [copies, mirrored, prompts, skill_prompts, instructions(files, texts), command_skills, trees.where("path like '.agents/%'"), agents_file(files, texts), shared(files)]
+
+
+def shared(files: DataFrame) -> DataFrame:
+    """Scripts and manifests, which go to each surface as they are."""
+    found = files.where(F.col("path").isin("pixi.toml", "pixi.lock") & F.col("is_file") | F.col("path").rlike("^scripts/[^./][^/]*$") & F.col("is_file"))
+    return with_surface(found, SURFACES).select(F.concat_ws("/", "surface", "path").alias("path"), (F.col("is_exec") | (F.col("path").startswith("scripts/") & is_script(F.col("path")))).alias("is_exec"), "content")
+
+
+def skill_trees(files: DataFrame) -> DataFrame:
+    """The files of skills for each surface, rewritten for it."""
+    return with_surface(skill_files(files), SURFACES).select(F.concat_ws("/", "surface", "path").alias("path"), "is_exec", rewrite_by(text_of(), F.col("surface")).cast("binary").alias("content"))
 
 
 def instructions(files: DataFrame, texts: Texts) -> DataFrame:
@@ -189,13 +199,20 @@ def area_of(path: Column) -> Column:
 
 
 def drift(stage: DataFrame, target: DataFrame) -> DataFrame:
-    """(area, path, status, exec_differs): same, changed, missing, extra, or stale for a single file without a source."""
+    """(area, path, status, exec_differs): same, changed, missing, extra, or stale for a single file without a source.
+
+    A directory that nothing staged is in is extra, as an area is replaced as a whole.
+    """
     mine = stage.select("path", F.sha2("content", 256).alias("want"), F.col("is_exec").alias("want_exec"))
     theirs = target.where("is_file").select("path", F.sha2("content", 256).alias("have"), F.col("is_exec").alias("have_exec"))
     both = mine.join(theirs, "path", "full_outer").withColumn("area", area_of(F.col("path"))).where("area is not null")
     extra = F.when(F.col("area") == F.col("path"), "stale").otherwise("extra")
     status = F.when(F.col("have").isNull(), "missing").when(F.col("want").isNull(), extra).when(F.col("want") == F.col("have"), "same").otherwise("changed")
-    return both.select("area", "path", status.alias("status"), F.coalesce(F.col("want_exec") != F.col("have_exec"), F.lit(False)).alias("exec_differs"))
+    files = both.select("area", "path", status.alias("status"), F.coalesce(F.col("want_exec") != F.col("have_exec"), F.lit(False)).alias("exec_differs"))
+    parts = F.split("path", "/")
+    needed = stage.select(F.explode(F.transform(F.sequence(F.lit(1), F.greatest(F.size(parts) - 1, F.lit(1))), lambda n: F.array_join(F.slice(parts, F.lit(1), n), "/"))).alias("path")).distinct()
+    dirs = target.where("is_dir and not is_symlink").select("path").withColumn("area", area_of(F.col("path"))).where("area is not null").join(needed, "path", "left_anti")
+    return files.unionByName(dirs.select("area", "path", F.lit("extra").alias("status"), F.lit(False).alias("exec_differs")))
 
 
 def verdict(drifted: DataFrame) -> DataFrame:
@@ -216,14 +233,27 @@ class LeakError(ValueError):
     """The stage refers to a tree that its readers may not have."""
 
 
-def check(files: DataFrame, target: DataFrame, texts: Texts = Texts()) -> DataFrame:
-    """The drift of target from files' stage. A leak is an error."""
+@contextmanager
+def staged(files: DataFrame, texts: Texts = Texts()) -> Iterator[DataFrame]:
+    """The stage, built by one scan of files and held while it is used. A leak is an error."""
+    files = files.persist()
     stage = build_stage(files, texts).persist()
-    found = leaks(stage).orderBy("path", "n").take(20)
-    if found:
+    try:
+        found = leaks(stage).orderBy("path", "n").take(20)
+        if found:
+            raise LeakError("; ".join(f"{r['path']}:{r['n']}: {r['line']}" for r in found))
+        yield stage
+    finally:
         stage.unpersist()
-        raise LeakError("; ".join(f"{r['path']}:{r['n']}: {r['line']}" for r in found))
-    return drift(stage, target)
+        files.unpersist()
+
+
+def check(files: DataFrame, target: DataFrame, texts: Texts = Texts()) -> DataFrame:
+    """The drift of target from files' stage: paths and states, which are persisted; their texts are not."""
+    with staged(files, texts) as stage:
+        found = drift(stage, target).persist()
+        found.count()
+        return found
 
 
 def sync(files: DataFrame, target: DataFrame, root: str, texts: Texts = Texts()) -> int:
@@ -231,20 +261,28 @@ def sync(files: DataFrame, target: DataFrame, root: str, texts: Texts = Texts())
 
     Rows come to the driver one partition at a time, as the sink is a local tree.
     """
-    stage = build_stage(files, texts)
-    todo = check(files, target, texts).where("status <> 'same' or exec_differs").join(stage.drop("copies"), "path", "left").persist()
-    n = 0
-    for r in todo.toLocalIterator():
-        full = os.path.join(root, r["path"])
-        if r["status"] in ("extra", "stale"):
-            os.remove(full)
-        else:
-            os.makedirs(os.path.dirname(full), exist_ok=True)
-            if os.path.isdir(full) and not os.path.islink(full):
-                shutil.rmtree(full)
-            with open(full, "wb") as f:
-                f.write(bytes(r["content"]))
-            os.chmod(full, 0o755 if r["is_exec"] else 0o644)
-        n += 1
-    todo.unpersist()
+    with staged(files, texts) as stage:
+        todo = drift(stage, target).where("status <> 'same' or exec_differs").join(stage.drop("copies"), "path", "left").persist()
+        n = 0
+        for r in todo.toLocalIterator():
+            full = os.path.join(root, r["path"])
+            if r["status"] in ("extra", "stale"):
+                removed(full)
+            else:
+                os.makedirs(os.path.dirname(full), exist_ok=True)
+                if os.path.isdir(full) and not os.path.islink(full):
+                    shutil.rmtree(full)
+                with open(full, "wb") as f:
+                    f.write(bytes(r["content"]))
+                os.chmod(full, 0o755 if r["is_exec"] else 0o644)
+            n += 1
+        todo.unpersist()
     return n
+
+
+def removed(full: str) -> None:
+    """Takes a file or a directory away, which may have gone with its parent."""
+    if os.path.isdir(full) and not os.path.islink(full):
+        shutil.rmtree(full)
+    elif os.path.lexists(full):
+        os.remove(full)

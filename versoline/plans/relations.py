@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
-
 # Target trees and the literal rewrites of their texts, in order.
 SURFACES = (".cursor", ".opencode", ".github", ".agents")
 REWRITES = {
@@ -16,19 +14,3 @@ REWRITES = {
 # Directories that are replaced as a whole, and single files.
 AREAS = (".cursor/commands", ".cursor/skills", ".cursor/scripts", ".opencode/commands", ".opencode/skills", ".opencode/scripts", ".github/prompts", ".github/skills", ".github/scripts", ".agents/skills", ".agents/scripts")
 MANAGED_FILES = ("AGENTS.md", ".github/copilot-instructions.md", ".cursor/pixi.toml", ".cursor/pixi.lock", ".opencode/pixi.toml", ".opencode/pixi.lock", ".github/pixi.toml", ".github/pixi.lock", ".agents/pixi.toml", ".agents/pixi.lock")
-
-
-def constant(spark: SparkSession, column: str, values) -> DataFrame:
-    return spark.createDataFrame([(v,) for v in values], f"{column} string")
-
-
-def surfaces(spark: SparkSession) -> DataFrame:
-    return constant(spark, "surface", SURFACES)
-
-
-def areas(spark: SparkSession) -> DataFrame:
-    return constant(spark, "area", AREAS)
-
-
-def managed_files(spark: SparkSession) -> DataFrame:
-    return constant(spark, "path", MANAGED_FILES)

@@ -34,6 +34,10 @@ MANAGED = ("AGENTS.md", "a/pixi.toml", "a/pixi.lock", "b/pixi.toml", "b/pixi.loc
 STAGED = (("AGENTS.md", "one"), ("a/pixi.toml", "two"), ("a/pixi.lock", "three"))
 PRESENT = (("AGENTS.md", "one"), ("a/pixi.toml", "other"), ("b/pixi.toml", "old"))
 
+TREE = (("skills/a/SKILL.md", "see .claude/skills/b and .claude/rules/c.md"), ("skills/a/scripts/run.py", "print(1)\n.claude/commands/x"), ("skills/a/__pycache__/run.py", "x"), ("scripts/tool.sh", "echo .claude/x"), ("scripts/.hidden", "x"), ("scripts/deep/x.sh", "x"), ("pixi.toml", "[x]"), ("rules/c.md", "# C"))
+LEAKY = ((".github/a.md", "fine\nsee .claude/skills/x\n.cursor/y and .opencode/z\nclaude/"), (".agents/skills/a/SKILL.md", "x .claude/a\n.cursor/b is fine"), (".cursor/a", ".claude/b"), (".github/b.md", ""))
+DONE = (("b/test_x.py", "false"), ("a/test_y.py", "true"), ("a/test_z.py", "false"), ("c/test_w.py", "true"))
+
 COMMANDS = (("pop", False), ("work", True), ("push", False))
 
 

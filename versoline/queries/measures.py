@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.text import lines_of
+from ..functions.text import lines_of, sentences_of
 from ..operators import measures as M
 from ..operators.sets import head_by
 from ..registry import query
@@ -73,7 +73,8 @@ def anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(r"""
 WITH c AS (SELECT doc_id, text, CASE WHEN doc_id % 2 = 0 THEN replace(text, '1', '7') ELSE upper(text) END AS candidate FROM documents),
-n AS (SELECT *, len(list_filter(list_distinct(regexp_extract_all(text, '[0-9]+(?:[.][0-9]+)*')), lambda x: NOT list_contains(regexp_extract_all(candidate, '[0-9]+(?:[.][0-9]+)*'), x))) AS lost FROM c)
+n AS (SELECT *, len(list_filter(list_distinct(regexp_extract_all(text, '[0-9]+(?:[.][0-9]+)*')), lambda x: NOT list_contains(regexp_extract_all(candidate, '[0-9]+(?:[.][0-9]+)*'), x)))
+  + len(list_filter(list_distinct(regexp_extract_all(text, '\[[^\[\]]+\]|\([^()]*[0-9]{4}[a-z]?\)')), lambda x: NOT list_contains(regexp_extract_all(candidate, '\[[^\[\]]+\]|\([^()]*[0-9]{4}[a-z]?\)'), x))) AS lost FROM c)
 SELECT doc_id, CASE WHEN lost = 0 AND candidate <> text THEN 'candidate' ELSE 'original' END AS kept FROM n
 """)
 def rewrite_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -107,3 +108,27 @@ def ref_update(spark: SparkSession, sf_dir: str) -> DataFrame:
 def consented(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "documents").select("doc_id", "lang").join(table(spark, sf_dir, "labels"), "doc_id", "left_semi")
     return rows.groupBy("lang").agg(F.count("*").alias("n"))
+
+
+@query("""
+WITH s AS (SELECT item_id, md5(text) AS digest, length(text) AS size FROM benchmark),
+c AS (SELECT item_id, CASE item_id % 4 WHEN 0 THEN NULL WHEN 1 THEN digest || '0' ELSE digest END AS digest, CASE WHEN item_id % 3 = 0 THEN size + 1 ELSE size END AS size FROM s)
+SELECT c.item_id, 'digest' AS field FROM c JOIN s ON c.item_id = s.item_id WHERE c.digest <> s.digest
+UNION ALL SELECT c.item_id, 'size' FROM c JOIN s ON c.item_id = s.item_id WHERE c.size <> s.size
+""")
+def ref_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """References that state a field otherwise than their source."""
+    sources = table(spark, sf_dir, "benchmark").select("item_id", F.md5(F.col("text").cast("binary")).alias("digest"), F.length("text").alias("size"))
+    by = F.col("item_id") % 4
+    digest = F.when(by == 1, F.concat("digest", F.lit("0"))).when(by != 0, F.col("digest"))
+    cited = sources.select("item_id", digest.alias("digest"), F.when(F.col("item_id") % 3 == 0, F.col("size") + 1).otherwise(F.col("size")).alias("size"))
+    return M.mismatches(cited, sources, "item_id", ["digest", "size"])
+
+
+@query(r"""
+WITH s AS (SELECT doc_id, list_filter(string_split(regexp_replace(text, '([.!?])[ \t\n\f\r]+', '\1' || chr(1), 'g'), chr(1)), lambda x: x <> '') AS a FROM documents WHERE text IS NOT NULL)
+SELECT doc_id, CAST(len(a) AS BIGINT) AS n_sentences, CAST(coalesce(list_max(list_transform(a, lambda x: length(x))), 0) AS BIGINT) AS longest FROM s
+""")
+def doc_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "documents").where("text is not null").select("doc_id", F.explode(F.array(sentences_of(F.col("text")))).alias("a"))
+    return rows.select("doc_id", F.size("a").cast("long").alias("n_sentences"), F.coalesce(F.array_max(F.transform("a", F.length)), F.lit(0)).cast("long").alias("longest"))

@@ -8,11 +8,11 @@ from pyspark.sql import functions as F
 from ..functions.text import is_script, lines_of, name_list
 from ..operators.sets import head_by, holds_all, last_by, reconcile, stale
 from ..plans import mirrors, runner
-from ..plans.relations import SURFACES
+from ..plans.relations import REWRITES, SURFACES
 from ..registry import query
 from ..sources import read_files
 from ..sources.tables import table
-from .fixtures import COMMANDS, FILES, MANAGED, PATHS, PRESENT, STAGED, relation, values
+from .fixtures import COMMANDS, DONE, FILES, LEAKY, MANAGED, PATHS, PRESENT, STAGED, TREE, relation, values
 from .texts import LINES_SQL
 
 
@@ -119,6 +119,59 @@ def label_partition(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.agg(F.count("*").alias("n"), F.min("doc_id").alias("first_id"), F.max("doc_id").alias("last_id"), F.count_if(F.col("quality") == 0).alias("n_poor"))
 
 
+def tree(spark: SparkSession) -> DataFrame:
+    """The inline tree, all of it plain files, as the files source gives it."""
+    return relation(spark, TREE, "path string, content string").select("path", F.lit(False).alias("is_dir"), F.lit(False).alias("is_symlink"), F.lit(True).alias("is_file"), F.lit(False).alias("is_exec"), F.col("content").cast("binary").alias("content"))
+
+
+SURFACE_ROWS = ", ".join(f"('{s}')" for s in SURFACES)
+
+
+@query("WITH " + values(TREE, "tree", "path", "content") + f""", s AS (SELECT * FROM tree CROSS JOIN (VALUES {SURFACE_ROWS}) AS v(surface))
+SELECT surface || '/' || path AS path, regexp_matches(path, '^scripts/.*[.](sh|py)$') AS is_exec, md5(content) AS digest FROM s WHERE path IN ('pixi.toml', 'pixi.lock') OR regexp_matches(path, '^scripts/[^./][^/]*$')
+""")
+def shared_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mirrors.shared(tree(spark)).select("path", "is_exec", F.md5("content").alias("digest"))
+
+
+def folded(surface: str) -> str:
+    """The rewrites of a surface, one inside the other."""
+    out = "content"
+    for old, new in REWRITES[surface.removeprefix(".")]:
+        out = f"replace({out}, '{old}', '{new}')"
+    return out
+
+
+@query("WITH " + values(TREE, "tree", "path", "content") + ", s AS (SELECT * FROM tree WHERE starts_with(path, 'skills/') AND NOT contains(path, '/__pycache__/')) " + " UNION ALL ".join(f"SELECT '{s}/' || path AS path, md5({folded(s)}) AS digest FROM s" for s in SURFACES))
+def skill_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mirrors.skill_trees(tree(spark)).select("path", F.md5("content").alias("digest"))
+
+
+@query("WITH " + values(LEAKY, "stage", "path", "content") + r""", l AS (SELECT path, unnest(string_split(content, chr(10))) AS line, generate_subscripts(string_split(content, chr(10)), 1) AS n FROM stage)
+SELECT path, CAST(n AS INTEGER) AS n, line FROM l WHERE starts_with(path, '.github/') AND regexp_matches(line, '\.(claude|cursor|opencode)/') OR starts_with(path, '.agents/') AND regexp_matches(line, '\.claude/')
+""")
+def stage_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = mirrors.leaks(relation(spark, LEAKY, "path string, content string"))
+    return found.select("path", F.col("n").cast("int").alias("n"), "line")
+
+
+@query("WITH " + values(DONE, "done", "path", "ok") + """
+SELECT count(*) FILTER (WHERE ok = 'true') AS passed, count(*) FILTER (WHERE ok = 'false') AS failed, string_agg(path, ',' ORDER BY path) FILTER (WHERE ok = 'false') AS failing FROM done
+""")
+def test_results(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = relation(spark, DONE, "path string, ok string").withColumn("ok", F.col("ok").cast("boolean"))
+    return runner.results(done).withColumn("failing", F.array_join("failing", ","))
+
+
+@query("WITH " + values(PATHS, "paths", "root", "path", "is_file") + r""", u AS (SELECT * FROM paths WHERE root = 'skills' UNION ALL SELECT * FROM paths WHERE root = 'scripts')
+SELECT root, path FROM u WHERE is_file AND regexp_matches(path, '(^|/)test_[^/]*\.py$') AND NOT contains('/' || path, '/__pycache__/')
+""")
+def discover_roots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tests of two roots, each scanned for itself."""
+    files = relation(spark, PATHS, "root string, path string, is_file boolean").withColumn("is_symlink", F.lit(False))
+    return runner.discover(files.where("root = 'skills'").unionByName(files.where("root = 'scripts'")))
+
+
 @query()
 def tree_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Entries of the tables' own tree, by the files source."""

@@ -1,7 +1,8 @@
 """A data source for file trees: every entry with its kind, exec bit and bytes.
 
 Spark's own file sources skip empty files and hidden names and follow links silently; this one reports all
-of them. One partition is one top-level entry of a root, so large trees are read in parallel.
+of them. Entries of roots and of the directories there are dealt to partitions, so large trees are read in parallel. Filters on
+paths that Spark hands over are tried before an entry is opened.
 """
 
 from __future__ import annotations
@@ -11,17 +12,25 @@ import stat
 from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, In, InputPartition, StringContains, StringEndsWith, StringStartsWith
 
 SCHEMA = "root string, path string, is_dir boolean, is_symlink boolean, is_file boolean, is_exec boolean, content binary"
 
 
-class Entry(InputPartition):
-    """A top-level entry; empty for the root itself."""
+#: Partitions at least, where there are as many entries, and entries that another partition is worth.
+PARTITIONS, ENTRIES = 4, 64
 
-    def __init__(self, root: str, name: str):
+
+class Entries(InputPartition):
+    """Entries (root, path, below): with all below them, or alone."""
+
+    def __init__(self, entries: list[tuple[str, str, bool]]):
         super().__init__(None)
-        self.root, self.name = root, name
+        self.entries = entries
+
+
+#: How filters on paths that Spark can hand over are tried.
+TESTS = {EqualTo: str.__eq__, In: lambda path, values: path in values, StringStartsWith: str.startswith, StringEndsWith: str.endswith, StringContains: str.__contains__}
 
 
 def row(root: str, path: str) -> tuple:
@@ -46,24 +55,39 @@ class FilesReader(DataSourceReader):
         self.content = options.get("content", "true").lower() == "true"
         if not self.roots:
             raise ValueError("the files source needs a path")
+        self.tests: list[tuple] = []
 
-    def partitions(self) -> list[Entry]:
+    def pushFilters(self, filters: list[Filter]) -> Iterator[Filter]:
+        """Filters on paths are kept; all of them are left to Spark too, which costs little next to reading files."""
+        for f in filters:
+            if type(f) in TESTS and f.attribute == ("path",):
+                self.tests.append((type(f), f.value))
+            yield f
+
+    def wanted(self, path: str) -> bool:
+        return all(TESTS[kind](path, value) for kind, value in self.tests)
+
+    def partitions(self) -> list[Entries]:
         out = []
         for root in self.roots:
             if os.path.isdir(root):
-                out += [Entry(root, name) for name in sorted(os.listdir(root))]
-        return out or [Entry("", "")]
-
-    def read(self, partition: Entry) -> Iterator[tuple]:
-        if not partition.root:
-            return
-        work = [partition.name]
+                for name in sorted(os.listdir(root)):
+                    full = os.path.join(root, name)
+                    inner = sorted(os.listdir(full)) if os.path.isdir(full) and not os.path.islink(full) else []
+                    out += [(root, name, not inner), *((root, f"{name}/{x}", True) for x in inner)]
+        parts = max(min(len(out), PARTITIONS), len(out) // ENTRIES, 1)
+        return [Entries(out[k::parts]) for k in range(parts)]
+
+    def read(self, partition: Entries) -> Iterator[tuple]:
+        work = partition.entries[::-1]
         while work:
-            path = work.pop()
-            found = row(partition.root, path)
-            yield found if self.content else (*found[:-1], None)
-            if found[2] and not found[3]:  # links to directories aren't entered
-                work += [f"{path}/{x}" for x in sorted(os.listdir(os.path.join(partition.root, path)), reverse=True)]
+            root, path, below = work.pop()
+            full = os.path.join(root, path)
+            if self.wanted(path):
+                found = row(root, path)
+                yield found if self.content else (*found[:-1], None)
+            if below and os.path.isdir(full) and not os.path.islink(full):  # links to directories aren't entered
+                work += [(root, f"{path}/{x}", True) for x in sorted(os.listdir(full), reverse=True)]
 
 
 class FilesDataSource(DataSource):
@@ -81,6 +105,8 @@ class FilesDataSource(DataSource):
 
 
 def register(spark: SparkSession) -> None:
+    """Makes the source known to a session, and lets Spark hand filters to sources like it, without which it refuses to read."""
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     spark.dataSource.register(FilesDataSource)
 
 
