@@ -76,6 +76,27 @@ def test_packing(stages):
     assert got == want
 
 
+def test_edges(spark, tmp_path):
+    """Null ids and texts, repeated rows, a text of one long word, and columns whose names clash, through all stages; then no rows at all."""
+    long = " ".join(f"w{k}" for k in range(20_000))
+    data = [(1, "one two three four five six", "en", "a", 27), (1, "one two three four five six", "en", "a", 27), (None, "one two three four five six", "en", None, 27), (2, None, "en", "a", None), (3, "", None, "b", 0), (4, "x" * 100_000, "en", "b", 100_000), (5, long, "en", "b", len(long)), (6, "mail a@b.co now please or never", "en", None, 31)]
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    docs = spark.createDataFrame(data, schema).selectExpr("*", "1 AS `a.b`", "2 AS node", "3 AS MIX_SIZE", "4 AS pii_text", "5 AS toxicity", "6 AS tag")
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    kept = {"toxicity": 8, "n_gram_jaccard_join": 7, "pii": 7}
+    for given in (docs, docs.limit(0)):
+        at = given
+        for name, stage in P.STAGES:
+            at = Scratch(spark).stored(stage(spark, at, str(tmp_path)), name)
+            rows = at.collect()
+            if name != "packing":
+                assert at.columns == docs.columns and all(r["MIX_SIZE"] == 3 and r["a.b"] == 1 for r in rows)
+            assert len(rows) == 0 if given is not docs else len(rows) == kept.get(name, len(rows))
+            if name == "mixing" and given is docs:
+                assert not any(r["text"] in (None, "") for r in rows) and any(r["doc_id"] is None for r in rows)
+                assert any("<EMAIL>" in r["text"] for r in rows)
+
+
 def test_run(spark, sf_dir, stages):
     assert P.run(spark, sf_dir).count() == stages["packing"][1].count()
     assert P.ORACLE_SQL is None

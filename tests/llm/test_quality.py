@@ -81,3 +81,12 @@ def test_query(spark, sf_dir):
     assert len(rows) == spark.read.parquet(f"{sf_dir}/documents.parquet").count()
     for r in rows:
         assert r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 5 == 0) and 0 <= r["score"] <= 1 and r["predicted"] == int(r["score"] >= 0.3)
+
+
+def test_held_out_accuracy_on_a_table(spark):
+    table = "/root/testdata/sf0.1"
+    truth = {r["doc_id"]: r["quality"] for r in spark.read.parquet(f"{table}/labels.parquet").collect()}
+    rows = [(r["predicted"], truth[r["doc_id"]]) for r in Q.op7_quality(spark, table).where("held_out").collect() if truth.get(r["doc_id"]) is not None]
+    right = sum(p == y for p, y in rows)
+    print(f"held out: {right} of {len(rows)} right")
+    assert right >= 0.97 * len(rows)

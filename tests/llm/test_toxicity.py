@@ -108,3 +108,14 @@ def test_query(spark, sf_dir):
     assert len(rows) == spark.read.parquet(f"{sf_dir}/documents.parquet").count()
     for r in rows:
         assert r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 4 == 2) and r["predicted"] == int(r["score"] >= 0.3)
+
+
+def test_held_out_accuracy_on_a_table(spark):
+    """sf0.1: few toxic labels, held out by the contract's rule."""
+    table = "/root/testdata/sf0.1"
+    truth = {r["doc_id"]: r["toxic"] for r in spark.read.parquet(f"{table}/labels.parquet").collect()}
+    rows = [(r["predicted"], truth[r["doc_id"]]) for r in tox.op4_toxicity(spark, table).where("held_out").collect() if truth.get(r["doc_id"]) is not None]
+    toxic, clean = sum(y for _, y in rows), sum(1 - y for _, y in rows)
+    hit, wrong = sum(p * y for p, y in rows), sum(p * (1 - y) for p, y in rows)
+    print(f"held out: {hit} of {toxic} toxic, {wrong} of {clean} others")
+    assert hit >= 0.75 * toxic and wrong <= 0.03 * clean

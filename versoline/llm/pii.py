@@ -244,8 +244,9 @@ def redact(docs: DataFrame, text: str = "text", **graph) -> DataFrame:
 
 
 def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The contract's columns, and n_spans: how many spans of any kind, those of trusted contexts included."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     rows = with_candidates(with_base(docs)).select("doc_id", "pii_base", "pii_tokens", F.monotonically_increasing_id().alias("pii_row"))
     rows = joined(stored(rows, "spans"), docs.select("text"))
     count = lambda kind: F.size(F.filter("pii_base", lambda s: s["no"] == KINDS.index(kind))).cast("long").alias(f"n_{kind}")
-    return rows.select("doc_id", *(count(k) for k in PATTERNS), F.sha2(as_text("pii_base"), 256).alias("base_sha256"), as_text("pii_spans").alias("spans"))
+    return rows.select("doc_id", *(count(k) for k in PATTERNS), F.sha2(as_text("pii_base"), 256).alias("base_sha256"), as_text("pii_spans").alias("spans"), F.size("pii_spans").cast("long").alias("n_spans"))
