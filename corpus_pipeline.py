@@ -1,6 +1,10 @@
 """The corpus pipeline: each stage works on what the last one kept, written as Parquet in the shared folder and read again.
 
 As a stage begins, what it works on has been written, so the scratch tables of the stages before it are dropped.
+
+Defined cases: an empty table gives no rows at every stage; null and empty texts are clean, copies of nothing, hold no personal
+data, take no part in the mix, and so are gone after it; rows without a doc_id are never taken for copies; of repeated rows one stays; other
+columns are carried up to the last stage, whatever their names.
 """
 
 from __future__ import annotations
