@@ -137,6 +137,20 @@ def test_running_sums(spark):
     assert got == [sum(items[:k]) for k in range(len(items))]
 
 
+def test_time_is_near_linear_in_tokens(spark):
+    """Each number of a long text used to cost a pass over all of it."""
+    import time
+
+    def took(n):
+        df = spark.createDataFrame([(1, " ".join(f"word n{k}" for k in range(n)))], "doc_id long, text string")
+        began = time.perf_counter()
+        assert pii.with_candidates(pii.with_base(df)).select(F.size("pii_tokens")).first()[0] == n - 100
+        return time.perf_counter() - began
+
+    took(500)
+    assert took(20_000) < 10 * took(4000) + 5
+
+
 def test_empty_table(spark):
     assert pii.with_spans(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 

@@ -48,12 +48,23 @@ FILTER_BITS = 1 << 21
 BLOCK = 256
 
 
+def bound(value: Column, use) -> Column:
+    """use(value), with value evaluated once: an expression that is named within a lambda is evaluated for each element."""
+    return F.transform(F.array(value), use)[0]
+
+
 def running(lengths: Column) -> Column:
     """Sums of what comes before each element. Blocks keep the work far from the square of the number."""
     total = lambda part: F.aggregate(part, F.lit(0), lambda a, x: a + x)
-    blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(lengths) - 1) / BLOCK).cast("int")), lambda b: total(F.slice(lengths, b * BLOCK + 1, F.lit(BLOCK))))
-    starts = F.aggregate(blocks, F.array(F.lit(0)), lambda a, x: F.concat(a, F.array(F.element_at(a, -1) + x)))
-    return F.transform(lengths, lambda _, i: F.element_at(starts, F.floor(i / BLOCK).cast("int") + 1) + total(F.slice(lengths, i - i % BLOCK + 1, i % BLOCK)))
+
+    def starts(items: Column) -> Column:
+        blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(items) - 1) / BLOCK).cast("int")), lambda b: total(F.slice(items, b * BLOCK + 1, F.lit(BLOCK))))
+        return F.aggregate(blocks, F.array(F.lit(0)), lambda a, x: F.concat(a, F.array(F.element_at(a, -1) + x)))
+
+    def sums(items: Column) -> Column:
+        return bound(starts(items), lambda s: F.transform(items, lambda _, i: F.element_at(s, F.floor(i / BLOCK).cast("int") + 1) + total(F.slice(items, i - i % BLOCK + 1, i % BLOCK))))
+
+    return bound(lengths, sums)
 
 
 def with_matches(df: DataFrame, text: str, pattern: str, out: str, needs: str | None = None) -> DataFrame:
