@@ -178,10 +178,31 @@ def tree_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_files(spark, sf_dir).select("path", "is_dir", "is_symlink", "is_exec", F.sha2("content", 256).alias("digest"))
 
 
+CANONICAL = [*((f"commands/{stem}.md", text) for stem, text in FILES), ("skills/a/SKILL.md", FILES[0][1]), ("rules/r.md", FILES[1][1]), ("instructions.md", FILES[-1][1]), ("scripts/x.sh", "echo"), ("pixi.toml", "[x]")]
+
+
+def canonical_stage(spark: SparkSession) -> DataFrame:
+    files = relation(spark, [(p, False, False, True, False, t) for p, t in CANONICAL] + [("skills/a", True, False, False, False, None)], "path string, is_dir boolean, is_symlink boolean, is_file boolean, is_exec boolean, content string")
+    return mirrors.build_stage(files.withColumn("content", F.col("content").cast("binary")))
+
+
 @query()
 def mirror_stage(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What the mirrors of a small canonical tree hold."""
-    rows = [(f"commands/{stem}.md", text) for stem, text in FILES] + [("skills/a/SKILL.md", FILES[0][1]), ("rules/r.md", FILES[1][1]), ("instructions.md", FILES[-1][1]), ("scripts/x.sh", "echo"), ("pixi.toml", "[x]")]
-    files = relation(spark, [(p, False, False, True, False, t) for p, t in rows] + [("skills/a", True, False, False, False, None)], "path string, is_dir boolean, is_symlink boolean, is_file boolean, is_exec boolean, content string")
-    stage = mirrors.build_stage(files.withColumn("content", F.col("content").cast("binary")))
-    return stage.select("path", "is_exec", "copies", F.sha2("content", 256).alias("digest"))
+    return canonical_stage(spark).select("path", "is_exec", "copies", F.sha2("content", 256).alias("digest"))
+
+
+@query("WITH " + values([p for p, _ in CANONICAL], "tree", "path") + f""", surfaces(surface) AS (VALUES {SURFACE_ROWS}),
+c AS (SELECT regexp_extract(path, '^commands/(.*)[.]md$', 1) AS name FROM tree WHERE starts_with(path, 'commands/')),
+k AS (SELECT regexp_extract(path, '^skills/(.*)/SKILL[.]md$', 1) AS name FROM tree WHERE starts_with(path, 'skills/')),
+p AS (SELECT surface || '/commands/' || name || '.md' AS path FROM c CROSS JOIN surfaces WHERE surface IN ('{SURFACES[0]}', '{SURFACES[1]}')
+UNION ALL SELECT '.github/prompts/' || name || '.prompt.md' FROM c
+UNION ALL SELECT '.github/prompts/' || name || '.prompt.md' FROM k
+UNION ALL SELECT '.agents/skills/' || name || '/SKILL.md' FROM c
+UNION ALL SELECT surface || '/' || path FROM tree CROSS JOIN surfaces WHERE starts_with(path, 'skills/') OR starts_with(path, 'scripts/') OR path = 'pixi.toml'
+UNION ALL VALUES ('.github/copilot-instructions.md'), ('AGENTS.md'))
+SELECT path, contains(path, '/scripts/') AS is_exec, count(*) AS copies FROM p GROUP BY path
+""")
+def mirror_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where the producers of a stage write, and how many write there."""
+    return canonical_stage(spark).select("path", "is_exec", "copies")
