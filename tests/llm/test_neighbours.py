@@ -98,6 +98,19 @@ def test_edges(spark):
     assert ann.search(df.limit(0), df.limit(0)).count() == 0
 
 
+def test_candidates_do_not_depend_on_the_number_of_rows(spark):
+    """Far rows that are added change no query's neighbours: which buckets are probed is the same among few rows and many."""
+    rng = np.random.default_rng(11)
+    near = ann.unit(rng.normal(size=(400, 16)))
+    rows = [(k, x.tolist()) for k, x in enumerate(near)]
+    far = [(1000 + k, (100 * x).tolist()) for k, x in enumerate(ann.unit(rng.normal(size=(8000, 16))))]
+    out = []
+    for some in (rows, rows + far):
+        df = spark.createDataFrame(some, "vec_id long, embedding array<double>")
+        out.append(sorted(map(tuple, ann.search(df, df.where("vec_id < 400 and vec_id % 20 = 0"), tables=1).collect())))
+    assert out[0] == out[1]
+
+
 def test_hot_bucket(spark):
     """Many equal vectors: blocks split the bucket, ties go to smaller ids."""
     rows = [(k, [1.0, 2.0, 0.5, 0.25]) for k in range(1500)] + [(k, [float(k % 7), 1.0, float(k % 3), 2.0]) for k in range(1500, 1600)]

@@ -2,9 +2,9 @@
 
 A pseudo-rotation is three rounds of random signs and a fast Hadamard transform; it puts a unit vector on the
 signed axis nearest to its rotation. A table has two of them, and a pair of axes is a bucket. Each row goes to one
-bucket of every table; a query probes, in every table, the pairs whose axes are nearest to it in sum. The more
-rows there are, the nearer are neighbours, so the fewer buckets are probed. Candidates are reranked exactly, by Euclidean
-distance between the original vectors in double precision.
+bucket of every table; a query probes, in every table, the pairs whose axes are nearest to it in sum. How many is the
+same for every table of rows: whether a row is a candidate of a query depends on these two vectors alone. Candidates are
+reranked exactly, by Euclidean distance between the original vectors in double precision.
 
 What is shuffled and grouped are groups of buckets: those with one first axis, or, as rows get more, with one first axis
 and one part of the second ones. A query goes once to each group that it probes, with the bits of the second axes it asks for.
@@ -27,8 +27,10 @@ from pyspark.sql import functions as F
 from .common import cut, stored, table, tidy
 
 TABLES, SEED = 8, 20240229
-#: Buckets that a query probes in a table among PROBED_ROWS rows, and the power of the rows by which they get fewer.
-PROBES, PROBED_ROWS, FEWER = 600, 2000, 0.15
+#: Buckets that a query probes in a table, whatever the rows.
+PROBES = 740
+#: For probes_among(): so many probes among so many rows, and the power of the rows by which they get fewer.
+FIRST_PROBES, PROBED_ROWS, FEWER = 600, 2000, 0.15
 BLOCK_ROWS, BLOCK_QUERIES = 2048, 1024
 
 
@@ -61,7 +63,8 @@ def unit(x: np.ndarray) -> np.ndarray:
 
 
 def probes_among(rows: int) -> int:
-    return max(16, round(PROBES * (PROBED_ROWS / max(rows, 1)) ** FEWER))
+    """For callers of search() that know their rows: the more there are, the nearer are neighbours, and fewer probes find them. No query uses it."""
+    return max(16, round(FIRST_PROBES * (PROBED_ROWS / max(rows, 1)) ** FEWER))
 
 
 def parts_among(rows: int, axes: int) -> int:
@@ -183,11 +186,11 @@ def best(pairs: DataFrame, k: int) -> DataFrame:
     return one.withColumn("rank", rank).where(F.col("rank") <= k)
 
 
-def search(vectors: DataFrame, queries: DataFrame, k: int = 10, id_column: str = "vec_id", vector: str = "embedding", tables: int = TABLES, probes: int | None = None) -> DataFrame:
-    """query_id, rank, vec_id, score: the k nearest rows found for each query, but the row of its own id. probes: probes_among() by default."""
+def search(vectors: DataFrame, queries: DataFrame, k: int = 10, id_column: str = "vec_id", vector: str = "embedding", tables: int = TABLES, probes: int = PROBES) -> DataFrame:
+    """query_id, rank, vec_id, score: the k nearest rows found for each query, but the row of its own id."""
     rows, asked = sound(vectors, id_column, vector), sound(queries, id_column, vector)
-    total = rows.count()
-    first = stored(best(found(placed(rows, tables, total), asking(asked, tables, probes or probes_among(total), total), k), k), "nearest")
+    total = rows.count()  # for the size of groups, which no result depends on
+    first = stored(best(found(placed(rows, tables, total), asking(asked, tables, probes, total), k), k), "nearest")
     enough = first.groupBy("query_id").agg(F.max("rank").alias("n")).where(F.col("n") >= k).select(F.col("query_id").alias("id"))
     few = cut(asked.join(enough, "id", "left_anti"))
     if few.isEmpty():
