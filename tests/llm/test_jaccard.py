@@ -169,6 +169,26 @@ def test_components_of_any_graph(spark):
     assert {r["node"]: r["root"] for r in halves.collect()} == root
 
 
+def test_rounds_hand_nothing_on_to_the_optimizer(spark, monkeypatch):
+    """A path in random order takes several rounds; what the optimizer infers of their tables would grow with each, in the driver's memory."""
+    order = random.Random(8).sample(range(400), 400)
+    seen = []
+    kind = type(spark.range(1))
+    plain = kind.isEmpty
+
+    def watched(df):
+        seen.append(df._jdf.queryExecution().optimizedPlan().constraints().size())
+        assert seen[-1] <= 4, seen
+        return plain(df)
+
+    monkeypatch.setattr(kind, "isEmpty", watched)
+    got = components(spark.createDataFrame(list(zip(order, order[1:])), "a long, b long"))
+    assert {r["root"] for r in got.collect()} == {0} and got.count() == 400
+    got = merged(got, spark.createDataFrame([(0, 500), (501, 399)], "a long, b long"))
+    assert {r["root"] for r in got.collect()} == {0} and got.count() == 402
+    assert len(seen) > 8
+
+
 def test_null_ids(spark):
     texts = ["a b c d e f g h i j k l m n o p q r s t u v w x y z", "A b c d e f g h i j k l m n o p q r s t u v w x y zz", "a b c d e f g h i j k l m n o p q r s t u v w x y"]
     assert found_rows(spark, [(None, texts[0]), (7, texts[1]), (None, texts[2])]) == [(None, 22, 7), (None, 23, 7), (7, 23, 7)]

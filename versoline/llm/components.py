@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import Scratch, stored
 
 
 def named(roots: DataFrame, node: str, root: str) -> DataFrame:
@@ -19,7 +19,12 @@ def components(links: DataFrame) -> DataFrame:
     each time), and nodes of one choice become one: links between them go, others are drawn between choices. A node with links
     joins another, so there are ever fewer; it ends when no link is left. All of it stays in tables; a hub's rows are
     pre-aggregated, and its joins are some that adaptive execution can split.
+
+    The tables are written and read back, not checkpointed: a checkpoint hands what the optimizer has inferred on to all that is made
+    of it, each round has several times that of the last one, and the driver's time and memory go with it.
     """
+    scratch = Scratch(links.sparkSession)
+    cut = lambda df: scratch.stored(df, "round")
     edges = cut(links.select("a", "b").where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
     roots = None
     while not edges.isEmpty():
@@ -36,7 +41,9 @@ def components(links: DataFrame) -> DataFrame:
             roots = cut(roots.join(named(chosen, "root", "further"), "root", "left").select("node", F.coalesce("further", "root").alias("root")))
         drawn = edges.join(named(chosen, "a", "x"), "a").join(named(chosen, "b", "y"), "b").where("x <> y")
         edges = cut(drawn.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct())
-    return edges.select(F.col("a").alias("node"), F.col("b").alias("root")) if roots is None else roots
+    found = stored(edges.select(F.col("a").alias("node"), F.col("b").alias("root")) if roots is None else roots, "roots")
+    scratch.drop()
+    return found
 
 
 def merged(roots: DataFrame | None, links: DataFrame) -> DataFrame:
@@ -46,4 +53,4 @@ def merged(roots: DataFrame | None, links: DataFrame) -> DataFrame:
     over = links.join(named(roots, "a", "x"), "a", "left").join(named(roots, "b", "y"), "b", "left")
     new = components(over.select(F.coalesce("x", "a").alias("a"), F.coalesce("y", "b").alias("b")))
     old = roots.join(named(new, "root", "further"), "root", "left").select("node", F.coalesce("further", "root").alias("root"))
-    return cut(old.union(new.join(roots, "node", "left_anti").select("node", "root")))
+    return stored(old.union(new.join(roots, "node", "left_anti").select("node", "root")), "roots")
