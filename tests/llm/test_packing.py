@@ -178,3 +178,25 @@ def test_statistics(spark, sf_dir, monkeypatch):
 def test_query(spark, sf_dir, tokenizer):
     docs = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()]
     assert check(packing.op10_packing(spark, sf_dir).collect(), docs, tokenizer) == 0
+
+
+def test_words_beyond_the_table_have_exact_counts(spark, sf_dir, monkeypatch):
+    """However few words every task gets, the pieces are the same: the others' counts come with the documents."""
+    df = spark.read.parquet(f"{sf_dir}/documents.parquet").repartition(3).select("doc_id", "text")
+    path = f"{spark.conf.get('spark.checkpoint.dir')}/dealt"
+    df.write.mode("overwrite").parquet(path)
+    stored = spark.read.parquet(path)
+    monkeypatch.setattr(packing, "SHARD_DOCS", 20)
+    path = packing.default_tokenizer()
+    out = []
+    for most in (10**6, 300, 0):
+        monkeypatch.setattr(packing, "MOST_WORDS", most)
+        out.append(sorted(map(tuple, packing.pack(stored, path, 512).collect())))
+    assert out[0] == out[1] == out[2]
+
+
+def test_a_word_without_its_count_is_an_error():
+    known = packing.Statistics(9, 2.0, np.array([3, 5]), np.array([4, 6]), 4, np.array([7]), np.array([2]))
+    assert known.known_idf(np.array([3, 7, 8]), np.array([2, 1, 1])) == pytest.approx([np.log1p((9 - n + 0.5) / (n + 0.5)) for n in (4, 2, 1)])
+    with pytest.raises(ValueError):
+        known.known_idf(np.array([8]), np.array([2]))

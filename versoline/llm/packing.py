@@ -1,15 +1,19 @@
 """Packing by lexical retrieval: a sharded BM25 index finds the documents that share a window.
 
 Documents stream through each task in shards of bounded size. A shard has an inverted index of its words
-with BM25 weights; idf comes from exact counts over all documents, gathered in a first pass, of the words that are in most.
+with BM25 weights; idf comes from exact counts over all documents, gathered in a first pass. The words that are in most have
+theirs in a table that every task gets. Of the rest, each task gets the counts of the words that several of its documents
+have: no other word of it can rank anything. They come first in its partition, to which the documents are sent with them.
 A window of 4096 ids starts with a seed: what is left of the last document, or else the next unused one. It is filled
 greedily with the shard's unused documents, those first that score best for all words of the seed, and with the next unused
 one where none shares a word. A document that does not fit is cut, and what is left of it seeds the next window; a shard's
 leftover seeds the next shard. At the end of a task the rest is laid out in sequences whose lengths are powers of
 two, which need no padding.
 
-Ids never leave the task that made them: nothing is shuffled but the word counts. A sequence's number is the
-task's partition and a count within it.
+Ids never leave the task that made them: nothing is shuffled but the word counts and, where there are too many words for one
+table, the texts once. A sequence's number is the partition of its documents and a count within it. The
+documents are read twice, and must lie in the same partitions both times, as those of a table do; a word whose count is
+missing because they don't is an error.
 
 Defined cases: null and empty texts are a document of the end id alone; repeated rows are packed each; an
 empty table gives no rows; other columns are ignored; texts of any length are cut over windows; null ids
@@ -33,14 +37,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, hashed, held, slices, table, tidy, words_of
+from .common import Scratch, hashed, held, slices, stored, table, tidy, words_of
 
 WINDOW, END_ID = 4096, 2
 #: A shard is closed at so many documents or ids.
 SHARD_DOCS, SHARD_IDS = 2000, 1_500_000
 #: Words of more than this share of a shard's documents have a weight for each document, others have lists.
 COMMON = 0.125
-#: Words whose document frequency every task gets, and words that a task counts at once.
+#: Words whose document frequency every task gets (of others, a task gets those of its own), and words that a task counts at once.
 MOST_WORDS, COUNTED = 500_000, 300_000
 #: Bytes of text that are counted, and that are encoded, at once.
 COUNT_BYTES, ENCODE_BYTES = 2 << 20, 4 << 20
@@ -56,7 +60,8 @@ SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long,
 
 
 def count_pass(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(word, docs, words): in how many documents a hashed word is, each word once for every COUNTED that are held; word null: documents and words."""
+    """(word, docs, words, part): in how many documents of a partition a hashed word is, each word once for every COUNTED that are held; word null: documents and words."""
+    part = TaskContext.get().partitionId()
     held_words: list[np.ndarray] = []
     held_docs: list[np.ndarray] = []
     docs = words = waiting = 0
@@ -64,7 +69,7 @@ def count_pass(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     def counted() -> pa.RecordBatch:
         word, at = np.unique(np.concatenate(held_words or [np.zeros(0, np.int64)]), return_inverse=True)
         n = np.bincount(at, np.concatenate(held_docs or [np.zeros(0)]), len(word)).astype(np.int64)
-        return pa.RecordBatch.from_arrays([pa.array(word, pa.int64()), pa.array(n), pa.nulls(len(word), pa.int64())], ["word", "docs", "words"])
+        return pa.RecordBatch.from_arrays([pa.array(word, pa.int64()), pa.array(n), pa.nulls(len(word), pa.int64()), pa.array(np.full(len(word), part, np.int32))], ["word", "docs", "words", "part"])
 
     for batch in batches:
         for start, stop in slices(batch.column(0), COUNT_BYTES):
@@ -82,34 +87,47 @@ def count_pass(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield counted()
                 held_words, held_docs, waiting = [], [], 0
     yield counted()
-    yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.array([docs]), pa.array([words])], ["word", "docs", "words"])
+    yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.array([docs]), pa.array([words]), pa.array([part], pa.int32())], ["word", "docs", "words", "part"])
 
 
 class Statistics(NamedTuple):
-    """Of all documents: how many there are, their mean words, and in how many each frequent word is, by sorted hash. Others are in fewer than least."""
+    """Of all documents: how many there are, their mean words, and in how many each frequent word is, by sorted hash. Others are in fewer than least.
+
+    rest and rest_counts: the same of other words that several documents of one partition have.
+    """
 
     docs: int
     mean_words: float
     words: np.ndarray
     counts: np.ndarray
     least: int
+    rest: np.ndarray = np.zeros(0, np.int64)
+    rest_counts: np.ndarray = np.zeros(0, np.int64)
 
     def idf(self, words: np.ndarray, here: np.ndarray) -> np.ndarray:
-        """Weights of sorted hashed words; here: in how many documents of the shard each is, which stands in for what is not frequent."""
-        at = np.minimum(np.searchsorted(self.words, words), max(len(self.words) - 1, 0))
-        known = self.words[at] == words if len(self.words) else np.zeros(len(words), bool)
-        df = np.where(known, self.counts[at] if len(self.words) else 0, here)
+        """Weights of sorted hashed words; here: in how many documents of the shard each is. A word without a count is in no other document of the partition."""
+        df = here
+        for known, counts in ((self.words, self.counts), (self.rest, self.rest_counts)):
+            if len(known):
+                at = np.minimum(np.searchsorted(known, words), len(known) - 1)
+                df = np.where(known[at] == words, counts[at], df)
         return np.log1p((np.maximum(self.docs - df, 0) + 0.5) / (df + 0.5))
 
+    def known_idf(self, words: np.ndarray, here: np.ndarray) -> np.ndarray:
+        """idf(), where each word that several documents have must have a count."""
+        several = words[here > 1]
+        if not (np.isin(several, self.words) | np.isin(several, self.rest)).all():
+            raise ValueError("documents are in other partitions than when their words were counted: store them first")
+        return self.idf(words, here)
 
-def corpus_statistics(docs: DataFrame) -> Statistics:
-    """Counts over all of docs, exact for each word that is kept. At most MOST_WORDS words are; as there are more, rarer ones are left out.
 
-    A word that is left out is in fewer documents than any that is kept, so its weight is high whatever its count.
+def corpus_counts(docs: DataFrame, scratch: Scratch) -> tuple[Statistics, DataFrame | None]:
+    """Counts over all of docs, exact for each word: of at most MOST_WORDS frequent ones, and, where there are more, (part, word, docs) of the others in several documents of a partition.
+
+    A word of one document needs none. A word that is in several documents of no partition ranks nothing, as retrieval looks within one.
     """
-    scratch = Scratch(docs.sparkSession)
-    counted = docs.select("text").mapInArrow(tidy(count_pass), "word long, docs long, words long").groupBy("word").agg(F.sum("docs").alias("docs"), F.sum("words").alias("words"))
-    counted = scratch.stored(counted.where("word is null or docs > 1"), "words")
+    raw = scratch.stored(docs.select("text").mapInArrow(tidy(count_pass), "word long, docs long, words long, part int"), "counts")
+    counted = scratch.stored(raw.groupBy("word").agg(F.sum("docs").alias("docs"), F.sum("words").alias("words")).where("word is null or docs > 1"), "words")
     whole = counted.where("word is null").first()
     total = counted.where("word is not null")
     steps = total.groupBy(F.floor(F.log2("docs")).alias("e")).count().orderBy(F.desc("e")).collect()  # at most 63 rows
@@ -120,11 +138,23 @@ def corpus_statistics(docs: DataFrame) -> Statistics:
             break
         size += count
     rows = total.where(F.col("docs") >= least).select("word", "docs").toArrow()
-    scratch.drop()
     words, counts = rows.column("word").to_numpy(), rows.column("docs").to_numpy()
     order = np.argsort(words)
     n = whole["docs"] if whole else 0
-    return Statistics(n, max(1.0, (whole["words"] if whole else 0) / max(1, n)), words[order], counts[order], least)
+    known = Statistics(n, max(1.0, (whole["words"] if whole else 0) / max(1, n)), words[order], counts[order], least)
+    if least <= 2:
+        return known, None
+    rest = total.where(F.col("docs") < least).select("word", F.col("docs").alias("total"))
+    mine = raw.where(F.col("word").isNotNull() & (F.col("docs") < least)).join(rest, "word").groupBy("word", "part").agg(F.sum("docs").alias("here"), F.first("total").alias("docs"))
+    return known, scratch.stored(mine.where("here > 1").select("part", "word", "docs"), "rest")
+
+
+def corpus_statistics(docs: DataFrame) -> Statistics:
+    """The counts of corpus_counts() that every task gets."""
+    scratch = Scratch(docs.sparkSession)
+    known, _ = corpus_counts(docs, scratch)
+    scratch.drop()
+    return known
 
 
 class Encoder:
@@ -356,28 +386,75 @@ def padded_length(n: int, window: int = WINDOW) -> int:
     return n if n & (n - 1) == 0 else window
 
 
+class Shards:
+    """Packs the documents of a partition, shard by shard."""
+
+    def __init__(self, path: str, known: Statistics, window: int, part: int):
+        self.encode, self.known, self.packer = encoder(path), known, Packer(window, part << 32)
+        self.docs: list[tuple] = []
+        self.words: list[np.ndarray] = []
+        self.n_ids = 0
+
+    def add(self, names: pa.Array, texts: pa.Array) -> Iterator[pa.RecordBatch]:
+        for start, stop in slices(texts, ENCODE_BYTES):
+            ids_of = names.slice(start, stop - start).to_pylist()
+            offsets, codes, dictionary = words_of(held(texts.slice(start, stop - start)))
+            hashes = hashed(dictionary).view(np.int64)
+            for r, ids in enumerate(self.encode.texts(offsets, codes, dictionary)):
+                self.docs.append((ids_of[r], ids))
+                self.words.append(hashes[codes[offsets[r] : offsets[r + 1]]])
+                self.n_ids += len(ids)
+                if len(self.docs) >= SHARD_DOCS or self.n_ids >= SHARD_IDS:
+                    yield self.shard()
+
+    def shard(self) -> pa.RecordBatch:
+        self.packer.shard(self.docs, Index(self.words, self.known.known_idf, self.known.mean_words))
+        self.docs, self.words, self.n_ids = [], [], 0
+        return as_rows(self.packer.closed())
+
+    def end(self) -> Iterator[pa.RecordBatch]:
+        yield self.shard()
+        yield as_rows(list(self.packer.tail()))
+
+
 def pack_pass(path: str, statistics, window: int):
+    """Packs each partition of (doc_id, text) as it is."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, packer, known = encoder(path), Packer(window, TaskContext.get().partitionId() << 32), statistics.value
-        docs: list[tuple] = []
-        words: list[np.ndarray] = []
-        n_ids = 0
+        shards = Shards(path, statistics.value, window, TaskContext.get().partitionId())
         for batch in batches:
-            for start, stop in slices(batch.column(1), ENCODE_BYTES):
-                names = batch.column(0).slice(start, stop - start).to_pylist()
-                offsets, codes, dictionary = words_of(held(batch.column(1).slice(start, stop - start)))
-                hashes = hashed(dictionary).view(np.int64)
-                for r, ids in enumerate(encode.texts(offsets, codes, dictionary)):
-                    docs.append((names[r], ids))
-                    words.append(hashes[codes[offsets[r] : offsets[r + 1]]])
-                    n_ids += len(ids)
-                    if len(docs) >= SHARD_DOCS or n_ids >= SHARD_IDS:
-                        packer.shard(docs, Index(words, known.idf, known.mean_words))
-                        docs, words, n_ids = [], [], 0
-                        yield as_rows(packer.closed())
-        packer.shard(docs, Index(words, known.idf, known.mean_words))
-        yield as_rows(packer.closed())
-        yield as_rows(list(packer.tail()))
+            yield from shards.add(batch.column(0), batch.column(1))
+        yield from shards.end()
+
+    return run
+
+
+def dealt_pass(path: str, statistics, window: int):
+    """Packs (part, at, id, docs, text), by part and at: first a part's words (at -1) and in how many documents they are, then its documents."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shards, open_part, counts = None, None, []
+        for batch in batches:
+            part, is_word = batch.column(0).to_numpy(), batch.column(1).to_numpy() < 0
+            turns = np.flatnonzero((part[1:] != part[:-1]) | (is_word[1:] != is_word[:-1])) + 1
+            for a, b in zip([0, *turns.tolist()], [*turns.tolist(), len(part)], strict=True):
+                if a == b:
+                    continue
+                if part[a] != open_part:
+                    if shards is not None:
+                        yield from shards.end()
+                    shards, open_part, counts = None, part[a], []
+                some = batch.slice(a, b - a)
+                if is_word[a]:
+                    counts.append((some.column(2).to_numpy(), some.column(3).to_numpy()))
+                    continue
+                if shards is None:
+                    words, docs = (np.concatenate(c) for c in zip(*counts, strict=True)) if counts else (np.zeros(0, np.int64),) * 2
+                    order = np.argsort(words)
+                    shards = Shards(path, statistics.value._replace(rest=words[order], rest_counts=docs[order]), window, int(open_part))
+                yield from shards.add(some.column(2), some.column(4))
+        if shards is not None:
+            yield from shards.end()
 
     return run
 
@@ -386,8 +463,20 @@ def pack(docs: DataFrame, tokenizer: str, window: int = WINDOW) -> DataFrame:
     """The pieces of docs (doc_id, text). tokenizer: a file of the tokenizers library that never joins words."""
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    statistics = spark.sparkContext.broadcast(corpus_statistics(rows))
-    return rows.mapInArrow(tidy(pack_pass(tokenizer, statistics, window)), SCHEMA)
+    scratch = Scratch(spark)
+    known, rest = corpus_counts(rows, scratch)
+    statistics = spark.sparkContext.broadcast(known)
+    if rest is None:
+        scratch.drop()
+        return rows.mapInArrow(tidy(pack_pass(tokenizer, statistics, window)), SCHEMA)
+    rest = stored(rest, "rest")
+    scratch.drop()
+    parts = rows._jdf.rdd().getNumPartitions()
+    at = F.monotonically_increasing_id()  # the partition's number, and 33 bits for a row's place in it
+    texts = rows.select(at.alias("at"), F.col("doc_id").alias("id"), "text").select(F.shiftright("at", 33).cast("int").alias("part"), "at", "id", F.lit(None).cast("long").alias("docs"), "text")
+    words = rest.select("part", F.lit(-1).cast("long").alias("at"), F.col("word").alias("id"), "docs", F.lit(None).cast("string").alias("text"))
+    dealt = words.union(texts).repartitionById(parts, F.col("part")).sortWithinPartitions("part", "at")
+    return dealt.mapInArrow(tidy(dealt_pass(tokenizer, statistics, window)), SCHEMA)
 
 
 def default_tokenizer() -> str:
