@@ -100,3 +100,14 @@ def test_edges(spark, tmp_path):
 def test_run(spark, sf_dir, stages):
     assert P.run(spark, sf_dir).count() == stages["packing"][1].count()
     assert P.ORACLE_SQL is None
+
+
+def test_packing_of_the_pipeline_needs_no_table_of_words(spark, sf_dir, monkeypatch):
+    """The last stage gives the same pieces whether every task gets all counts or none."""
+    path = f"{spark.conf.get('spark.checkpoint.dir')}/mixed"
+    spark.read.parquet(f"{sf_dir}/documents.parquet").repartition(3).write.mode("overwrite").parquet(path)
+    out = []
+    for most in (10**6, 0):
+        monkeypatch.setattr(packing, "MOST_WORDS", most)
+        out.append(sorted(map(tuple, P.packed(spark, spark.read.parquet(path), sf_dir).collect())))
+    assert out[0] == out[1]
