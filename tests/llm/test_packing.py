@@ -1,5 +1,6 @@
 import random
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -200,3 +201,44 @@ def test_a_word_without_its_count_is_an_error():
     assert known.known_idf(np.array([3, 7, 8]), np.array([2, 1, 1])) == pytest.approx([np.log1p((9 - n + 0.5) / (n + 0.5)) for n in (4, 2, 1)])
     with pytest.raises(ValueError):
         known.known_idf(np.array([8]), np.array([2]))
+
+
+def test_pieces_of_equal_hashes_are_told_apart(monkeypatch):
+    """What is kept is found by its hash, but compared: ids are right however often hashes meet."""
+    texts = pa.array(["one two, three. two", "three one! four four;", "five, two one"], pa.large_string())
+    want = [packing.Encoder(packing.default_tokenizer()).tokenizer.encode(t, add_special_tokens=False).ids for t in texts.to_pylist()]
+    monkeypatch.setattr(packing, "hashed", lambda words: np.array([len(w) % 2 for w in words.to_pylist()], np.uint64))
+    encoder = packing.Encoder(packing.default_tokenizer())
+    for k in (0, 1, 2, 0):
+        assert encoder.texts(*words_of(texts.slice(k, 1)))[0].tolist() == want[k] + [packing.END_ID]
+
+
+def test_a_shard_costs_no_pass_over_all_known_words():
+    """Looking up few words among many takes far less than sorting these, which every shard did."""
+    words = np.random.default_rng(0).permutation(1_000_000).astype(np.int64) << 20
+    known = packing.Statistics(10**6, 9.0, np.sort(words), np.full(len(words), 7), 2)
+    few, here = known.words[::1000], np.full(1000, 2)
+    start = time.process_time()
+    np.unique(words)
+    sorting = time.process_time() - start
+    start = time.process_time()
+    for _ in range(10):
+        known.known_idf(few, here)
+    assert time.process_time() - start < sorting
+
+
+@pytest.mark.parametrize("size", [1, 7, 1000])
+def test_counts_are_merged(size):
+    """merge_pass against counting, whatever the batches: a word's rows may lie in several."""
+    rng = random.Random(size)
+    rows = sorted((rng.randrange(-40, 40) << 57, rng.randrange(1, 3), rng.randrange(6)) for _ in range(150))
+    total, here = Counter(), Counter()
+    for word, docs, part in rows:
+        total[word] += docs
+        here[word, part] += docs
+    columns = zip((None, 3, 9, 0), *((word, docs, None, part) for word, docs, part in rows), strict=True)
+    types = (pa.int64(), pa.int64(), pa.int64(), pa.int32())
+    batch = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], ["word", "docs", "words", "part"])
+    out = [tuple(r.values()) for b in packing.merge_pass(batch.slice(a, size) for a in range(0, len(batch), size)) for r in b.to_pylist()]
+    want = [(w, n, None, None) for w, n in total.items() if n > 1] + [(w, total[w], None, p) for (w, p), n in here.items() if n > 1]
+    assert out[0] == (None, 3, 9, 0) and Counter(out[1:]) == Counter(want)

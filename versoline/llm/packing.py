@@ -24,9 +24,7 @@ from __future__ import annotations
 
 import functools
 import os
-import re
 import zlib
-from array import array
 from collections.abc import Callable, Iterator
 from typing import NamedTuple
 
@@ -45,20 +43,32 @@ SHARD_DOCS, SHARD_IDS = 2000, 1_500_000
 #: Words of more than this share of a shard's documents have a weight for each document, others have lists.
 COMMON = 0.125
 #: Words whose document frequency every task gets (of others, a task gets those of its own), and words that a task counts at once.
-MOST_WORDS, COUNTED = 500_000, 300_000
+MOST_WORDS, COUNTED = 500_000, 1_000_000
 #: Bytes of text that are counted, and that are encoded, at once.
 COUNT_BYTES, ENCODE_BYTES = 2 << 20, 4 << 20
+#: Counts that go to Spark at once.
+SENT = 1 << 16
 K1, B = 1.2, 0.75
 #: Words whose ids a worker keeps.
-KEPT_WORDS = 400_000
+KEPT_WORDS = 800_000
 #: Lower-case letters that no normalisation changes.
-LETTERS = re.compile("[a-zà-öø-ÿ]+")
+LETTERS = "^[a-zà-öø-ÿ]+$"
 #: ASCII marks that are split off the end of a word, as they never share a token with a letter or digit before them.
 MARKS = '.,!?;:%&$#*|()'
 
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
+COUNTS = "word long, docs long, words long, part int"
+
+
+def counts_of(word: np.ndarray, docs: np.ndarray, part: pa.Array) -> Iterator[pa.RecordBatch]:
+    """Rows of COUNTS for words, a bounded number at once."""
+    rows = pa.RecordBatch.from_arrays([pa.array(word, pa.int64()), pa.array(docs, pa.int64()), pa.nulls(len(word), pa.int64()), part], ["word", "docs", "words", "part"])
+    for a in range(0, len(word), SENT):
+        yield rows.slice(a, SENT)
+
+
 def count_pass(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(word, docs, words, part): in how many documents of a partition a hashed word is, each word once for every COUNTED that are held; word null: documents and words."""
     part = TaskContext.get().partitionId()
@@ -66,10 +76,10 @@ def count_pass(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     held_docs: list[np.ndarray] = []
     docs = words = waiting = 0
 
-    def counted() -> pa.RecordBatch:
+    def counted() -> Iterator[pa.RecordBatch]:
         word, at = np.unique(np.concatenate(held_words or [np.zeros(0, np.int64)]), return_inverse=True)
         n = np.bincount(at, np.concatenate(held_docs or [np.zeros(0)]), len(word)).astype(np.int64)
-        return pa.RecordBatch.from_arrays([pa.array(word, pa.int64()), pa.array(n), pa.nulls(len(word), pa.int64()), pa.array(np.full(len(word), part, np.int32))], ["word", "docs", "words", "part"])
+        yield from counts_of(word, n, pa.array(np.full(len(word), part, np.int32)))
 
     for batch in batches:
         for start, stop in slices(batch.column(0), COUNT_BYTES):
@@ -84,12 +94,42 @@ def count_pass(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 waiting += len(dictionary)
             docs, words = docs + len(offsets) - 1, words + len(codes)
             if waiting > COUNTED:
-                yield counted()
+                yield from counted()
                 held_words, held_docs, waiting = [], [], 0
-    yield counted()
+    yield from counted()
     yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.array([docs]), pa.array([words]), pa.array([part], pa.int32())], ["word", "docs", "words", "part"])
 
 
+def merge_pass(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Merges the rows of count_pass(), all of a word together: docs is of all partitions, in a row without a part for each word of several documents, and in one for each part that has several of them.
+
+    Rows without a word come first, and stay as they are.
+    """
+
+    def merged(word: np.ndarray, docs: np.ndarray, part: np.ndarray) -> Iterator[pa.RecordBatch]:
+        if not len(word):
+            return
+        first = np.concatenate([[True], word[1:] != word[:-1]])
+        word, run = word[first], np.cumsum(first) - 1
+        total = np.add.reduceat(docs, np.flatnonzero(first))
+        several = total[run] > 1
+        key, at = np.unique(run[several] << 32 | part[several], return_inverse=True)
+        key = key[np.bincount(at, docs[several], len(key)) > 1]
+        yield from counts_of(word[total > 1], total[total > 1], pa.nulls(int((total > 1).sum()), pa.int32()))
+        yield from counts_of(word[key >> 32], total[key >> 32], pa.array((key & 0xFFFFFFFF).astype(np.int32)))
+
+    left = (np.zeros(0, np.int64),) * 3
+    for batch in batches:
+        none = batch.column(0).null_count
+        if none:
+            yield batch.slice(0, none)
+        word, docs, part = (np.concatenate([old, batch.column(k).slice(none).to_numpy()]) for old, k in zip(left, (0, 1, 3), strict=True))
+        end = np.searchsorted(word, word[-1]) if len(word) else 0
+        left = (word[end:], docs[end:], part[end:])  # the next batch may go on with this word
+        yield from merged(word[:end], docs[:end], part[:end])
+    yield from merged(*left)
+
+
 class Statistics(NamedTuple):
     """Of all documents: how many there are, their mean words, and in how many each frequent word is, by sorted hash. Others are in fewer than least.
 
@@ -104,21 +144,29 @@ class Statistics(NamedTuple):
     rest: np.ndarray = np.zeros(0, np.int64)
     rest_counts: np.ndarray = np.zeros(0, np.int64)
 
-    def idf(self, words: np.ndarray, here: np.ndarray) -> np.ndarray:
-        """Weights of sorted hashed words; here: in how many documents of the shard each is. A word without a count is in no other document of the partition."""
-        df = here
+    def counted(self, words: np.ndarray) -> np.ndarray:
+        """In how many documents each of sorted hashed words is; 0 for a word without a count."""
+        df = np.zeros(len(words), np.int64)
         for known, counts in ((self.words, self.counts), (self.rest, self.rest_counts)):
             if len(known):
                 at = np.minimum(np.searchsorted(known, words), len(known) - 1)
                 df = np.where(known[at] == words, counts[at], df)
-        return np.log1p((np.maximum(self.docs - df, 0) + 0.5) / (df + 0.5))
+        return df
+
+    def idf(self, words: np.ndarray, here: np.ndarray) -> np.ndarray:
+        """Weights of sorted hashed words; here: in how many documents of the shard each is. A word without a count is in no other document of the partition."""
+        return self.weights(self.counted(words), here)
 
     def known_idf(self, words: np.ndarray, here: np.ndarray) -> np.ndarray:
         """idf(), where each word that several documents have must have a count."""
-        several = words[here > 1]
-        if not (np.isin(several, self.words) | np.isin(several, self.rest)).all():
+        df = self.counted(words)
+        if ((df == 0) & (here > 1)).any():
             raise ValueError("documents are in other partitions than when their words were counted: store them first")
-        return self.idf(words, here)
+        return self.weights(df, here)
+
+    def weights(self, df: np.ndarray, here: np.ndarray) -> np.ndarray:
+        df = np.where(df > 0, df, here)
+        return np.log1p((np.maximum(self.docs - df, 0) + 0.5) / (df + 0.5))
 
 
 def corpus_counts(docs: DataFrame, scratch: Scratch) -> tuple[Statistics, DataFrame | None]:
@@ -126,10 +174,11 @@ def corpus_counts(docs: DataFrame, scratch: Scratch) -> tuple[Statistics, DataFr
 
     A word of one document needs none. A word that is in several documents of no partition ranks nothing, as retrieval looks within one.
     """
-    raw = scratch.stored(docs.select("text").mapInArrow(tidy(count_pass), "word long, docs long, words long, part int"), "counts")
-    counted = scratch.stored(raw.groupBy("word").agg(F.sum("docs").alias("docs"), F.sum("words").alias("words")).where("word is null or docs > 1"), "words")
-    whole = counted.where("word is null").first()
-    total = counted.where("word is not null")
+    raw = docs.select("text").mapInArrow(tidy(count_pass), COUNTS)
+    counted = scratch.stored(raw.repartition("word").sortWithinPartitions("word").mapInArrow(tidy(merge_pass), COUNTS), "words")
+    n, n_words = counted.where("word is null").agg(F.coalesce(F.sum("docs"), F.lit(0)), F.coalesce(F.sum("words"), F.lit(0))).first()
+    words = counted.where("word is not null")
+    total = words.where("part is null")
     steps = total.groupBy(F.floor(F.log2("docs")).alias("e")).count().orderBy(F.desc("e")).collect()  # at most 63 rows
     size, least = 0, 2
     for e, count in steps:
@@ -138,15 +187,12 @@ def corpus_counts(docs: DataFrame, scratch: Scratch) -> tuple[Statistics, DataFr
             break
         size += count
     rows = total.where(F.col("docs") >= least).select("word", "docs").toArrow()
-    words, counts = rows.column("word").to_numpy(), rows.column("docs").to_numpy()
-    order = np.argsort(words)
-    n = whole["docs"] if whole else 0
-    known = Statistics(n, max(1.0, (whole["words"] if whole else 0) / max(1, n)), words[order], counts[order], least)
+    frequent, times = rows.column("word").to_numpy(), rows.column("docs").to_numpy()
+    order = np.argsort(frequent)
+    known = Statistics(n, max(1.0, n_words / max(1, n)), frequent[order], times[order], least)
     if least <= 2:
         return known, None
-    rest = total.where(F.col("docs") < least).select("word", F.col("docs").alias("total"))
-    mine = raw.where(F.col("word").isNotNull() & (F.col("docs") < least)).join(rest, "word").groupBy("word", "part").agg(F.sum("docs").alias("here"), F.first("total").alias("docs"))
-    return known, scratch.stored(mine.where("here > 1").select("part", "word", "docs"), "rest")
+    return known, words.where(F.col("part").isNotNull() & (F.col("docs") < least)).select("part", "word", "docs")
 
 
 def corpus_statistics(docs: DataFrame) -> Statistics:
@@ -158,45 +204,63 @@ def corpus_statistics(docs: DataFrame) -> Statistics:
 
 
 class Encoder:
-    """Ids of texts by a tokenizer that never joins words: each distinct word is encoded once and kept."""
+    """Ids of texts by a tokenizer that never joins words: each distinct word is encoded once and kept.
+
+    What is kept lies in arrays: a piece in pieces, its ids up to its end in ids. It is found by its hash, and then compared.
+    """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.known = Tokenizer.from_file(path), {}
+        self.tokenizer = Tokenizer.from_file(path)
         vocabulary = self.tokenizer.get_vocab()
         self.ends_word = np.zeros(max(vocabulary.values()) + 1, bool)
         for token, k in vocabulary.items():
             self.ends_word[k] = token.endswith("</w>")
+        self.pieces, self.ids, self.ends = pa.array([], pa.large_string()), np.zeros(0, np.uint32), np.zeros(0, np.int64)
+        self.hashes, self.rows = np.zeros(0, np.uint64), np.zeros(0, np.int64)  # sorted, and the piece of each
 
-    def learn(self, pieces: list[str], into: dict) -> None:
-        for a in range(0, len(pieces), 10_000):
-            part = pieces[a : a + 10_000]
-            for w, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                into[w] = array("I", e.ids).tobytes()
+    def each(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, sizes) of pieces, encoded one by one."""
+        found = [np.array(e.ids, np.uint32) for a in range(0, len(pieces), 10_000) for e in self.tokenizer.encode_batch_fast(pieces[a : a + 10_000], add_special_tokens=False)]
+        return np.concatenate([np.zeros(0, np.uint32), *found]), np.array([len(f) for f in found], np.int64)
 
-    def learn_letters(self, pieces: list[str], into: dict) -> None:
-        """Pieces of letters alone, each one word to the tokenizer, are encoded as one text: its ids say where words end."""
+    def of_letters(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, sizes) of pieces of letters alone, each one word to the tokenizer, encoded as one text: its ids say where words end."""
         ids = np.array(self.tokenizer.encode_batch_fast([" ".join(pieces)], add_special_tokens=False)[0].ids, np.uint32)
         ends = np.flatnonzero(self.ends_word[ids]) + 1
         if len(ends) != len(pieces) or ends[-1] != len(ids):
-            return  # not such a tokenizer: they are learnt one by one
-        raw, start = ids.tobytes(), 0
-        for w, end in zip(pieces, (ends * 4).tolist(), strict=True):
-            into[w], start = raw[start:end], end
-
-    def of_pieces(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """(ids, ends) of pieces, one after another. What is learnt first, and so is common, is kept; the rest serves this call."""
-        known = self.known
-        new = [w for w in pieces if w not in known]
-        into = known if len(known) < KEPT_WORDS else {}
-        plain = [w for w in new if LETTERS.fullmatch(w)]
-        for a in range(0, len(plain), 1000):
-            self.learn_letters(plain[a : a + 1000], into)
-        self.learn([w for w in new if w not in into], into)
-        found = [known[w] if w in known else into[w] for w in pieces]
-        return np.frombuffer(b"".join(found), np.uint32), np.cumsum(np.fromiter(map(len, found), np.int64, len(found)) >> 2)
+            return self.each(pieces)  # not such a tokenizer
+        return ids, np.diff(ends, prepend=0)
+
+    def known(self, pieces: pa.Array, hashes: np.ndarray) -> np.ndarray:
+        """The kept rows of pieces, -1 where there is none."""
+        if not len(self.hashes):
+            return np.full(len(pieces), -1)
+        at = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
+        rows = np.where(self.hashes[at] == hashes, self.rows[at], 0)
+        return np.where(pc.equal(self.pieces.take(pa.array(rows)), pieces).to_numpy(zero_copy_only=False), rows, -1)
+
+    def of_pieces(self, pieces: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(ids, ends, rows): the ids of piece k are those of rows[k]. What is learnt first, and so is common, is kept; the rest serves this call. None is empty."""
+        hashes = hashed(pieces)
+        rows = self.known(pieces, hashes)
+        new = np.flatnonzero(rows < 0)
+        plain = pc.match_substring_regex(pieces.take(pa.array(new)), LETTERS).to_numpy(zero_copy_only=False)
+        new = np.concatenate([new[plain], new[~plain]])
+        learnt = pieces.take(pa.array(new))
+        texts, n = learnt.to_pylist(), int(plain.sum())
+        found = [self.of_letters(texts[a : min(n, a + 1000)]) for a in range(0, n, 1000)] + [self.each(texts[n:])]
+        rows[new] = len(self.ends) + np.arange(len(new))
+        ends = np.concatenate([self.ends, len(self.ids) + np.cumsum(np.concatenate([sizes for _, sizes in found]))])
+        ids = np.concatenate([self.ids, *(i for i, _ in found)])
+        if len(self.ends) < KEPT_WORDS and len(new):
+            order = np.argsort(hashes[new])
+            at = np.searchsorted(self.hashes, hashes[new][order])
+            self.hashes, self.rows = np.insert(self.hashes, at, hashes[new][order]), np.insert(self.rows, at, rows[new][order])
+            self.pieces, self.ids, self.ends = pa.concat_arrays([self.pieces, learnt]), ids, ends
+        return ids, ends, rows
 
     def of_words(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids, ends) of words. A word is a stem, in lower case, and marks: far fewer stems than words are new."""
@@ -206,13 +270,15 @@ class Encoder:
         stems = pc.if_else(apart, stems, words)
         coded = pc.if_else(plain, pc.ascii_lower(stems), stems).dictionary_encode()
         # the marks are what the stem lacks of the word, all of them single bytes
-        sizes = (pc.binary_length(words).to_numpy(), pc.binary_length(stems).to_numpy())
-        tails = last_bytes(words, sizes[0] - sizes[1]).dictionary_encode()
-        texts = coded.dictionary.to_pylist() + tails.dictionary.to_pylist()
-        ids, ends = self.of_pieces(texts)
-        order = np.stack([coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), tails.indices.to_numpy(zero_copy_only=False).astype(np.int64) + len(coded.dictionary)], 1).ravel()
-        ids, ends = gathered(ids, ends, order)
-        return ids, ends[1::2]
+        lacks = pc.binary_length(words).to_numpy() - pc.binary_length(stems).to_numpy()
+        marked = lacks > 0
+        tails = last_bytes(words.filter(pa.array(marked)), lacks[marked]).dictionary_encode()
+        ids, ends, rows = self.of_pieces(pa.concat_arrays([coded.dictionary, tails.dictionary]))
+        order = np.zeros((len(words), 2), np.int64)
+        order[:, 0] = rows[coded.indices.to_numpy(zero_copy_only=False)]
+        order[marked, 1] = rows[len(coded.dictionary) + tails.indices.to_numpy(zero_copy_only=False)]
+        ids, ends = gathered(ids, ends, order[np.stack([np.ones(len(words), bool), marked], 1)])
+        return ids, ends[np.cumsum(1 + marked) - 1]
 
     def texts(self, offsets: np.ndarray, codes: np.ndarray, dictionary: pa.Array) -> list[np.ndarray]:
         """The ids of each row and END_ID."""
@@ -271,8 +337,8 @@ class Index:
         self.weight = (weight * tf * (K1 + 1) / (tf + norm[self.doc])).astype(np.float32)
         self.bounds = np.searchsorted(term, np.arange(len(term_of) + 1))
         # each document's words that another one has too
-        self.terms = term_of
-        sizes = np.diff(self.bounds)
+        self.terms, self.sizes = term_of, np.diff(self.bounds)
+        sizes = self.sizes
         shared = sizes[term] > 1
         t, d = term[shared], self.doc[shared]
         self.query, self.query_bounds = t[np.argsort(d.astype(np.uint16 if len(words) <= 1 << 16 else np.int64), kind="stable")], np.concatenate([[0], np.cumsum(np.bincount(d, minlength=len(words)))])
@@ -301,7 +367,8 @@ class Index:
     def ranked(self, terms: np.ndarray, used: np.ndarray) -> np.ndarray:
         rows = self.row[terms]
         scores = self.common[rows[rows >= 0]].sum(0).astype(np.float64)
-        start, many = self.bounds[terms[rows < 0]], np.diff(self.bounds)[terms[rows < 0]]
+        listed = terms[rows < 0]
+        start, many = self.bounds[listed], self.sizes[listed]
         if len(many):
             after = np.cumsum(many)
             at = np.repeat(start - after + many, many) + np.arange(after[-1])
