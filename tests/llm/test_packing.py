@@ -242,3 +242,23 @@ def test_counts_are_merged(size):
     out = [tuple(r.values()) for b in packing.merge_pass(batch.slice(a, size) for a in range(0, len(batch), size)) for r in b.to_pylist()]
     want = [(w, n, None, None) for w, n in total.items() if n > 1] + [(w, total[w], None, p) for (w, p), n in here.items() if n > 1]
     assert out[0] == (None, 3, 9, 0) and Counter(out[1:]) == Counter(want)
+
+
+@pytest.mark.parametrize("most", [300, 0])
+def test_statistics_have_every_word_that_can_rank(spark, sf_dir, monkeypatch, most):
+    """However few words every task gets, no word that several documents of a partition have is without its exact count."""
+    monkeypatch.setattr(packing, "MOST_WORDS", most)
+    path = f"{spark.conf.get('spark.checkpoint.dir')}/counted{most}"
+    spark.read.parquet(f"{sf_dir}/documents.parquet").repartition(3).write.mode("overwrite").parquet(path)
+    df = spark.read.parquet(path).select("text")
+    total, here = Counter(), Counter()
+    for r in df.select(packing.F.spark_partition_id().alias("part"), "text").collect():
+        words = set(re.findall(r"[^\x20\x09-\x0D]+", r["text"] or ""))
+        total.update(words)
+        here.update((r["part"], w) for w in words)
+    names = sorted({w for (_, w), n in here.items() if n > 1})
+    hashes = packing.hashed(pa.array(names, pa.large_string())).view(np.int64)
+    order = np.argsort(hashes)
+    got = packing.corpus_statistics(df)
+    assert len(names) > 1000 and len(got.words) <= most < len(got.words) + len(got.rest)
+    assert got.counted(hashes[order]).tolist() == [total[names[k]] for k in order]

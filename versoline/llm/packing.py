@@ -196,9 +196,12 @@ def corpus_counts(docs: DataFrame, scratch: Scratch) -> tuple[Statistics, DataFr
 
 
 def corpus_statistics(docs: DataFrame) -> Statistics:
-    """The counts of corpus_counts() that every task gets."""
+    """All counts of corpus_counts(), for use in one process; pack() leaves the rest to the partitions that have its words."""
     scratch = Scratch(docs.sparkSession)
-    known, _ = corpus_counts(docs, scratch)
+    known, rest = corpus_counts(docs, scratch)
+    if rest is not None:
+        others = rest.select("word", "docs").distinct().orderBy("word").toArrow()
+        known = known._replace(rest=others.column("word").to_numpy(), rest_counts=others.column("docs").to_numpy())
     scratch.drop()
     return known
 
