@@ -262,3 +262,11 @@ def test_statistics_have_every_word_that_can_rank(spark, sf_dir, monkeypatch, mo
     got = packing.corpus_statistics(df)
     assert len(names) > 1000 and len(got.words) <= most < len(got.words) + len(got.rest)
     assert got.counted(hashes[order]).tolist() == [total[names[k]] for k in order]
+
+
+def test_ranks_are_whole_however_many_are_sorted_first(monkeypatch):
+    scores = np.random.default_rng(1).integers(-3, 12, 400) / 2.0
+    want = sorted(np.flatnonzero(scores > 0).tolist(), key=lambda k: (-scores[k], k))
+    for first in (1, 5, 64, 1000):
+        monkeypatch.setattr(packing, "FIRST", first)
+        assert list(packing.by_rank(scores)) == want

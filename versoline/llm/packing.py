@@ -23,6 +23,7 @@ are kept as they are; ties in rank go to the document that comes first.
 from __future__ import annotations
 
 import functools
+import json
 import os
 import zlib
 from collections.abc import Callable, Iterator
@@ -49,10 +50,19 @@ COUNT_BYTES, ENCODE_BYTES = 2 << 20, 4 << 20
 #: Counts that go to Spark at once.
 SENT = 1 << 16
 K1, B = 1.2, 0.75
+#: Ranks that are sorted first.
+FIRST = 64
 #: Words whose ids a worker keeps.
 KEPT_WORDS = 800_000
 #: Lower-case letters that no normalisation changes.
 LETTERS = "^[a-zà-öø-ÿ]+$"
+#: Words that come to the model of a tokenizer whole and unchanged, if these are its steps before.
+PLAIN = "^[a-z]+$"
+NORMALIZER = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]
+SPLITTER = [
+    {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True},
+    {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+]
 #: ASCII marks that are split off the end of a word, as they never share a token with a letter or digit before them.
 MARKS = '.,!?;:%&$#*|()'
 
@@ -214,9 +224,14 @@ class Encoder:
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(path)
+        from tokenizers import Tokenizer, pre_tokenizers
+
+        self.tokenizer, self.bare = Tokenizer.from_file(path), None
+        with open(path, encoding="utf-8") as file:
+            steps = json.load(file)
+        if steps["normalizer"] == {"type": "Sequence", "normalizers": NORMALIZER} and steps["pre_tokenizer"] == {"type": "Sequence", "pretokenizers": SPLITTER}:
+            self.bare = Tokenizer(self.tokenizer.model)
+            self.bare.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
         vocabulary = self.tokenizer.get_vocab()
         self.ends_word = np.zeros(max(vocabulary.values()) + 1, bool)
         for token, k in vocabulary.items():
@@ -229,9 +244,9 @@ class Encoder:
         found = [np.array(e.ids, np.uint32) for a in range(0, len(pieces), 10_000) for e in self.tokenizer.encode_batch_fast(pieces[a : a + 10_000], add_special_tokens=False)]
         return np.concatenate([np.zeros(0, np.uint32), *found]), np.array([len(f) for f in found], np.int64)
 
-    def of_letters(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    def of_letters(self, pieces: list[str], tokenizer) -> tuple[np.ndarray, np.ndarray]:
         """(ids, sizes) of pieces of letters alone, each one word to the tokenizer, encoded as one text: its ids say where words end."""
-        ids = np.array(self.tokenizer.encode_batch_fast([" ".join(pieces)], add_special_tokens=False)[0].ids, np.uint32)
+        ids = np.array(tokenizer.encode_batch_fast([" ".join(pieces)], add_special_tokens=False)[0].ids, np.uint32)
         ends = np.flatnonzero(self.ends_word[ids]) + 1
         if len(ends) != len(pieces) or ends[-1] != len(ids):
             return self.each(pieces)  # not such a tokenizer
@@ -241,7 +256,9 @@ class Encoder:
         """The kept rows of pieces, -1 where there is none."""
         if not len(self.hashes):
             return np.full(len(pieces), -1)
-        at = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
+        order = np.argsort(hashes)  # neighbours are looked up one after another
+        at = np.empty(len(hashes), np.int64)
+        at[order] = np.minimum(np.searchsorted(self.hashes, hashes[order]), len(self.hashes) - 1)
         rows = np.where(self.hashes[at] == hashes, self.rows[at], 0)
         return np.where(pc.equal(self.pieces.take(pa.array(rows)), pieces).to_numpy(zero_copy_only=False), rows, -1)
 
@@ -250,11 +267,15 @@ class Encoder:
         hashes = hashed(pieces)
         rows = self.known(pieces, hashes)
         new = np.flatnonzero(rows < 0)
-        plain = pc.match_substring_regex(pieces.take(pa.array(new)), LETTERS).to_numpy(zero_copy_only=False)
-        new = np.concatenate([new[plain], new[~plain]])
         learnt = pieces.take(pa.array(new))
-        texts, n = learnt.to_pylist(), int(plain.sum())
-        found = [self.of_letters(texts[a : min(n, a + 1000)]) for a in range(0, n, 1000)] + [self.each(texts[n:])]
+        kind = 2 - sum(pc.match_substring_regex(learnt, which).to_numpy(zero_copy_only=False).astype(np.int64) for which in (LETTERS, PLAIN))
+        order = np.argsort(kind, kind="stable")
+        new, learnt = new[order], learnt.take(pa.array(order))
+        texts, found = learnt.to_pylist(), []
+        plain, letters = np.cumsum(np.bincount(kind, minlength=3))[:2].tolist()
+        for a, b, tokenizer in ((0, plain, self.bare or self.tokenizer), (plain, letters, self.tokenizer)):
+            found += [self.of_letters(texts[k : min(b, k + 1000)], tokenizer) for k in range(a, b, 1000)]
+        found.append(self.each(texts[letters:]))
         rows[new] = len(self.ends) + np.arange(len(new))
         ends = np.concatenate([self.ends, len(self.ids) + np.cumsum(np.concatenate([sizes for _, sizes in found]))])
         ids = np.concatenate([self.ids, *(i for i, _ in found)])
@@ -359,15 +380,22 @@ class Index:
 
     def answers(self, seed: int, used: np.ndarray) -> np.ndarray:
         """All unused documents that share words of the seed, best first."""
-        return self.ranked(self.query[self.query_bounds[seed] : self.query_bounds[seed + 1]], used)
+        return np.fromiter(self.in_turn(seed, used), np.int64)
 
     def answers_to(self, hashes: np.ndarray, used: np.ndarray) -> np.ndarray:
         """All unused documents that have some of these words, best first."""
+        return np.fromiter(self.in_turn_to(hashes, used), np.int64)
+
+    def in_turn(self, seed: int, used: np.ndarray) -> Iterator[int]:
+        """answers(), ranked as far as they are asked for."""
+        return by_rank(self.scores(self.query[self.query_bounds[seed] : self.query_bounds[seed + 1]], used))
+
+    def in_turn_to(self, hashes: np.ndarray, used: np.ndarray) -> Iterator[int]:
         at = np.searchsorted(self.terms, hashes)
         at[at == len(self.terms)] = 0
-        return self.ranked(at[self.terms[at] == hashes] if len(self.terms) else at[:0], used)
+        return by_rank(self.scores(at[self.terms[at] == hashes] if len(self.terms) else at[:0], used))
 
-    def ranked(self, terms: np.ndarray, used: np.ndarray) -> np.ndarray:
+    def scores(self, terms: np.ndarray, used: np.ndarray) -> np.ndarray:
         rows = self.row[terms]
         scores = self.common[rows[rows >= 0]].sum(0).astype(np.float64)
         listed = terms[rows < 0]
@@ -377,8 +405,19 @@ class Index:
             at = np.repeat(start - after + many, many) + np.arange(after[-1])
             scores += np.bincount(self.doc[at], self.weight[at], len(used))
         scores[used] = 0
-        best = np.flatnonzero(scores > 0)
-        return best[np.argsort(-scores[best], kind="stable")]
+        return scores
+
+
+def by_rank(scores: np.ndarray) -> Iterator[int]:
+    """All places of positive scores, highest first, ties by place. The FIRST are sorted apart, as most callers stop among them."""
+    best = np.flatnonzero(scores > 0)
+    parts = [best]
+    if len(best) > 4 * FIRST:
+        values = scores[best]
+        first = values >= np.partition(values, len(values) - FIRST)[-FIRST]
+        parts = [best[first], best[~first]]
+    for part in parts:
+        yield from part[np.argsort(-scores[part], kind="stable")].tolist()
 
 
 class Packer:
@@ -400,27 +439,25 @@ class Packer:
     def shard(self, docs: list[tuple], index: Index) -> None:
         """Packs all of docs, (doc_id, ids); the last window may stay open."""
         used = np.zeros(len(docs), bool)
-        queue: list[int] = index.answers_to(self.seed, used).tolist()[::-1] if self.filled else []
+        queue = index.in_turn_to(self.seed, used) if self.filled else iter(())
         turn, seed = 0, -1
         while True:
-            while queue and used[queue[-1]]:
-                queue.pop()
             while turn < len(docs) and used[turn]:
                 turn += 1
             if turn == len(docs):
                 if seed >= 0:
                     self.seed = index.hashes(seed)
                 return
-            k = queue.pop() if queue else turn
+            k = next((d for d in queue if not used[d]), turn)
             used[k] = True
             doc_id, ids = docs[k]
             window, at = self.sequence if self.filled else -1, 0
             while at < len(ids):
                 at = self.put(doc_id, ids, at)
             if not self.filled:
-                queue = []
+                queue = iter(())
             elif self.sequence != window:  # it opened this window, whole or as what was left of it
-                queue, seed = index.answers(k, used).tolist()[::-1], k
+                queue, seed = index.in_turn(k, used), k
 
     def closed(self) -> list[tuple]:
         """Takes the pieces of full windows out."""
