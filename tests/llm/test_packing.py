@@ -270,3 +270,15 @@ def test_ranks_are_whole_however_many_are_sorted_first(monkeypatch):
     for first in (1, 5, 64, 1000):
         monkeypatch.setattr(packing, "FIRST", first)
         assert list(packing.by_rank(scores)) == want
+
+
+def test_a_long_word_that_is_kept_is_not_copied_for_others():
+    """Words that meet no kept hash are compared with nothing."""
+    encoder, pool, before = packing.Encoder(packing.default_tokenizer()), pa.proxy_memory_pool(pa.default_memory_pool()), pa.default_memory_pool()
+    encoder.of_words(pa.array(["x" * 100_000], pa.large_string()))
+    pa.set_memory_pool(pool)
+    try:
+        encoder.of_words(pa.array([f"w{k}" for k in range(2000)], pa.large_string()))
+    finally:
+        pa.set_memory_pool(before)
+    assert 0 < pool.max_memory() < 20 << 20

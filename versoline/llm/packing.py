@@ -52,8 +52,8 @@ SENT = 1 << 16
 K1, B = 1.2, 0.75
 #: Ranks that are sorted first.
 FIRST = 64
-#: Words whose ids a worker keeps.
-KEPT_WORDS = 800_000
+#: Words whose ids a worker keeps, and bytes of both.
+KEPT_WORDS, KEPT_BYTES = 800_000, 64 << 20
 #: Lower-case letters that no normalisation changes.
 LETTERS = "^[a-zà-öø-ÿ]+$"
 #: Words that come to the model of a tokenizer whole and unchanged, if these are its steps before.
@@ -259,8 +259,11 @@ class Encoder:
         order = np.argsort(hashes)  # neighbours are looked up one after another
         at = np.empty(len(hashes), np.int64)
         at[order] = np.minimum(np.searchsorted(self.hashes, hashes[order]), len(self.hashes) - 1)
-        rows = np.where(self.hashes[at] == hashes, self.rows[at], 0)
-        return np.where(pc.equal(self.pieces.take(pa.array(rows)), pieces).to_numpy(zero_copy_only=False), rows, -1)
+        met = np.flatnonzero(self.hashes[at] == hashes)
+        found, rows = self.rows[at[met]], np.full(len(pieces), -1)
+        same = pc.equal(self.pieces.take(pa.array(found)), pieces.take(pa.array(met))).to_numpy(zero_copy_only=False)
+        rows[met[same]] = found[same]
+        return rows
 
     def of_pieces(self, pieces: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(ids, ends, rows): the ids of piece k are those of rows[k]. What is learnt first, and so is common, is kept; the rest serves this call. None is empty."""
@@ -279,7 +282,7 @@ class Encoder:
         rows[new] = len(self.ends) + np.arange(len(new))
         ends = np.concatenate([self.ends, len(self.ids) + np.cumsum(np.concatenate([sizes for _, sizes in found]))])
         ids = np.concatenate([self.ids, *(i for i, _ in found)])
-        if len(self.ends) < KEPT_WORDS and len(new):
+        if len(new) and len(self.ends) < KEPT_WORDS and self.pieces.nbytes + ids.nbytes < KEPT_BYTES:
             order = np.argsort(hashes[new])
             at = np.searchsorted(self.hashes, hashes[new][order])
             self.hashes, self.rows = np.insert(self.hashes, at, hashes[new][order]), np.insert(self.rows, at, rows[new][order])
