@@ -1,11 +1,12 @@
 import math
 import re
-from collections import defaultdict
+from collections import Counter, defaultdict
+from fractions import Fraction
 
 import pytest
 from pyspark.sql import functions as F
 
-from versoline.llm import mixing
+from versoline.llm import mixing, registry
 
 
 def targets(sizes: dict, weights: dict) -> dict:
@@ -119,6 +120,38 @@ def test_query_has_a_row_for_each_pass(spark, sf_dir):
     assert placed == sorted(placed) and {r["pass"] for r in rows} >= {1, 2}
 
 
+ODD = [(1, "a", "one two three"), (1, "a", "one two three"), (2, "a", None), (None, "a", " \t\x0b"), (3, None, "p q r s t u v " * 41), (4, "\uffff", "\x1cx\x85 y"), (5, "\U0001f600", "z"), (6, "", "é\xa0é k"), (7, "a ", "m " * 9), (2**63 - 1, "b", "\r\n")]
+
+
+def test_query_has_a_row_for_each_document(spark, tmp_path):
+    """The contract's exact columns, a row per document, whatever its passes; its passes are those of the listing by pass."""
+    spark.createDataFrame(ODD, "doc_id long, source string, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    found = registry.queries()["op1_mixing"](spark, str(tmp_path))
+    assert found.dtypes[:5] == [("doc_id", "bigint"), ("size", "bigint"), ("source_size", "bigint"), ("target", "double"), ("taken", "bigint")]
+    rows = found.collect()
+    size = lambda t: len(re.findall(r"[^\x20\x09-\x0D]+", t or ""))
+    sizes = defaultdict(int)
+    for _, s, t in ODD:
+        sizes[s] += size(t)
+    want = targets(dict(sizes), {s: (5, 2, 1)[k % 3] for k, s in enumerate(sorted(sizes, key=order))})
+    assert Counter((r["doc_id"], r["size"], r["source_size"], round(r["target"], 6)) for r in rows) == Counter((d, size(t), sizes[s], round(want[s], 6)) for d, s, t in ODD)
+    assert sum(r["taken"] for r in rows) == sum(math.floor(t + 1e-6) for t in want.values())
+    assert max(r["taken"] - 2 * r["size"] for r in rows) > 0 and all(0 <= r["taken"] <= 3 * r["size"] for r in rows)
+    positions = [r[f"position{k}"] for r in rows for k in ("", "_2", "_3") if r[f"position{k}"] is not None]
+    assert sorted(positions) == [r["position"] for r in mixing.op1_mixing(spark, str(tmp_path)).collect() if r["taken"]]
+    first = [r["position"] for r in rows if r["position"] is not None]
+    assert first == sorted(first)
+
+
+def test_targets_are_the_nearest_doubles(spark):
+    weights = {f"s{k:02d}": (5, 2, 1)[k % 3] for k in range(13)}
+    for words in (91, 1009, 100003):
+        sizes = {s: words + k for k, s in enumerate(weights)}
+        df = spark.createDataFrame([(k, s, n) for k, (s, n) in enumerate(sizes.items())], "doc_id long, source string, size long")
+        got = {r["source"]: r["target"] for r in mixing.source_targets(df, mixing.CURRICULUM, 3.0).collect()}
+        assert got == {s: float(Fraction(sum(sizes.values()) * w, sum(weights.values()))) for s, w in weights.items()}
+
+
 def test_empty(spark):
     assert mixing.mix(spark.createDataFrame([], "doc_id long, source string, text string")).count() == 0
     nothing = spark.createDataFrame([(1, "a", None), (2, None, "")], "doc_id long, source string, text string")

@@ -57,7 +57,7 @@ def inverse_demand(share: Column, schedule: Sequence[Phase]) -> Column:
 def source_targets(sizes: DataFrame, curriculum: Sequence[Sequence[Phase]], repeat: float) -> DataFrame:
     """A row per source: its number, class, size, rows and target.
 
-    The level L with sum(min(L * weight, cap)) = all words is found by one pass over sources in the order of
+    The level L = left / free with sum(min(L * weight, cap)) = all words is found by one pass over sources in the order of
     cap / weight: the first source that isn't capped at its own level sets it. The window without
     partitions runs over one row per source.
     """
@@ -68,9 +68,11 @@ def source_targets(sizes: DataFrame, curriculum: Sequence[Sequence[Phase]], repe
     one = one.withColumn("cap", repeat * F.col("source_size").cast("double"))
     by = Window.orderBy(F.col("cap") / F.col("weight"), "source_no")
     before, from_here, every = by.rowsBetween(Window.unboundedPreceding, -1), by.rowsBetween(0, Window.unboundedFollowing), by.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    one = one.withColumn("level", (F.sum("source_size").over(every) - F.coalesce(F.sum("cap").over(before), F.lit(0.0))) / F.sum("weight").over(from_here))
-    one = one.withColumn("level", F.min(F.when(F.col("cap") >= F.col("level") * F.col("weight"), F.struct(F.col("cap") / F.col("weight"), "source_no", "level"))).over(every)["level"])
-    return one.select("source", "source_no", "class", "source_size", "source_rows", F.least(F.coalesce(F.col("level") * F.col("weight"), F.col("cap")), F.col("cap")).alias("target"))
+    one = one.withColumn("left", F.sum("source_size").over(every) - F.coalesce(F.sum("cap").over(before), F.lit(0.0))).withColumn("free", F.sum("weight").over(from_here))
+    # products of whole numbers, so that both the comparison and the target are those of the exact quotient
+    level = F.min(F.when(F.col("cap") * F.col("free") >= F.col("left") * F.col("weight"), F.struct(F.col("cap") / F.col("weight"), "source_no", "left", "free"))).over(every)
+    one = one.withColumn("level", level).withColumn("share", F.col("level")["left"] * F.col("weight") / F.col("level")["free"])
+    return one.select("source", "source_no", "class", "source_size", "source_rows", F.least(F.coalesce("share", "cap"), F.col("cap")).alias("target"))
 
 
 def streamed(docs: DataFrame, curriculum: Sequence[Sequence[Phase]], repeat: float, whole: bool = True) -> DataFrame:
@@ -99,13 +101,18 @@ def streamed(docs: DataFrame, curriculum: Sequence[Sequence[Phase]], repeat: flo
     return rows.drop("mix_source", "mix_source_no", "mix_source_rows", "mix_key", "mix_bucket", "mix_start")
 
 
-def sorted_by_position(rows: DataFrame, curriculum: Sequence[Sequence[Phase]]) -> DataFrame:
-    """rows with the time at which the stream has come to their offset, range-sorted by it."""
-    share = F.try_divide("mix_offset", "mix_target")
+def due(offset: Column, curriculum: Sequence[Sequence[Phase]]) -> Column:
+    """The time at which the stream of a row's source has come to this offset."""
+    share = F.try_divide(offset, F.col("mix_target"))
     at = F.lit(None).cast("double")
     for k, schedule in enumerate(curriculum):
         at = F.when(F.col("mix_class") == k, inverse_demand(share, schedule)).otherwise(at)
-    rows = rows.withColumn("mix_position", F.when(F.col("mix_taken") > 0, at))
+    return at
+
+
+def sorted_by_position(rows: DataFrame, curriculum: Sequence[Sequence[Phase]]) -> DataFrame:
+    """rows with the time at which the stream has come to their offset, range-sorted by it."""
+    rows = rows.withColumn("mix_position", F.when(F.col("mix_taken") > 0, due(F.col("mix_offset"), curriculum)))
     order = [F.col("mix_position").asc_nulls_last(), F.col("doc_id")]
     return rows.repartitionByRange(*order).sortWithinPartitions(*order)
 
@@ -152,7 +159,18 @@ def emit(docs: DataFrame, curriculum: Sequence[Sequence[Phase]] = CURRICULUM, re
 
 
 def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A row per pass of each document, in the order of training: what the pass takes, and when."""
+    """A row per pass of each document, in the order of training: what the pass takes, and when. The registered query is op1_documents."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
     rows = sorted_by_position(by_pass(streamed(docs, CURRICULUM, 3.0, whole=False)), CURRICULUM)
     return rows.select("doc_id", F.col("mix_size").alias("size"), F.col("mix_source_size").alias("source_size"), F.col("mix_target").alias("target"), F.col("mix_pass").alias("pass"), F.col("mix_taken").alias("taken"), F.col("mix_position").alias("position"))
+
+
+def op1_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The query op1_mixing: a row per document, in the order of first passes: what all its passes take, and when each is due.
+
+    With a repeat of 3, a document has three passes at most.
+    """
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    rows = sorted_by_position(streamed(docs, CURRICULUM, 3.0, whole=False), CURRICULUM)
+    positions = [F.when(F.col("mix_taken") > k * F.col("mix_size"), due(k * F.col("mix_source_size") + F.col("mix_offset"), CURRICULUM)).alias(f"position_{k + 1}") for k in (1, 2)]
+    return rows.select("doc_id", F.col("mix_size").alias("size"), F.col("mix_source_size").alias("source_size"), F.col("mix_target").alias("target"), F.col("mix_taken").alias("taken"), F.col("mix_position").alias("position"), *positions)

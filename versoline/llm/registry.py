@@ -5,7 +5,7 @@ from __future__ import annotations
 from . import html, jaccard, licences, media, mixing, neighbours, packing, pii, quality, toxicity
 
 QUERIES = {
-    "op1_mixing": mixing.op1_mixing,
+    "op1_mixing": mixing.op1_documents,
     "op2_licence_scan": licences.op2_licence_scan,
     "op3_html_extraction": html.op3_html_extraction,
     "op4_toxicity": toxicity.op4_toxicity,
